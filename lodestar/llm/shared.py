@@ -30,6 +30,13 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """``name``, lengthened until no column of the input is called so."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
 
