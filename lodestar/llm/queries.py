@@ -3,22 +3,56 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontamination, packing, similarity_join, token_files, tokens
+from . import ann, chat, decontamination, language, packing, sharding, similarity_join, token_files, tokens, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokens.default_path())
 
 
+def op3_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(_table(spark, sf_dir, "conversations"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.write(_table(spark, sf_dir, "pages"))
+    return warc.resolve(warc.captures(warc.records(spark, folder, payloads=False)))
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dealt = sharding.shuffle(_table(spark, sf_dir, "documents"))
+    text = F.coalesce("text", F.lit(""))
+    return dealt.select("doc_id", (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = language.predict(docs, language.fit_documents(docs), keep=["doc_id"])
+    return found.select("doc_id", language.held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
 def op7_similarity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_join.join(_table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.fit_labels(docs, _table(spark, sf_dir, "labels"))
+    found = toxicity.score(docs, model, keep=["doc_id"])
+    return found.select("doc_id", F.coalesce(toxicity.crc_of_id("doc_id") % 5 == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_files.write(_table(spark, sf_dir, "documents"), tokens.default_path())
     return token_files.read(spark, folder)
@@ -51,5 +85,33 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM doc LEFT JOIN covered USING (r) LEFT JOIN found USING (r)
 """
 
-QUERIES = {f.__name__: f for f in (op2_packing, op7_similarity_join, op9_token_files, op10_decontamination)}
-ORACLES: dict[str, str] = {"op10_decontamination": _DECONTAMINATION}
+_WARC = """
+WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+o AS (SELECT payload_digest, max(page_id) AS origin FROM p WHERE payload_bytes >= 1000 GROUP BY 1)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN origin <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN origin <> page_id THEN origin END AS refers_to
+FROM p LEFT JOIN o USING (payload_digest)
+"""
+
+_PERSPECTIVES = f"""
+WITH m AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+placed AS (
+  SELECT conv_id, turn, role, text,
+         CAST(coalesce(sum(length(text) + 16) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // {chat.PART_CHARS} AS BIGINT) AS part
+  FROM m),
+speakers AS (SELECT DISTINCT conv_id, role AS speaker FROM m WHERE role <> 'system'),
+runs AS (
+  SELECT p.conv_id, speaker, part, turn, role, text AS raw,
+         '{chat.BEGIN}' || CASE WHEN role = 'system' THEN 'system' WHEN role = speaker THEN 'assistant' ELSE 'user name=' || regexp_replace(replace(role, '<|', '< |'), '\\s+', ' ', 'g') END || chr(10) AS head,
+         replace(text, '<|', '< |') || '{chat.END}' || chr(10) AS body,
+         CASE WHEN role = speaker THEN 1 ELSE 0 END AS learn
+  FROM placed p JOIN speakers s ON p.conv_id IS NOT DISTINCT FROM s.conv_id)
+SELECT conv_id, speaker, part, count(*) AS n_messages,
+       string_agg(head || body, '' ORDER BY turn NULLS FIRST, role, raw) AS text,
+       string_agg(length(head) || ':0,' || length(body) || ':' || learn, ',' ORDER BY turn NULLS FIRST, role, raw) AS mask
+FROM runs GROUP BY conv_id, speaker, part
+"""
+
+QUERIES = {f.__name__: f for f in (op1_nearest, op2_packing, op3_perspectives, op4_warc, op5_sharding, op6_language, op7_similarity_join, op8_toxicity, op9_token_files, op10_decontamination)}
+ORACLES: dict[str, str] = {"op3_perspectives": _PERSPECTIVES, "op4_warc": _WARC, "op10_decontamination": _DECONTAMINATION}
