@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lodestar.llm import decontamination, language, packing, shared, similarity_join, tokens, toxicity
 
 #: Scores from which a document is toxic, and to which its language is unclear.
-TOXIC, UNCLEAR = 0.5, 0.4
+TOXIC, UNCLEAR = 0.5, 0.35
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
