@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontamination, language, packing, sharding, similarity_join, token_files, tokens, toxicity, warc
+from . import ann, chat, decontamination, language, packing, sharding, shared, similarity_join, token_files, tokens, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,7 +27,9 @@ def op3_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = warc.write(_table(spark, sf_dir, "pages"))
-    return warc.resolve(warc.captures(warc.records(spark, folder, payloads=False)))
+    # parsed once: three joins read the records
+    found = shared.materialize(warc.records(spark, folder, payloads=False), "records")
+    return warc.resolve(warc.captures(found))
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
