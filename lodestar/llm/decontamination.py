@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import new_path, open_mapped, write_file
+from .shared import new_path, open_mapped, small_batches, write_file
 from .textbytes import column, passes, words
 
 #: Bytes of text in a shard and in a benchmark block.
@@ -203,7 +203,7 @@ def annotate(docs: DataFrame, benchmark: DataFrame, window: int = 13, text_col:
     keep = [c for c in (docs.columns if keep is None else keep) if clean_only or c not in _RESULT]
     folder, blocks = write_blocks(benchmark, item_col, item_text_col)
     uris = [f"{folder}/{i:05d}.npz" for i in range(blocks)]
-    rows = docs.select(*keep, F.col(text_col).alias("_text"))
+    rows = small_batches(docs).select(*keep, F.col(text_col).alias("_text"))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -235,7 +235,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     first word occurs nowhere are left out."""
     folder, blocks = write_blocks(benchmark, item_col, item_text_col)
     uris = [f"{folder}/{i:05d}.npz" for i in range(blocks)]
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_text"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

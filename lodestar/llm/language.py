@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fresh
+from .shared import fresh, small_batches
 from .textbytes import column, passes
 
 WINDOW, WIDTHS, FILTERS = 64, (2, 3, 4), 16
@@ -181,7 +181,7 @@ def predict(docs: DataFrame, net: Network, text_col: str = "text", keep: list[st
     """
     keep = [c for c in (docs.columns if keep is None else keep) if least is not None or c not in ("lang_pred", "score")]
     text, letters = fresh("_text", keep), fresh("_letters", keep)
-    rows = docs.select(*keep, F.col(text_col).alias(text), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias(letters))
+    rows = small_batches(docs).select(*keep, F.col(text_col).alias(text), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias(letters))
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     names = np.array([*net.languages, UNKNOWN], object)
 

@@ -20,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import small_batches
 from .textbytes import column, passes
 from .tokens import END_ID, encoder
 
@@ -104,7 +105,7 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = 1024, rest: int = 256,
                 )
                 row += hi - lo
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, row long")
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import fresh, materialize
+from .shared import fresh, materialize, small_batches
 
 #: Rows of a target (more, if there would be over MAX_TARGETS).
 BLOCK_ROWS, MAX_TARGETS = 16_384, 1 << 16
@@ -99,7 +99,7 @@ def shuffle(docs: DataFrame, shards: int = 8, seed: int = 20240229, block_rows:
     Rows are shuffled as they are: nulls, empty texts and repeated rows each keep a slot
     of their own. Shards may be empty if there are fewer rows; an empty table gives none.
     """
-    docs = docs.drop("shard", "slot")
+    docs = small_batches(docs).drop("shard", "slot")
     part, place = fresh("_part", docs.columns), fresh("_place", docs.columns)
     # written with their places: a task that runs again finds the same rows there
     numbered = docs.withColumns({part: F.spark_partition_id(), place: F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})

@@ -30,6 +30,16 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Bytes of rows that a Python task gets at once: long texts then need no more memory.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after bounding the session's Arrow batches by bytes as well as by rows."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def fresh(name: str, taken: list[str]) -> str:
     """``name``, lengthened until no column of the input is called so."""
     while name.lower() in {c.lower() for c in taken}:

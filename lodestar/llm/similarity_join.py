@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import materialize
+from .shared import materialize, small_batches
 from .textbytes import column, mix, passes, words
 
 SHINGLE = 5
@@ -106,7 +106,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 spot = pa.array(back, mask=back < 0)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), _fixed(key[some]).take(spot), pa.array(n), sig.take(spot)], names=["doc_id", "sid", "words", "sig"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(make, "doc_id long, sid binary, words long, sig binary")
 
 

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import new_path, open_mapped, write_file
+from .shared import new_path, open_mapped, small_batches, write_file
 from .textbytes import column, passes
 from .tokens import END_ID, encoder
 
@@ -66,7 +66,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, id_col: st
         write_file(f"{folder}/part-{part:05d}.idx", [head.data, offsets.data, own.astype("<i8").data])
         yield pa.RecordBatch.from_pydict({"part": [part], "documents": [len(size)], "ids": [int(offsets[-1])]})
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     keyed = rows.withColumns({"_h": F.xxhash64("text"), "_row": F.monotonically_increasing_id()})
     order = ["id", "_h", "_row"]
     placed = keyed.repartitionByRange(files, *order).sortWithinPartitions(*order).select("id", "text")

@@ -60,7 +60,7 @@ def piece_starts(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
 class TokenEncoder:
     """Keeps the ids of the pieces met so far, at most ``max_pieces``, then starts anew."""
 
-    def __init__(self, path: str, max_pieces: int = 1_500_000):
+    def __init__(self, path: str, max_pieces: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

@@ -27,6 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import small_batches
 from .textbytes import column, passes
 
 WINDOW = 64
@@ -239,7 +240,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str]
     as such. Equal texts score alike. An empty table gives no rows.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if below is not None or c != "score"]
-    rows = docs.select(*keep, F.col(text_col).alias("_text"))
+    rows = small_batches(docs).select(*keep, F.col(text_col).alias("_text"))
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import new_path, open_mapped, write_file
+from .shared import new_path, open_mapped, small_batches, write_file
 
 LEAST = 1000
 #: Compressed bytes at which a file is closed, and payload bytes in a batch of records.
@@ -56,7 +56,7 @@ def write(pages: DataFrame, folder: str | None = None, id_col: str = "page_id",
     """Writes a capture for each row and returns the folder of the archives."""
     spark = pages.sparkSession
     folder = folder or new_path(spark, "warc")
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"))
+    rows = small_batches(pages).select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
     equal = rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.max(F.struct("id", "url")).alias("origin"), F.count("*").alias("n"))
     equal = equal.where("n > 1").select("digest", "origin")
