@@ -40,8 +40,8 @@ DEPTH = 16
 _RESULT = {"n_words": "long", "n_hit": "long", "n_items": "long", "items": "array<string>", "items_sha256": "string", "contaminated": "boolean"}
 
 
-def write_blocks(benchmark: DataFrame, item_col: str, text_col: str) -> tuple[str, int]:
-    """The items' words as block files; their folder and number."""
+def write_blocks(benchmark: DataFrame, item_col: str, text_col: str) -> list[str]:
+    """The items' words as block files; an empty table needs none."""
     folder = new_path(benchmark.sparkSession, "benchmark")
     rows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("item is not null")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -58,10 +58,11 @@ def write_blocks(benchmark: DataFrame, item_col: str, text_col: str) -> tuple[st
         out = io.BytesIO()
         np.savez(out, words=np.concatenate(hashes), counts=np.concatenate(counts), items=np.array(items, dtype=str))
         write_file(f"{folder}/{part:05d}.npz", [out.getvalue()])
-        yield pa.RecordBatch.from_pydict({"items": [len(items)]})
+        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64())})
 
-    rows.repartition(blocks, F.xxhash64("item", "text")).mapInArrow(save, "items long").agg(F.sum("items")).collect()
-    return folder, blocks
+    # a row per block
+    written = rows.repartition(blocks, F.xxhash64("item", "text")).mapInArrow(save, "part long").collect()
+    return [f"{folder}/{part:05d}.npz" for part in sorted({r.part for r in written})]
 
 
 class Block:
@@ -201,8 +202,7 @@ def annotate(docs: DataFrame, benchmark: DataFrame, window: int = 13, text_col:
     ids' SHA-256, and whether at least ``percent`` of the words (and one) are hit.
     ``clean_only`` removes the contaminated documents and the added columns."""
     keep = [c for c in (docs.columns if keep is None else keep) if clean_only or c not in _RESULT]
-    folder, blocks = write_blocks(benchmark, item_col, item_text_col)
-    uris = [f"{folder}/{i:05d}.npz" for i in range(blocks)]
+    uris = write_blocks(benchmark, item_col, item_text_col)
     rows = small_batches(docs).select(*keep, F.col(text_col).alias("_text"))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,8 +233,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     """For every suffix of every item (item, item_word) its longest verbatim match in
     words over all shards, and one place of it (doc_id, doc_word); suffixes whose
     first word occurs nowhere are left out."""
-    folder, blocks = write_blocks(benchmark, item_col, item_text_col)
-    uris = [f"{folder}/{i:05d}.npz" for i in range(blocks)]
+    uris = write_blocks(benchmark, item_col, item_text_col)
     rows = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_text"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
