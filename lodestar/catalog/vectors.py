@@ -71,7 +71,7 @@ def vec_topk_per_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.many(rows, _twenty(rows), 5).select("query_id", "vec_id", r6("dist").alias("dist"), F.col("rank").cast("long").alias("rank"))
 
 
-@collect(QUERIES, ORACLES, "WITH s AS (SELECT vec_id, list_slice(embedding, 1, 16)::DOUBLE[] AS h FROM embeddings), n AS (SELECT vec_id, h, sqrt(list_dot_product(h, h)) AS size FROM s) SELECT vec_id, unnest(range(0, 16)) AS pos, unnest(list_transform(h, x -> round(x / size, 6) + 0.0)) AS x FROM n")
+@collect(QUERIES, ORACLES, "WITH s AS (SELECT vec_id, list_slice(embedding, 1, 16)::DOUBLE[] AS h FROM embeddings), n AS (SELECT vec_id, h, sqrt(list_dot_product(h, h)) AS size FROM s) SELECT vec_id, unnest(range(0, 16)) AS pos, unnest(list_transform(h, lambda x: round(x / size, 6) + 0.0)) AS x FROM n")
 def vec_mrl_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
     short = search.shortened(_vectors(spark, sf_dir).select("vec_id", "embedding"), [16])
     return short.select("vec_id", F.posexplode("vector").alias("pos", "x")).select("vec_id", F.col("pos").cast("long").alias("pos"), r6("x").alias("x"))
