@@ -187,22 +187,25 @@ def _compare(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Recor
         yield from pa.table({"u": sid.take(pa.array(np.concatenate(left))), "v": sid.take(pa.array(np.concatenate(right)))}).combine_chunks().to_batches()
 
 
-def candidate_edges(classes: DataFrame, threshold: float, recall: float, depth: int) -> DataFrame:
-    """Star edges (u, v) of classes (sid, sig) that meet in a bucket and look similar."""
-    runs, branches = runs_for(recall, threshold), 2
+def starts_for(recall: float, threshold: float, branches: int = 2) -> list[int]:
+    """The positions at which the runs start, each run at positions of its own."""
+    return np.random.default_rng(11).permutation(POSITIONS)[: runs_for(recall, threshold) * branches].tolist()
+
+
+def candidate_edges(classes: DataFrame, threshold: float, starts: list[int], depth: int) -> DataFrame:
+    """Star edges (u, v) of classes (sid, sig, comp) that meet in a bucket and look
+    similar. Buckets of one component are left out: all its pairs are compared anyway."""
     # four standard deviations of the share of equal positions below the threshold
     least = max(1, math.floor(POSITIONS * threshold - 4 * math.sqrt(POSITIONS * threshold * (1 - threshold))))
-    # each run starts at positions of its own
-    starts = np.random.default_rng(11).permutation(POSITIONS)[: runs * branches].tolist()
     token = lambda i: F.substring("sig", i * 4 + 1, 4)
-    level = classes.select("sid", "sig", F.explode(F.array(*(F.xxhash64(F.lit(i), token(F.lit(i))) for i in starts))).alias("path"))
+    level = classes.select("sid", "sig", "comp", F.explode(F.array(*(F.xxhash64(F.lit(i), token(F.lit(i))) for i in starts))).alias("path"))
     found: list[DataFrame] = []
     compare = lambda rows: rows.select("path", "sid", "sig").repartition("path").sortWithinPartitions("path").mapInArrow(lambda it: _compare(it, least), "u binary, v binary")
     for at in range(depth):
-        narrow = level.select("path", "sid")
-        shared = narrow.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
-        met = narrow.join(shared, "path")
-        rows = materialize(met.join(classes.select("sid", "sig"), "sid") if at == 0 else level.join(shared, "path"), "buckets")
+        narrow = level.select("path", "sid", "comp")
+        shared = narrow.groupBy("path").agg(F.count("*").alias("n"), F.min("comp").alias("_a"), F.max("comp").alias("_b")).where("n > 1 and _a != _b").select("path", "n")
+        met = narrow.drop("comp").join(shared, "path")
+        rows = materialize(met.join(classes.select("sid", "sig", "comp"), "sid") if at == 0 else level.join(shared, "path"), "buckets")
         found.append(compare(rows.where(F.col("n") <= BUCKET)))
         level = rows.where(F.col("n") > BUCKET)
         if level.isEmpty():
@@ -215,7 +218,7 @@ def candidate_edges(classes: DataFrame, threshold: float, recall: float, depth:
             break
         first = F.pmod(F.xxhash64("path", F.lit(1)), F.lit(POSITIONS)).cast("int")
         second = F.pmod(first + 1 + F.pmod(F.xxhash64("path", F.lit(2)), F.lit(POSITIONS - 1)), F.lit(POSITIONS)).cast("int")
-        level = level.select("sid", "sig", F.explode(F.array(*(F.xxhash64("path", i, token(i)) for i in (first, second)))).alias("path"))
+        level = level.select("sid", "sig", "comp", F.explode(F.array(*(F.xxhash64("path", i, token(i)) for i in (first, second)))).alias("path"))
     out = found[0]
     for more in found[1:]:
         out = out.union(more)
@@ -306,7 +309,14 @@ def join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9999, depth:
     """
     own = materialize(sketches(docs, id_col, text_col), "sketches")
     classes = materialize(own.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("words").alias("words"), F.first("sig").alias("sig")), "classes")
-    comps = connected_components(candidate_edges(classes, threshold, recall, depth)).select(F.col("node").alias("sid"), F.col("root").alias("comp"))
+    # one position links most of a large group; the other positions need only what is
+    # still apart, so such a group is split once and not at every position
+    starts = starts_for(recall, threshold)
+    edges = materialize(candidate_edges(classes.withColumn("comp", F.col("sid")), threshold, starts[:1], depth), "found")
+    first = connected_components(edges).select(F.col("node").alias("sid"), F.col("root").alias("comp"))
+    known = materialize(classes.join(first, "sid", "left").withColumn("comp", F.coalesce("comp", "sid")), "known")
+    apart = candidate_edges(known, threshold, starts[1:], depth)
+    comps = connected_components(edges.union(apart)).select(F.col("node").alias("sid"), F.col("root").alias("comp"))
     members = comps.join(classes.select("sid", "rep", "copies", "words"), "sid")
     sizes = members.groupBy("comp").agg(F.count("*").alias("n"), F.sum("words").alias("w"))
     blocks = sizes.select("comp", F.greatest(F.ceil(F.col("n") / EXACT), F.ceil(F.col("w") / EXACT_WORDS)).cast("long").alias("k"))
