@@ -42,7 +42,7 @@ _ENDS = f"""{_BASE}, {WINDOWS},
 b AS (SELECT user_id, t_start, t_end, 1 AS part, t_start AS pt FROM w UNION ALL SELECT user_id, t_start, t_end, 2, t_end FROM w),
 p AS (SELECT b.*, e.time_s AS lt, e.value AS lv, e.event_type AS lc, e.flag AS lf, e.angle AS la FROM b ASOF LEFT JOIN ev e ON b.user_id = e.user_id AND b.pt > e.time_s),
 n AS (SELECT p.*, e.time_s AS rt, e.value AS rv, e.event_type AS rc, e.flag AS rf, e.angle AS ra FROM p ASOF LEFT JOIN ev e ON p.user_id = e.user_id AND p.pt <= e.time_s),
-f AS (SELECT *, abs(rt - pt) <= greatest(1e-9, 1e-9 * greatest(abs(rt), abs(pt))) AS exact, greatest(pt - lt, rt - pt) <= {GAP} AS near, (pt - lt) / (rt - lt) AS fr FROM n)"""
+f AS (SELECT *, abs(rt - pt) <= greatest(1e-9, 1e-9 * greatest(abs(rt), abs(pt))) AS exact, lt IS NOT NULL AND rt IS NOT NULL AND greatest(pt - lt, rt - pt) <= {GAP} AS near, (pt - lt) / (rt - lt) AS fr FROM n)"""
 
 
 def _values(inside: str, between: str) -> str:
