@@ -3,11 +3,13 @@
 A document is the set of its shingles of five words (all words, if fewer); its
 MinHash values are its tokens. Documents with equal words are one class. In each
 run, a set is split on sampled token positions: classes that share the value there
-meet in a bucket. Small buckets are compared by brute force on the values; larger
-ones are split again on positions sampled for the bucket, to ``depth`` levels, and
-what stays too large is compared block by block, each pair of blocks a task of its
-own. A pair at the threshold survives all levels of one run with a probability that
-has a lower bound, so the number of runs follows from the target recall.
+meet in a bucket. Members of a large bucket are compared with one of them first, so a
+group of near copies becomes one component at once, and buckets of one component need
+no more work. Small buckets are compared by brute force on the values; larger ones are
+split again on positions sampled for the bucket, to ``depth`` levels, and what stays
+too large is compared block by block, each pair of blocks a task of its own. A pair at
+the threshold survives all levels of one run with a probability that has a lower bound,
+so the number of runs follows from the target recall.
 
 Pairs that look similar only join candidate components. Every component then gets
 its members' whole texts, and all its pairs are compared exactly on their shingles,
@@ -23,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -192,13 +194,46 @@ def starts_for(recall: float, threshold: float, branches: int = 2) -> list[int]:
     return np.random.default_rng(11).permutation(POSITIONS)[: runs_for(recall, threshold) * branches].tolist()
 
 
+def _least(threshold: float) -> int:
+    """Equal positions from which two classes look similar: four standard deviations of
+    their share below the threshold."""
+    return max(1, math.floor(POSITIONS * threshold - 4 * math.sqrt(POSITIONS * threshold * (1 - threshold))))
+
+
+def _token(position: int | Column) -> Column:
+    return F.substring("sig", F.lit(position) * 4 + 1, F.lit(4))
+
+
+def _paths(starts: list[int]) -> Column:
+    return F.explode(F.array(*(F.xxhash64(F.lit(i), _token(i)) for i in starts))).alias("path")
+
+
+def _near_pivot(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        own, pivot = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, POSITIONS) for i in (2, 3))
+        alike = pa.array((own == pivot).sum(1) >= least)
+        yield pa.RecordBatch.from_arrays([batch.column(i).filter(alike) for i in (0, 1)], names=["u", "v"])
+
+
+def pivot_edges(classes: DataFrame, threshold: float, starts: list[int]) -> DataFrame:
+    """Edges (u, v) from the classes (sid, sig) of each bucket that is too large for
+    brute force to its pivot, the class with the least key, where they look similar. A
+    group of near copies is then one component before any of its buckets is split."""
+    narrow = classes.select("sid", _paths(starts))
+    large = narrow.groupBy("path").agg(F.count("*").alias("n"), F.min("sid").alias("pivot")).where(F.col("n") > BUCKET).select("path", "pivot")
+    met = narrow.join(large, "path").where("sid != pivot").select("sid", "pivot").distinct()
+    both = met.join(classes.select("sid", "sig"), "sid").join(classes.select(F.col("sid").alias("pivot"), F.col("sig").alias("other")), "pivot")
+    least = _least(threshold)
+    return small_batches(both.select("sid", "pivot", "sig", "other")).mapInArrow(lambda it: _near_pivot(it, least), "u binary, v binary")
+
+
 def candidate_edges(classes: DataFrame, threshold: float, starts: list[int], depth: int) -> DataFrame:
     """Star edges (u, v) of classes (sid, sig, comp) that meet in a bucket and look
-    similar. Buckets of one component are left out: all its pairs are compared anyway."""
-    # four standard deviations of the share of equal positions below the threshold
-    least = max(1, math.floor(POSITIONS * threshold - 4 * math.sqrt(POSITIONS * threshold * (1 - threshold))))
-    token = lambda i: F.substring("sig", i * 4 + 1, 4)
-    level = classes.select("sid", "sig", "comp", F.explode(F.array(*(F.xxhash64(F.lit(i), token(F.lit(i))) for i in starts))).alias("path"))
+    similar. Buckets of one component are left out: all its pairs are compared anyway.
+    Large buckets of one component and few others are not split: blocks of the
+    component meet all the others."""
+    least = _least(threshold)
+    level = classes.select("sid", "sig", "comp", _paths(starts))
     found: list[DataFrame] = []
     compare = lambda rows: rows.select("path", "sid", "sig").repartition("path").sortWithinPartitions("path").mapInArrow(lambda it: _compare(it, least), "u binary, v binary")
     for at in range(depth):
@@ -207,7 +242,14 @@ def candidate_edges(classes: DataFrame, threshold: float, starts: list[int], dep
         met = narrow.drop("comp").join(shared, "path")
         rows = materialize(met.join(classes.select("sid", "sig", "comp"), "sid") if at == 0 else level.join(shared, "path"), "buckets")
         found.append(compare(rows.where(F.col("n") <= BUCKET)))
-        level = rows.where(F.col("n") > BUCKET)
+        large = rows.where(F.col("n") > BUCKET)
+        sizes = large.groupBy("path", "comp").count().groupBy("path").agg(F.max_by("comp", "count").alias("main"), F.max("count").alias("most"), (F.sum("count") - F.max("count")).alias("rest"))
+        sizes = materialize(sizes, "sizes")
+        half = BUCKET // 2
+        few = large.join(sizes.where(F.col("rest") <= half), "path").withColumn("k", F.ceil(F.col("most") / half).cast("long"))
+        block = F.when(F.col("comp") == F.col("main"), F.array(F.pmod(F.xxhash64("sid", "path"), "k"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))
+        found.append(compare(few.withColumn("b", F.explode(block)).withColumn("path", F.xxhash64("path", "b"))))
+        level = large.join(sizes.where(F.col("rest") > half).select("path"), "path")
         if level.isEmpty():
             break
         if at == depth - 1:
@@ -218,7 +260,7 @@ def candidate_edges(classes: DataFrame, threshold: float, starts: list[int], dep
             break
         first = F.pmod(F.xxhash64("path", F.lit(1)), F.lit(POSITIONS)).cast("int")
         second = F.pmod(first + 1 + F.pmod(F.xxhash64("path", F.lit(2)), F.lit(POSITIONS - 1)), F.lit(POSITIONS)).cast("int")
-        level = level.select("sid", "sig", "comp", F.explode(F.array(*(F.xxhash64("path", i, token(i)) for i in (first, second)))).alias("path"))
+        level = level.select("sid", "sig", "comp", F.explode(F.array(*(F.xxhash64("path", i, _token(i)) for i in (first, second)))).alias("path"))
     out = found[0]
     for more in found[1:]:
         out = out.union(more)
@@ -309,13 +351,11 @@ def join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9999, depth:
     """
     own = materialize(sketches(docs, id_col, text_col), "sketches")
     classes = materialize(own.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("words").alias("words"), F.first("sig").alias("sig")), "classes")
-    # one position links most of a large group; the other positions need only what is
-    # still apart, so such a group is split once and not at every position
     starts = starts_for(recall, threshold)
-    edges = materialize(candidate_edges(classes.withColumn("comp", F.col("sid")), threshold, starts[:1], depth), "found")
+    edges = materialize(pivot_edges(classes, threshold, starts), "found")
     first = connected_components(edges).select(F.col("node").alias("sid"), F.col("root").alias("comp"))
-    known = materialize(classes.join(first, "sid", "left").withColumn("comp", F.coalesce("comp", "sid")), "known")
-    apart = candidate_edges(known, threshold, starts[1:], depth)
+    known = materialize(classes.select("sid", "sig").join(first, "sid", "left").withColumn("comp", F.coalesce("comp", "sid")), "known")
+    apart = candidate_edges(known, threshold, starts, depth)
     comps = connected_components(edges.union(apart)).select(F.col("node").alias("sid"), F.col("root").alias("comp"))
     members = comps.join(classes.select("sid", "rep", "copies", "words"), "sid")
     sizes = members.groupBy("comp").agg(F.count("*").alias("n"), F.sum("words").alias("w"))

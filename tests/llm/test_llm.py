@@ -168,6 +168,24 @@ def test_similarity_join_large_group(spark):
     assert {r.doc_id: r.n_links for r in similarity_join.join(df).collect()} == want
 
 
+def test_similarity_join_mixed_buckets(spark, monkeypatch):
+    """Buckets of a group and others, blocks and splits: brute force over all pairs."""
+    monkeypatch.setattr(similarity_join, "BUCKET", 16)
+    monkeypatch.setattr(similarity_join, "EXACT", 20)
+    rng, rows, common = random.Random(5), [], words(40, 6)
+    for g, n in enumerate((90, 60, 25, 25, 1, 1, 1)):
+        base = common + words(40, 10 + g)
+        for _ in range(n):
+            text = list(base)
+            for _ in range(rng.randrange(3)):
+                text[rng.randrange(80)] = f"u{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(text)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(76)} for i, t in rows}
+    want = {i: sum(5 * len(s & o) >= 4 * len(s | o) for j, o in sets.items() if j != i) for i, s in sets.items()}
+    assert {r.doc_id: r.n_links for r in similarity_join.join(df).collect()} == want
+
+
 def test_toxicity():
     rng = random.Random(2)
     plain = [" ".join(rng.choice(["ander", "thing", "ation", "other"]) for _ in range(60)) for _ in range(200)]
