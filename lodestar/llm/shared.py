@@ -13,6 +13,7 @@ import uuid
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -40,6 +41,16 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+#: Ids that a broadcast may hold, about 100 MB as a hash table in each executor.
+BROADCAST_IDS = 2_000_000
+
+
+def checked(ids: DataFrame, rows: int) -> DataFrame:
+    """``ids`` to be joined: broadcast if their number of rows is within the bound, else
+    left to a shuffled join."""
+    return F.broadcast(ids) if rows <= BROADCAST_IDS else ids
+
+
 def fresh(name: str, taken: list[str]) -> str:
     """``name``, lengthened until no column of the input is called so."""
     while name.lower() in {c.lower() for c in taken}:

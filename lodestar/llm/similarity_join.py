@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import materialize, small_batches
+from .shared import BROADCAST_IDS, checked, materialize, small_batches
 from .textbytes import column, mix, passes, words
 
 SHINGLE = 5
@@ -339,6 +339,16 @@ def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from pa.Table.from_batches([batch]).group_by(["doc_id", "text"], use_threads=False).aggregate([]).select(["doc_id", "text"]).combine_chunks().to_batches()
 
 
+def _texts_of(texts: DataFrame, placed: DataFrame) -> DataFrame:
+    """The texts of (doc_id, text) that the classes ``placed`` need. While these are few,
+    a broadcast of their ids keeps all other texts from being shuffled."""
+    some = texts.where(F.octet_length("text") > 0)
+    if placed.count() <= BROADCAST_IDS:
+        need = F.broadcast(placed.select(F.col("rep").alias("_rep")))
+        some = some.join(need, F.col("doc_id").eqNullSafe(F.col("_rep")), "left_semi")
+    return some.mapInArrow(_once, "doc_id long, text string")
+
+
 def join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9999, depth: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: doc_id, class_id (least id among documents that links of at
     least ``threshold`` connect, directly or not), n_links (other documents at least
@@ -360,8 +370,8 @@ def join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9999, depth:
     members = comps.join(classes.select("sid", "rep", "copies", "words"), "sid")
     sizes = members.groupBy("comp").agg(F.count("*").alias("n"), F.sum("words").alias("w"))
     blocks = sizes.select("comp", F.greatest(F.ceil(F.col("n") / EXACT), F.ceil(F.col("w") / EXACT_WORDS)).cast("long").alias("k"))
-    placed = members.join(blocks, "comp").withColumn("b", F.pmod(F.xxhash64("sid"), "k"))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.octet_length("text") > 0).mapInArrow(_once, "doc_id long, text string")
+    placed = materialize(members.join(blocks, "comp").withColumn("b", F.pmod(F.xxhash64("sid"), "k")), "placed")
+    texts = _texts_of(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), placed)
     with_text = texts.join(placed, texts.doc_id.eqNullSafe(placed.rep)).select("comp", "sid", "copies", "k", "b", "text")
     paired = with_text.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))).withColumns({"i": F.least("b", "o"), "j": F.greatest("b", "o")}).drop("o")
     keys = ["comp", "i", "j"]
@@ -384,7 +394,8 @@ def deduplicate(docs: DataFrame, **options) -> DataFrame:
     all columns; of rows that repeat this id, one. Rows with null ids stay."""
     id_col = options.get("id_col", "doc_id")
     found = materialize(join(docs, **options), "groups")
-    gone = found.where("doc_id != class_id").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = found.where("doc_id != class_id").select(F.col("doc_id").alias("_gone"))
+    gone = checked(gone.distinct(), gone.count())
     kept = docs.join(gone, docs[id_col].cast("long") == F.col("_gone"), "left_anti")
     again = found.where("doc_id = class_id and n_links > 0").groupBy(F.col("doc_id").alias("_again")).count().where("count > 1").select("_again")
     if again.isEmpty():
