@@ -5,7 +5,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.sources import files
+from lodestar.operators import checks
+from lodestar.sources import files, tables
 
 
 def test_listing_and_pairs(spark, tmp_path):
@@ -65,3 +66,22 @@ def test_profile_and_synthetic(spark):
     centres = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "k int, embedding array<double>")
     made = files.synthetic(spark, centres, 200).collect()
     assert len(made) == 200 and all(abs(sum(x * x for x in r.embedding) - 1) < 1e-9 and max(r.embedding) > 0.8 for r in made)
+
+
+def test_read_only(spark):
+    rows = spark.range(5)
+    assert tables.query(spark, "SELECT id, 'drop; it' AS t FROM {r} WHERE id >= :least -- delete", {"r": rows}, least=3).count() == 2
+    for text in ("", "DROP TABLE x", "SELECT 1; SELECT 2", "WITH a AS (SELECT 1) INSERT INTO b SELECT * FROM a"):
+        with pytest.raises(ValueError):
+            tables.read_only(text)
+
+
+def test_checks(spark):
+    rows = spark.createDataFrame([("a", 1.0), ("a", 2000.0), (None, 5.0)], "k string, v double")
+    assert sorted((str(r.k), r.v) for r in checks.unit_repair(rows, "k", "v", 1000.0, 1000.0).collect()) == [("None", 5.0), ("a", 0.001), ("a", 2.0)]
+    with pytest.raises(ValueError):
+        checks.one_to_one(rows, rows.limit(0), ["k"])
+    assert tuple(checks.differences(rows, rows.where("v > 1").union(rows.where("k is null"))).first()) == (1, 1)
+    assert tuple(checks.differences(rows.limit(0), rows.limit(0)).first()) == (0, 0)
+    maps = spark.createDataFrame([({"a": [1, 2], "b": [3]},), ({},), ({"a": None},)], "m map<string, array<int>>")
+    assert [r.s for r in maps.select(checks.frame_sums(F.col("m")).alias("s")).collect()] == [[4.0, 2.0], [], []]
