@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.llm import ann, chat, decontamination, language, packing, sharding, similarity_join, token_files, tokens, toxicity, warc
+from lodestar.llm import ann, chat, decontamination, language, packing, sharding, shared, similarity_join, token_files, tokens, toxicity, warc
 
 DOC = "doc_id long, text string, lang string, score string"
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -158,6 +158,15 @@ def test_similarity_join(spark, docs):
     assert similarity_join.join(docs.limit(0)).count() == 0
 
 
+def test_similarity_join_beyond_the_broadcast(spark, docs, monkeypatch):
+    want = sorted(map(tuple, similarity_join.join(docs).collect()), key=str)
+    kept = sorted(map(str, similarity_join.deduplicate(docs).collect()))
+    monkeypatch.setattr(similarity_join, "BROADCAST_IDS", -1)
+    monkeypatch.setattr(shared, "BROADCAST_IDS", -1)
+    assert sorted(map(tuple, similarity_join.join(docs).collect()), key=str) == want
+    assert sorted(map(str, similarity_join.deduplicate(docs).collect())) == kept
+
+
 def test_similarity_join_large_group(spark):
     """A group larger than a bucket: brute force over its near copies."""
     base = words(60, 4)
