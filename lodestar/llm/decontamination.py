@@ -5,7 +5,8 @@ suffixes that begin at them, so that all places where a benchmark's words occur
 sequence are one interval, found by binary search. The benchmark is split into
 block files in the shared folder; each shard searches all blocks, one in memory at
 a time, so neither side has to fit anywhere. A document lies in one shard whole:
-its counts need no exchange.
+its counts need no exchange. Windows need suffixes sorted to ``window`` words;
+longest matches need them sorted to the documents' ends.
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z. A window is
 ``window`` consecutive words of an item, or all words of a shorter item.
@@ -35,8 +36,9 @@ from .textbytes import column, passes, words
 
 #: Bytes of text in a shard and in a benchmark block.
 SHARD_BYTES, BLOCK_BYTES = 4 << 20, 8 << 20
-#: Words by which suffixes are sorted; longer matches are extended from there.
-DEPTH = 16
+#: Words of an item's suffix that are looked up at once; longer ones are told apart
+#: by comparison with the suffixes that begin so. Suffixes looked up in one pass.
+DEPTH, PASS_SUFFIXES = 16, 1 << 16
 _RESULT = {"n_words": "long", "n_hit": "long", "n_items": "long", "items": "array<string>", "items_sha256": "string", "contaminated": "boolean"}
 
 
@@ -77,7 +79,7 @@ class Block:
         left = np.repeat(counts, counts) - self.place
         self.size = np.minimum(window, np.repeat(counts, counts))
         begins = np.flatnonzero(left >= self.size)
-        padded = np.append(self.words, np.zeros(max(window, DEPTH), np.uint64))
+        padded = np.append(self.words, np.zeros(window, np.uint64))
         grid = padded[begins[:, None] + np.arange(window)]
         grid[np.arange(window) >= self.size[begins, None]] = 0
         if len(begins):
@@ -87,8 +89,6 @@ class Block:
         pairs = np.unique(np.stack([which.ravel(), self.item[begins]], 1), axis=0)
         self.owners, self.owner_at = pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(self.windows) + 1))
         self.lengths = (self.windows != 0).sum(1)
-        self.suffixes = padded[np.arange(len(self.words))[:, None] + np.arange(DEPTH)]
-        self.suffixes[np.arange(DEPTH) >= left[:, None]] = 0
         self.left = left
 
 
@@ -98,9 +98,10 @@ def block(uri: str, window: int) -> Block:
 
 
 class Shard:
-    """Words of whole documents and their suffix array (to ``DEPTH`` words)."""
+    """Words of whole documents and their suffix array, in order by the first ``depth``
+    words of each suffix, or by all to the end of its document."""
 
-    def __init__(self, hashes: np.ndarray, bounds: np.ndarray):
+    def __init__(self, hashes: np.ndarray, bounds: np.ndarray, depth: int | None = None):
         docs = len(bounds) - 1
         n = len(hashes) + docs
         self.begin = bounds + np.arange(docs + 1)  # a zero ends each document
@@ -110,16 +111,29 @@ class Shard:
         text[own] = np.maximum(hashes, np.uint64(1))
         self.vocabulary, rank = np.unique(text, return_inverse=True)
         # even ranks for known words leave odd ones for words that only the benchmark has
-        self.rank = np.append(2 * rank, np.zeros(DEPTH + 1, np.int64)).astype(np.int64)
-        order, step = rank.astype(np.int64), 1
-        while step < DEPTH and n:
-            after = np.zeros(n, np.int64)
-            after[:-step] = order[step:] + 1
-            distinct, order = np.unique((order << 32) | after, return_inverse=True)
-            step *= 2
-            if len(distinct) == n:
+        self.rank = np.append(2 * rank, 0).astype(np.int64)
+        # each document's end differs from all others, so no tie goes on beyond it
+        key = rank.astype(np.int64) + docs
+        key[~own] = np.arange(docs)
+        self.suffix = np.argsort(key, kind="stable")
+        new = np.append(True, np.diff(key[self.suffix]) != 0)
+        place = np.arange(n)
+        first = np.maximum.accumulate(np.where(new, place, 0))
+        order, step = np.empty(n, np.int64), 1
+        order[self.suffix] = first
+        while depth is None or step < depth:
+            tied = np.flatnonzero(~(new & np.append(new[1:], True)))
+            if not tied.size:
                 break
-        self.suffix = np.argsort(order, kind="stable")
+            at = self.suffix[tied]
+            key = (first[tied] << 32) | order[at + step]
+            by = np.argsort(key)
+            at, key = at[by], key[by]
+            self.suffix[tied] = at
+            new[tied] = np.append(True, np.diff(key) != 0)
+            first[tied] = np.maximum.accumulate(np.where(new[tied], tied, 0))
+            order[at] = first[tied]
+            step *= 2
 
     def ranked(self, grid: np.ndarray) -> np.ndarray:
         at = np.searchsorted(self.vocabulary, grid)
@@ -154,25 +168,45 @@ class Shard:
         at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count - lo, count)
         return np.repeat(live, count), self.suffix[at]
 
+    def common(self, pos: np.ndarray, full: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """How many of the ``left`` words of ``full`` from ``at`` stand at ``pos``."""
+        n, going, cols = np.zeros(len(pos), np.int64), np.arange(len(pos)), np.arange(2 * DEPTH)
+        while going.size:
+            k = n[going][:, None] + cols
+            there = self.rank[np.minimum(pos[going][:, None] + k, len(self.rank) - 1)]
+            same = (k < left[going][:, None]) & (there == full[np.minimum(at[going][:, None] + k, len(full) - 1)])
+            run = np.where(same.all(1), len(cols), same.argmin(1))
+            n[going] += run
+            going = going[run == len(cols)]
+        return n
+
     def longest(self, b: Block) -> tuple[np.ndarray, np.ndarray]:
-        """For each suffix of the block's items its longest match in words and its place."""
-        lengths = np.minimum(b.left, DEPTH)
-        at = self.bound(self.ranked(b.suffixes), lengths, False)
+        """For each suffix of the block's items its longest match in words and its place;
+        the shard must be sorted to the documents' ends."""
         full, known = self.ranked(b.words), len(self.suffix)
-        best, where = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-        for near in (at - 1, at):
-            ok = np.flatnonzero((near >= 0) & (near < known))
-            pos, n = self.suffix[near[ok]], np.zeros(len(ok), np.int64)
-            going = np.arange(len(ok))
-            while going.size:
-                k = n[going]
-                inside = (k < b.left[ok[going]]) & (pos[going] + k < known)
-                going, k = going[inside], k[inside]
-                same = full[ok[going] + k] == self.rank[pos[going] + k]
-                going = going[same]
-                n[going] += 1
-            better = n > best[ok]
-            best[ok[better]], where[ok[better]] = n[better], pos[better]
+        best, where = np.zeros(len(full), np.int64), np.zeros(len(full), np.int64)
+        for a in range(0, len(full), PASS_SUFFIXES):
+            own = np.arange(a, min(len(full), a + PASS_SUFFIXES))
+            left = b.left[own]
+            lengths = np.minimum(left, DEPTH)
+            grid = full[np.minimum(own[:, None] + np.arange(DEPTH), len(full) - 1)]
+            lo, hi = self.bound(grid, lengths, False), self.bound(grid, lengths, True)
+            hi = np.where(left > DEPTH, hi, lo)
+            while (open_ := np.flatnonzero(lo < hi)).size:
+                mid = (lo[open_] + hi[open_]) >> 1
+                pos = self.suffix[mid]
+                n = self.common(pos, full, own[open_], left[open_])
+                # a suffix that ends first, or goes on with a smaller word, stands before
+                less = n < left[open_]
+                less[less] = self.rank[pos[less] + n[less]] < full[own[open_[less]] + n[less]]
+                lo[open_[less]] = mid[less] + 1
+                hi[open_[~less]] = mid[~less]
+            for near in (lo - 1, lo):
+                ok = np.flatnonzero((near >= 0) & (near < known))
+                pos = self.suffix[near[ok]]
+                n = self.common(pos, full, own[ok], left[ok])
+                better = n > best[own[ok]]
+                best[own[ok[better]]], where[own[ok[better]]] = n[better], pos[better]
         return best, where
 
 
@@ -182,7 +216,7 @@ def _judge(buf: np.ndarray, offs: np.ndarray, uris: list[str], window: int) -> t
     items: list[set[str]] = [set() for _ in range(n)]
     if not len(hashes):
         return np.diff(bounds), np.zeros(n, np.int64), [[] for _ in items]
-    shard = Shard(hashes, bounds)
+    shard = Shard(hashes, bounds, window)
     change = np.zeros(len(shard.suffix) + 1, np.int64)
     for uri in uris:
         b = block(uri, window)
@@ -245,7 +279,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
                     continue
                 shard = Shard(hashes, bounds)
                 for uri in uris:
-                    b = block(uri, DEPTH)
+                    b = block(uri, 1)
                     best, where = shard.longest(b)
                     on = np.flatnonzero(best)
                     doc = np.searchsorted(shard.begin, where[on], side="right") - 1

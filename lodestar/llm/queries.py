@@ -65,6 +65,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.annotate(docs, _table(spark, sf_dir, "benchmark"), keep=["doc_id"]).drop("items")
 
 
+def op10_longest_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length and place of the longest verbatim match of every benchmark suffix."""
+    return decontamination.longest_matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 _DECONTAMINATION = r"""
 WITH doc AS (
   SELECT row_number() OVER () AS r, doc_id,
@@ -115,5 +120,5 @@ SELECT conv_id, speaker, part, count(*) AS n_messages,
 FROM runs GROUP BY conv_id, speaker, part
 """
 
-QUERIES = {f.__name__: f for f in (op1_nearest, op2_packing, op3_perspectives, op4_warc, op5_sharding, op6_language, op7_similarity_join, op8_toxicity, op9_token_files, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_nearest, op2_packing, op3_perspectives, op4_warc, op5_sharding, op6_language, op7_similarity_join, op8_toxicity, op9_token_files, op10_decontamination, op10_longest_matches)}
 ORACLES: dict[str, str] = {"op3_perspectives": _PERSPECTIVES, "op4_warc": _WARC, "op10_decontamination": _DECONTAMINATION}

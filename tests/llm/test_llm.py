@@ -231,3 +231,46 @@ def test_decontamination(spark, docs):
     assert decontamination.remove(docs.limit(0), bench).count() == 0
     best = {(r.item, r.item_word): r for r in decontamination.longest_matches(docs, bench).collect()}
     assert best["1", 0].words == 30 and best["1", 0].doc_word == 20
+
+
+def test_longest_matches_in_a_tied_run(spark):
+    """A passage stands in many documents, a later one goes on: brute force over all."""
+    item = words(260, 30)
+    texts = [[*words(5, 40 + i), *item[:20], *words(5, 80 + i)] for i in range(12)]
+    texts += [[*words(9, 60), *item[:220], "end"], item[:20], [*item[3:40], *item[3:90]], [], words(50, 61), item[100:240]]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame([("a", " ".join(item)), ("b", " ".join(item[3:60])), ("c", "not there")], "item_id string, text string")
+
+    def longest(suffix):
+        best = 0
+        for t in texts:
+            for i in range(len(t)):
+                n = 0
+                while n < len(suffix) and i + n < len(t) and t[i + n] == suffix[n]:
+                    n += 1
+                best = max(best, n)
+        return best
+
+    got = {(r.item, r.item_word): r for r in decontamination.longest_matches(df, bench).collect()}
+    for name, own in (("a", item), ("b", item[3:60])):
+        want = {i: n for i in range(len(own)) if (n := longest(own[i:]))}
+        assert {k[1]: r.words for k, r in got.items() if k[0] == name} == want
+        for i, n in want.items():
+            r = got[name, i]
+            assert texts[r.doc_id][r.doc_word : r.doc_word + n] == own[i : i + n]
+    assert got["a", 0].words == 220
+
+
+def test_decontamination_wide_windows(spark):
+    """Windows wider than the depth of one look-up."""
+    item = words(60, 31)
+    rng = random.Random(7)
+    texts = [[*item[: rng.randrange(17, 60)], *words(4, 90 + i), *item[rng.randrange(30) :]] for i in range(30)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame([("a", " ".join(item))], "item_id string, text string")
+    for size in (24, 40):
+        spans = {tuple(item[i : i + size]) for i in range(60 - size + 1)}
+        want = {}
+        for d, t in enumerate(texts):
+            want[d] = len({p for i in range(len(t) - size + 1) if tuple(t[i : i + size]) in spans for p in range(i, i + size)})
+        assert {r.doc_id: r.n_hit for r in decontamination.annotate(df, bench, window=size).collect()} == want
