@@ -293,8 +293,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, dims: int = DIMS
             if not len(take):
                 continue
             x, ids = _dense(rows, take, length), batch.column(0).to_numpy(zero_copy_only=False)[take].astype(np.int64)
-            # of equal vectors here, no more than k + 1 ids can be anyone's neighbours
+            # of equal vectors here, no more than k + 1 ids can be anyone's neighbours;
+            # repeated rows go first, so that they take no other id's place
             by = np.lexsort([ids, *x.T[::-1]])
+            by = by[np.append(True, (ids[by][1:] != ids[by][:-1]) | (x[by][1:] != x[by][:-1]).any(1))]
             new = np.append(True, (x[by][1:] != x[by][:-1]).any(1))
             group = np.cumsum(new) - 1
             kept = np.sort(by[np.arange(len(by)) - np.flatnonzero(new)[group] <= k])

@@ -60,6 +60,18 @@ def test_nearest(spark):
     assert ann.search(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_nearest_repeated_rows_beside_copies(spark):
+    """A repeated row takes no place of other ids with the same vector."""
+    rng = np.random.default_rng(6)
+    far = rng.standard_normal((40, 8)) + 20
+    x = [1.0] * 8
+    rows = [(7, x)] * 20 + [(100 + i, x) for i in range(12)] + [(200 + i, v.tolist()) for i, v in enumerate(far)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    asked = spark.createDataFrame([(1, [1.0] * 7 + [1.5])], "vec_id long, embedding array<double>")
+    got = ann.search(df, asked).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(i, 0.5) for i in (7, *range(100, 109))]
+
+
 def test_packing(spark, docs):
     rows = packing.pack(docs, tokens.default_path()).collect()
     seen = {}
