@@ -17,6 +17,8 @@ from ..functions.vectors import cosine_distance, literal, shorten
 STRATEGIES = ("exact", "prefilter", "postfilter", "candidates", "adaptive")
 #: How many times k a filter after the search fetches.
 FETCH = 5
+#: Queries that are broadcast, or that meet the rows in one block.
+QUERIES = 1000
 
 
 def probe(vectors: DataFrame, key: object, id_col: str = "vec_id", vector_col: str = "embedding") -> list[float]:
@@ -80,11 +82,13 @@ def search(vectors: DataFrame, query: list[float], k: int, strategy: str = "pref
 
 
 def many(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """The k nearest rows for each of a few queries (query_id, query): a broadcast of the
-    queries, whose number is checked, and a limit per query in each task."""
-    if queries.limit(1001).count() > 1000:
-        raise ValueError("more than 1000 queries: search an index instead")
-    pairs = vectors.join(F.broadcast(queries.select("query_id", "query")))
+    """The k nearest rows for each query (query_id, query), of any number: up to
+    ``QUERIES`` are broadcast; more are dealt into blocks of about that size, and each
+    block meets all rows. Each task keeps k rows a query before the exchange."""
+    asked = queries.select("query_id", "query")
+    count = asked.count()
+    asked = F.broadcast(asked) if count <= QUERIES else asked.repartition(-(-count // QUERIES))
+    pairs = vectors.crossJoin(asked)
     order = Window.partitionBy("query_id").orderBy("dist", id_col)
     pairs = pairs.withColumn("dist", cosine_distance(vector_col, "query")).drop("query")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

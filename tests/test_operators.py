@@ -82,6 +82,25 @@ def test_prefilter_is_never_short(spark):
     assert search.postfilter(df, [0.0, 1.0], 5, F.col("g") == 6, fetch=1).count() == 0
 
 
+def test_many_takes_any_number_of_queries(spark):
+    """Beyond a broadcast, without and with Spark's own choice of one."""
+    rows = [(i, [math.cos(i), math.sin(i)]) for i in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = [(i, [math.cos(i / 7), math.sin(i / 7)]) for i in range(1203)]
+    queries = spark.createDataFrame(asked, "query_id long, query array<double>")
+    want = {q: [i for _, i in sorted((1 - sum(a * b for a, b in zip(v, e, strict=True)), i) for i, e in rows)[:3]] for q, v in asked}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for threshold in (before, "-1"):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+            got = {}
+            for r in search.many(df, queries, 3).orderBy("query_id", "rank").collect():
+                got.setdefault(r.query_id, []).append(r.vec_id)
+            assert got == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_greedy_takes_the_first_free_span(spark):
     found = spark.createDataFrame([("q", 1, "v", 0.0, 10.0), ("q", 2, "v", 0.0, 10.0), ("q", 3, "w", 0.0, 10.0)], "query_id string, rank int, video string, t_start double, t_end double")
     truth = spark.createDataFrame([("q", "v", 0.0, 9.0)], "query_id string, video string, t_start double, t_end double")
