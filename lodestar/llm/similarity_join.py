@@ -27,9 +27,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .components import connected_components
-from .shared import BROADCAST_IDS, checked, materialize, small_batches
+from .shared import BROADCAST_IDS, checked, fresh, materialize, small_batches
 from .textbytes import column, mix, passes, words
 
 SHINGLE = 5
@@ -349,16 +350,26 @@ def _texts_of(texts: DataFrame, placed: DataFrame) -> DataFrame:
     return some.mapInArrow(_once, "doc_id long, text string")
 
 
-def join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9999, depth: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per document: doc_id, class_id (least id among documents that links of at
-    least ``threshold`` connect, directly or not), n_links (other documents at least
-    that similar, copies counted) and n_copies (documents with the same words).
+def _keyed(docs: DataFrame, text_col: str, name: str) -> DataFrame:
+    """``docs`` with the class key of each row (null without words) as column ``name``."""
+    own = list(docs.columns)
 
-    A null, empty or wordless text has no shingles: no links, its own id as class_id.
-    Texts of fewer than five words are one shingle. Null ids are kept and count last
-    in the choice of class_id. Repeated rows are copies of each other. Other columns
-    are not read. An empty table gives no rows.
-    """
+    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, offs = column(batch, "_text")
+            for lo, hi in passes(offs):
+                _, _, n, found = shingles(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
+                sid = _fixed(found).take(pa.array(np.arange(hi - lo), mask=n == 0))
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).select(own).columns, sid], names=[*own, name])
+
+    rows = small_batches(docs).select(*own, F.col(text_col).alias("_text"))
+    return rows.mapInArrow(key, StructType([*docs.schema.fields, StructField(name, BinaryType())]))
+
+
+def _grouped(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9999, depth: int = 4, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """A row per document (doc_id, sid), and a row per class: sid, class_id, n_links,
+    copies, rep (its least id), and whether it is the first class of its group, by least
+    id, then by key, null ids last."""
     own = materialize(sketches(docs, id_col, text_col), "sketches")
     classes = materialize(own.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("words").alias("words"), F.first("sig").alias("sig")), "classes")
     starts = starts_for(recall, threshold)
@@ -372,7 +383,13 @@ def join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9999, depth:
     blocks = sizes.select("comp", F.greatest(F.ceil(F.col("n") / EXACT), F.ceil(F.col("w") / EXACT_WORDS)).cast("long").alias("k"))
     placed = materialize(members.join(blocks, "comp").withColumn("b", F.pmod(F.xxhash64("sid"), "k")), "placed")
     texts = _texts_of(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), placed)
-    with_text = texts.join(placed, texts.doc_id.eqNullSafe(placed.rep)).select("comp", "sid", "copies", "k", "b", "text")
+    with_text = texts.join(placed, texts.doc_id == placed.rep).select("comp", "sid", "copies", "k", "b", "text")
+    unnamed = placed.where("rep is null")
+    if not unnamed.isEmpty():
+        # one text a class: by id, all rows without one would meet all such classes
+        keyed = _keyed(docs.where(F.col(id_col).cast("long").isNull()).select(F.col(text_col).alias("text")), "text", "sid")
+        one = keyed.where("sid is not null").groupBy("sid").agg(F.min("text").alias("text"))
+        with_text = with_text.unionByName(one.join(unnamed, "sid").select("comp", "sid", "copies", "k", "b", "text"))
     paired = with_text.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))).withColumns({"i": F.least("b", "o"), "j": F.greatest("b", "o")}).drop("o")
     keys = ["comp", "i", "j"]
     checked = paired.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lambda it: _verify(it, threshold), "sid binary, links long, root binary, whole boolean")
@@ -382,23 +399,53 @@ def join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9999, depth:
     roots = whole if parts.isEmpty() else whole.union(connected_components(parts.select(F.col("sid").alias("u"), F.col("root").alias("v"))))
     links = checked.groupBy("sid").agg(F.sum("links").alias("links"))
     rooted = classes.select("sid", "rep", "copies").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("class_id")), "root").join(links, "sid", "left")
-    facts = named.select("sid", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies")
-    out = own.select("doc_id", "sid").join(facts, "sid", "left")
+    first = F.min(F.struct(F.col("rep").isNull().alias("n"), "rep", "sid")).alias("_first")
+    named = rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("class_id"), first), "root").join(links, "sid", "left")
+    facts = named.select("sid", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies", "rep", (F.col("sid") == F.col("_first.sid")).alias("first"))
+    return own, facts
+
+
+def join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9999, depth: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row per document: doc_id, class_id (least id among documents that links of at
+    least ``threshold`` connect, directly or not), n_links (other documents at least
+    that similar, copies counted) and n_copies (documents with the same words).
+
+    A null, empty or wordless text has no shingles: no links, its own id as class_id.
+    Texts of fewer than five words are one shingle. Null ids are kept and count last
+    in the choice of class_id. Repeated rows are copies of each other. Other columns
+    are not read. An empty table gives no rows.
+    """
+    own, facts = _grouped(docs, threshold, recall, depth, id_col, text_col)
+    out = own.select("doc_id", "sid").join(facts.drop("rep", "first"), "sid", "left")
     alone = F.col("sid").isNull()
     return out.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce(F.col("copies"), F.lit(1)).alias("n_copies"))
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
-    """The documents of which one of each group stays, the one with the least id, with
-    all columns; of rows that repeat this id, one. Rows with null ids stay."""
-    id_col = options.get("id_col", "doc_id")
-    found = materialize(join(docs, **options), "groups")
-    gone = found.where("doc_id != class_id").select(F.col("doc_id").alias("_gone"))
-    gone = checked(gone.distinct(), gone.count())
-    kept = docs.join(gone, docs[id_col].cast("long") == F.col("_gone"), "left_anti")
-    again = found.where("doc_id = class_id and n_links > 0").groupBy(F.col("doc_id").alias("_again")).count().where("count > 1").select("_again")
-    if again.isEmpty():
+    """The documents of which one row of each group stays, with all columns: of the rows
+    with the least id (null ids last), one, and of an id with several texts in the group
+    one text. Rows in no group of several stay, whatever their ids.
+
+    Where all rows of an id go, or none does, the id alone decides. Only rows of other ids,
+    and without an id, are decided by their words."""
+    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
+    own, facts = _grouped(docs, **options)
+    facts = materialize(facts.where("n_links > 0").select("sid", "rep", "first"), "facts")
+    # null for a row that is in no group of several
+    stays = F.when(F.col("first").isNotNull(), F.col("first") & F.col("doc_id").eqNullSafe(F.col("rep")))
+    rows = own.select("doc_id", "sid").join(facts, "sid", "left").select("doc_id", (~stays).alias("gone"), stays.alias("stays"))
+    ids = rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if("gone").alias("gone"), F.count_if("stays").alias("stays")).where("gone > 0 or stays > 1")
+    ids = materialize(ids.select("doc_id", (F.col("doc_id").isNotNull() & (F.col("gone") == F.col("n"))).alias("whole")), "ids")
+    some = ids.where("not whole").select(F.col("doc_id").alias("_id"))
+    touched = checked(ids.select(F.col("doc_id").alias("_id")), ids.count())
+    kept = docs.join(touched, F.col("_id").eqNullSafe(docs[id_col].cast("long")), "left_anti")
+    if some.isEmpty():
         return kept
-    match = kept[id_col].cast("long") == F.col("_again")
-    return kept.join(again, match, "left_anti").unionByName(kept.join(again, match, "left_semi").dropDuplicates([id_col]))
+    mixed = docs.join(checked(some, some.count()), F.col("_id").eqNullSafe(docs[id_col].cast("long")), "left_semi")
+    sid = fresh("_sid", docs.columns)
+    known = facts.select(F.col("sid").alias("_key"), F.col("rep").alias("_rep"), F.col("first").alias("_first"))
+    met = materialize(_keyed(mixed, text_col, sid).join(known, F.col(sid) == F.col("_key"), "left"), "mixed")
+    alone = met.where("_key is null").select(*docs.columns)
+    # aggregated in each task before the exchange: copies without an id may be many
+    one = met.where(F.col("_first") & F.col(id_col).cast("long").eqNullSafe(F.col("_rep"))).dropDuplicates([sid]).select(*docs.columns)
+    return kept.unionByName(alone).unionByName(one)

@@ -179,6 +179,22 @@ def test_similarity_join_beyond_the_broadcast(spark, docs, monkeypatch):
     assert sorted(map(str, similarity_join.deduplicate(docs).collect())) == kept
 
 
+def test_deduplicate_by_row(spark):
+    """Ids with several texts and rows without an id: one row of each group stays."""
+    base, other, third = words(80, 50), words(80, 51), words(80, 52)
+    near = [*base[:40], "x", *base[41:]]
+    rows = [(1, " ".join(base)), (2, " ".join(near)), (2, "one of a kind"), (3, " ".join(other)), (3, " ".join(words(60, 53)))]
+    rows += [(3, " ".join(other))] * 3 + [(None, " ".join(third))] * 4 + [(None, " ".join([*third[:79], "y"])), (None, " ".join(other)), (None, "alone without id")]
+    rows += [(5, " ".join(words(70, 54))), (5, " ".join([*words(70, 54)[:69], "z"])), (6, None), (6, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text) for r in similarity_join.deduplicate(df).collect()), key=str)
+    free = [r for r in got if r[0] == 5]
+    assert len(free) == 1 and free[0] in rows
+    null = [r for r in got if r[0] is None]
+    assert len(null) == 2 and (None, "alone without id") in null and all(r in rows for r in null)
+    assert [r for r in got if r[0] not in (None, 5)] == sorted([rows[0], rows[2], rows[3], rows[4], (6, None), (6, None)], key=str)
+
+
 def test_similarity_join_large_group(spark):
     """A group larger than a bucket: brute force over its near copies."""
     base = words(60, 4)
