@@ -28,8 +28,15 @@ def _folder(spark: SparkSession) -> str:
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table as a stream of its files: those in its folder, or the one file of its
+    name in ``sf_dir``."""
     schema = table(spark, sf_dir, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/events.parquet")
+    reader = spark.readStream.schema(schema)
+    if path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(path).isDirectory():
+        stream = reader.parquet(f"{sf_dir}/events.parquet")
+    else:
+        stream = reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     return stream.withColumn("time", F.col("ts").cast("timestamp"))
 
 

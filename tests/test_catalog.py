@@ -38,3 +38,10 @@ def test_oracle(spark, con, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs(spark, name):
     assert QUERIES[name](spark, DATA).count() > 0
+
+
+@pytest.mark.parametrize("name", ["stream_ingest_idempotent", "stream_sliding_windows", "stream_dedup_late"])
+def test_stream_of_a_folder(spark, con, name, tmp_path):
+    """A table of several part files is read whole."""
+    spark.read.parquet(f"{DATA}/events.parquet").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    assert rows(QUERIES[name](spark, str(tmp_path)).toPandas()) == rows(con.execute(ORACLES[name]).df())
