@@ -12,7 +12,7 @@ import tempfile
 import uuid
 from urllib.parse import urlparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -71,6 +71,32 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of one computation, in a folder of their own that goes when the context
+    ends: what is needed after it has to be written elsewhere before."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.n = spark, new_path(spark, "scratch"), 0
+
+    def table(self, df: DataFrame, label: str) -> DataFrame:
+        self.n += 1
+        path = f"{self.folder}/{self.n:04d}-{label}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def quoted(names: list[str]) -> list[Column]:
+    """Columns by these names, dots and other marks in them taken as they are."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
 def _local(uri: str) -> str | None:
     parts = urlparse(uri)
     if parts.scheme in ("", "file"):

@@ -6,19 +6,22 @@ run, a set is split on sampled token positions: classes that share the value the
 meet in a bucket. Members of a large bucket are compared with one of them first, so a
 group of near copies becomes one component at once, and buckets of one component need
 no more work. Small buckets are compared by brute force on the values; larger ones are
-split again on positions sampled for the bucket, to ``depth`` levels, and what stays
-too large is compared block by block, each pair of blocks a task of its own. A pair at
-the threshold survives all levels of one run with a probability that has a lower bound,
-so the number of runs follows from the target recall.
-
-Pairs that look similar only join candidate components. Every component then gets
-its members' whole texts, and all its pairs are compared exactly on their shingles,
-again in blocks; tasks return counts of links and star edges, never pairs. So a
-group of thousands of near copies costs comparisons, not rows.
+split again, to ``depth`` levels, on values at several positions drawn for the bucket,
+so that one frequent shingle does not carry a bucket on; what stays too large is
+compared block by block, each pair of blocks a task of its own. A pair at the threshold
+survives all levels of one run with a probability that has a lower bound, so the number
+of runs follows from the target recall.
+
+Pairs that look similar only join candidate components. One text of each of their
+classes is then sent to its component's blocks, once, and every block becomes one row of
+shingle sets. All pairs in a block and between the blocks of a component are compared
+exactly on their shingles; tasks return counts of links and star edges, never pairs. So
+a group of thousands of near copies costs comparisons, not rows.
 """
 
 from __future__ import annotations
 
+import io
 import math
 from collections.abc import Iterator
 
@@ -30,25 +33,33 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .components import connected_components
-from .shared import BROADCAST_IDS, checked, fresh, materialize, small_batches
+from .shared import BROADCAST_IDS, Scratch, checked, fresh, materialize, quoted, small_batches
 from .textbytes import column, mix, passes, words
 
 SHINGLE = 5
 POSITIONS = 64
 #: Classes in a bucket that brute force takes; in a block that exact comparison takes.
-BUCKET, EXACT = 512, 256
+BUCKET, EXACT = 1024, 256
 #: Words of text in such a block.
 EXACT_WORDS = 1 << 20
 _SEEDS = np.random.default_rng(20240229).integers(1, 1 << 32, (2, POSITIONS), dtype=np.uint64).astype(np.uint32)
 _ODD = np.random.default_rng(7).integers(1, 1 << 63, SHINGLE + 1, dtype=np.uint64) | np.uint64(1)
 
 
-def runs_for(recall: float, threshold: float, branches: int = 2) -> int:
-    """Runs that find a pair at the threshold with this probability, at any depth: the
-    survival s of a run solves s = 1 - (1 - threshold s) ** branches."""
+def branching(threshold: float) -> tuple[int, int]:
+    """Positions that a split below the first takes together, and branches of a split: as
+    many as keep a pair at the threshold in 1.2 of them on the average."""
+    joint = 2 if threshold >= 0.75 else 1
+    return joint, max(2, math.ceil(1.2 / threshold**joint))
+
+
+def runs_for(recall: float, threshold: float, depth: int) -> int:
+    """Runs that find a pair at the threshold with this probability: where the levels
+    below keep it with probability s, a level keeps it with 1 - (1 - p s) ** branches."""
+    joint, branches = branching(threshold)
     s = 1.0
-    for _ in range(200):
-        s = 1 - (1 - threshold * s) ** branches
+    for level in range(depth - 1, -1, -1):
+        s = 1 - (1 - threshold ** (joint if level else 1) * s) ** branches
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - s)))
 
 
@@ -190,9 +201,12 @@ def _compare(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Recor
         yield from pa.table({"u": sid.take(pa.array(np.concatenate(left))), "v": sid.take(pa.array(np.concatenate(right)))}).combine_chunks().to_batches()
 
 
-def starts_for(recall: float, threshold: float, branches: int = 2) -> list[int]:
+def starts_for(recall: float, threshold: float, depth: int) -> list[int]:
     """The positions at which the runs start, each run at positions of its own."""
-    return np.random.default_rng(11).permutation(POSITIONS)[: runs_for(recall, threshold) * branches].tolist()
+    need = runs_for(recall, threshold, depth) * branching(threshold)[1]
+    if need > POSITIONS:
+        raise ValueError(f"recall {recall} at threshold {threshold} needs more than {POSITIONS} positions")
+    return np.random.default_rng(11).permutation(POSITIONS)[:need].tolist()
 
 
 def _least(threshold: float) -> int:
@@ -228,7 +242,16 @@ def pivot_edges(classes: DataFrame, threshold: float, starts: list[int]) -> Data
     return small_batches(both.select("sid", "pivot", "sig", "other")).mapInArrow(lambda it: _near_pivot(it, least), "u binary, v binary")
 
 
-def candidate_edges(classes: DataFrame, threshold: float, starts: list[int], depth: int) -> DataFrame:
+def _split(level: DataFrame, threshold: float) -> DataFrame:
+    """Rows (sid, sig, comp, path) of the next level: in each branch, the classes of a
+    bucket that agree at all positions drawn for the bucket and the branch."""
+    joint, branches = branching(threshold)
+    spot = lambda i: F.pmod(F.xxhash64("path", F.lit(i)), F.lit(POSITIONS)).cast("int")
+    paths = [F.xxhash64("path", F.lit(b), *(_token(spot(b * joint + j)) for j in range(joint))) for b in range(branches)]
+    return level.select("sid", "sig", "comp", F.explode(F.array(*paths)).alias("path"))
+
+
+def candidate_edges(classes: DataFrame, threshold: float, starts: list[int], depth: int, scratch: Scratch) -> DataFrame:
     """Star edges (u, v) of classes (sid, sig, comp) that meet in a bucket and look
     similar. Buckets of one component are left out: all its pairs are compared anyway.
     Large buckets of one component and few others are not split: blocks of the
@@ -241,11 +264,11 @@ def candidate_edges(classes: DataFrame, threshold: float, starts: list[int], dep
         narrow = level.select("path", "sid", "comp")
         shared = narrow.groupBy("path").agg(F.count("*").alias("n"), F.min("comp").alias("_a"), F.max("comp").alias("_b")).where("n > 1 and _a != _b").select("path", "n")
         met = narrow.drop("comp").join(shared, "path")
-        rows = materialize(met.join(classes.select("sid", "sig", "comp"), "sid") if at == 0 else level.join(shared, "path"), "buckets")
+        rows = scratch.table(met.join(classes.select("sid", "sig", "comp"), "sid") if at == 0 else level.join(shared, "path"), "buckets")
         found.append(compare(rows.where(F.col("n") <= BUCKET)))
         large = rows.where(F.col("n") > BUCKET)
         sizes = large.groupBy("path", "comp").count().groupBy("path").agg(F.max_by("comp", "count").alias("main"), F.max("count").alias("most"), (F.sum("count") - F.max("count")).alias("rest"))
-        sizes = materialize(sizes, "sizes")
+        sizes = scratch.table(sizes, "sizes")
         half = BUCKET // 2
         few = large.join(sizes.where(F.col("rest") <= half), "path").withColumn("k", F.ceil(F.col("most") / half).cast("long"))
         block = F.when(F.col("comp") == F.col("main"), F.array(F.pmod(F.xxhash64("sid", "path"), "k"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))
@@ -259,9 +282,7 @@ def candidate_edges(classes: DataFrame, threshold: float, starts: list[int], dep
             other = own.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
             found.append(compare(other.withColumn("path", F.xxhash64("path", F.least("b", "o"), F.greatest("b", "o")))))
             break
-        first = F.pmod(F.xxhash64("path", F.lit(1)), F.lit(POSITIONS)).cast("int")
-        second = F.pmod(first + 1 + F.pmod(F.xxhash64("path", F.lit(2)), F.lit(POSITIONS - 1)), F.lit(POSITIONS)).cast("int")
-        level = level.select("sid", "sig", "comp", F.explode(F.array(*(F.xxhash64("path", i, _token(i)) for i in (first, second)))).alias("path"))
+        level = _split(level, threshold)
     out = found[0]
     for more in found[1:]:
         out = out.union(more)
@@ -295,74 +316,122 @@ def _common(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    keys = ["comp", "i", "j"]
-    for table in _groups(batches, keys):
-        table = table.combine_chunks()
-        cut = _cuts(table, keys)
+_LINKS = {"sid": pa.binary(), "links": pa.int64(), "root": pa.binary(), "whole": pa.bool_()}
+_BLOCK = {"comp": pa.binary(), "k": pa.int64(), "b": pa.int64(), "sets": pa.large_binary()}
+
+
+def _linked(sets: list[np.ndarray], threshold: float) -> np.ndarray:
+    """Which pairs of sets are at least so similar."""
+    both = _common(sets)
+    size = np.array([len(s) for s in sets])
+    # exact in integers: common / union >= threshold
+    linked = both >= threshold * (size[:, None] + size[None] - both) - 1e-9
+    np.fill_diagonal(linked, False)
+    return linked
+
+
+def _told(sid: list[bytes], copies: np.ndarray, linked: np.ndarray, whole: bool) -> dict[str, list]:
+    """For each class its links, copies counted, and the first class of its component."""
+    root = _roots(linked | np.eye(len(sid), dtype=bool))
+    return {"sid": sid, "links": (linked * copies).sum(1).tolist(), "root": [sid[r] for r in root], "whole": [whole] * len(sid)}
+
+
+def _packed(sid: list[bytes], copies: np.ndarray, sets: list[np.ndarray]) -> bytes:
+    out = io.BytesIO()
+    np.savez(out, sid=np.frombuffer(b"".join(sid), np.uint8), copies=copies, size=[len(s) for s in sets], values=np.concatenate(sets))
+    return out.getvalue()
+
+
+def _unpacked(raw: bytes) -> tuple[list[bytes], np.ndarray, list[np.ndarray]]:
+    with np.load(io.BytesIO(raw)) as z:
+        flat, size = z["sid"].tobytes(), z["size"]
+        return [flat[i : i + 16] for i in range(0, len(flat), 16)], z["copies"], np.split(z["values"], np.cumsum(size)[:-1])
+
+
+def _in_block(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Rows (comp, b, sid, copies, k, text) that stand by block: links inside each block,
+    and the block itself as one row where its component has several."""
+    schema = pa.schema([*_LINKS.items(), *_BLOCK.items()])
+    for table in _groups(batches, ["comp", "b"]):
+        cut = _cuts(table, ["comp", "b"])
         for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
             rows = table.slice(lo, hi - lo).combine_chunks().to_batches()[0]
-            sets, sid, copies, block, ask = [], [], [], [], set()
-            take = {k: rows.column(rows.schema.get_field_index(k)).to_pylist() for k in ("sid", "copies", "b")}
+            own = {k: rows.column(rows.schema.get_field_index(k)).to_pylist() for k in ("sid", "copies")}
+            comp, k, b = (rows.column(rows.schema.get_field_index(c))[0].as_py() for c in ("comp", "k", "b"))
+            sets: dict[bytes, np.ndarray] = {}
+            copies = []
             buf, offs = column(rows, "text")
             for a, z in passes(offs):
-                values, bounds, n, key = shingles(buf[offs[a] : offs[z]], offs[a : z + 1] - offs[a])
-                own = [k.tobytes() for k in key]
-                for at, s in enumerate(_distinct(values, bounds)):
-                    want = take["sid"][a + at]
-                    # rows may repeat an id with another text, or the same row
-                    if own[at] == want and want not in ask:
-                        ask.add(want)
-                        sets.append(s)
-                        sid.append(want)
-                        copies.append(take["copies"][a + at])
-                        block.append(take["b"][a + at])
-            if len(sets) < 2:
-                continue
-            both = _common(sets)
-            size = np.array([len(s) for s in sets])
-            # exact in integers: common / union >= threshold
-            linked = both >= threshold * (size[:, None] + size[None] - both) - 1e-9
-            np.fill_diagonal(linked, False)
-            side = np.array(block)
-            if len(set(block)) > 1:
-                linked &= side[:, None] != side[None]
-            elif rows.column(rows.schema.get_field_index("i"))[0] != rows.column(rows.schema.get_field_index("j"))[0]:
+                values, bounds, _, _ = shingles(buf[offs[a] : offs[z]], offs[a : z + 1] - offs[a])
+                for at, found in enumerate(_distinct(values, bounds)):
+                    # tasks of the stage before may each have sent a text of the class
+                    if own["sid"][a + at] not in sets:
+                        sets[own["sid"][a + at]] = found
+                        copies.append(own["copies"][a + at])
+            if len(sets) < 2 and k == 1:
                 continue
-            root = _roots(linked | np.eye(len(sets), dtype=bool))
-            yield pa.RecordBatch.from_pydict({"sid": pa.array(sid, pa.binary()), "links": (linked * np.array(copies)).sum(1), "root": pa.array([sid[r] for r in root], pa.binary()), "whole": [rows.column(rows.schema.get_field_index("k"))[0].as_py() == 1] * len(sid)})
+            sid, found = list(sets), list(sets.values())
+            linked = _linked(found, threshold) if len(found) > 1 else np.zeros((1, 1), bool)
+            told = _told(sid, np.array(copies), linked, k == 1)
+            none = [None] * len(sid)
+            yield pa.RecordBatch.from_pydict(told | {c: none for c in _BLOCK}, schema)
+            if k > 1:
+                yield pa.RecordBatch.from_pydict({c: [None] for c in _LINKS} | {"comp": [comp], "k": [k], "b": [b], "sets": [_packed(sid, np.array(copies), found)]}, schema)
 
 
-def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Drops repeated rows within a batch: a row that fills a table would meet itself."""
-    for batch in batches:
-        if batch.num_rows:
-            yield from pa.Table.from_batches([batch]).group_by(["doc_id", "text"], use_threads=False).aggregate([]).select(["doc_id", "text"]).combine_chunks().to_batches()
+def _across(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Rows (comp, i, j, b, sets) that stand by pair of blocks: links between the two."""
+    keys = ["comp", "i", "j"]
+    for table in _groups(batches, keys):
+        cut = _cuts(table, keys)
+        for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            sides = [_unpacked(raw) for raw in table.column("sets").slice(lo, hi - lo).to_pylist()]
+            if len(sides) < 2:
+                continue
+            sid, copies, sets = ([*sides[0][0], *sides[1][0]], np.concatenate([sides[0][1], sides[1][1]]), [*sides[0][2], *sides[1][2]])
+            left = np.arange(len(sid)) < len(sides[0][0])
+            linked = _linked(sets, threshold) & (left[:, None] != left[None])
+            yield pa.RecordBatch.from_pydict(_told(sid, copies, linked, False), pa.schema(list(_LINKS.items())))
 
 
 def _texts_of(texts: DataFrame, placed: DataFrame) -> DataFrame:
-    """The texts of (doc_id, text) that the classes ``placed`` need. While these are few,
-    a broadcast of their ids keeps all other texts from being shuffled."""
+    """(sid, text) of those of (doc_id, text) that the classes ``placed`` may need, a class
+    once a task. While these are few, a broadcast of their ids keeps all other texts from
+    being hashed."""
     some = texts.where(F.octet_length("text") > 0)
     if placed.count() <= BROADCAST_IDS:
         need = F.broadcast(placed.select(F.col("rep").alias("_rep")))
         some = some.join(need, F.col("doc_id").eqNullSafe(F.col("_rep")), "left_semi")
-    return some.mapInArrow(_once, "doc_id long, text string")
+
+    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for batch in batches:
+            buf, offs = column(batch, "text")
+            for lo, hi in passes(offs):
+                _, _, n, found = shingles(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
+                new = []
+                for at, k in enumerate(found):
+                    if n[at] and (own := k.tobytes()) not in seen:
+                        seen.add(own)
+                        new.append(at)
+                yield pa.RecordBatch.from_arrays([_fixed(found[new]), batch.column(1).slice(lo, hi - lo).take(pa.array(new, pa.int64()))], names=["sid", "text"])
+
+    return small_batches(some).mapInArrow(key, "sid binary, text string")
 
 
 def _keyed(docs: DataFrame, text_col: str, name: str) -> DataFrame:
     """``docs`` with the class key of each row (null without words) as column ``name``."""
-    own = list(docs.columns)
+    own, text = list(docs.columns), fresh("_text", [*docs.columns, name])
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            buf, offs = column(batch, "_text")
+            buf, offs = column(batch, text)
             for lo, hi in passes(offs):
                 _, _, n, found = shingles(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
                 sid = _fixed(found).take(pa.array(np.arange(hi - lo), mask=n == 0))
-                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).select(own).columns, sid], names=[*own, name])
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns[: len(own)], sid], names=[*own, name])
 
-    rows = small_batches(docs).select(*own, F.col(text_col).alias("_text"))
+    rows = small_batches(docs).select(*quoted(own), F.col(text_col).alias(text))
     return rows.mapInArrow(key, StructType([*docs.schema.fields, StructField(name, BinaryType())]))
 
 
@@ -371,38 +440,37 @@ def _grouped(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9999, de
     copies, rep (its least id), and whether it is the first class of its group, by least
     id, then by key, null ids last."""
     own = materialize(sketches(docs, id_col, text_col), "sketches")
-    classes = materialize(own.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("words").alias("words"), F.first("sig").alias("sig")), "classes")
-    starts = starts_for(recall, threshold)
-    edges = materialize(pivot_edges(classes, threshold, starts), "found")
-    first = connected_components(edges).select(F.col("node").alias("sid"), F.col("root").alias("comp"))
-    known = materialize(classes.select("sid", "sig").join(first, "sid", "left").withColumn("comp", F.coalesce("comp", "sid")), "known")
-    apart = candidate_edges(known, threshold, starts, depth)
-    comps = connected_components(edges.union(apart)).select(F.col("node").alias("sid"), F.col("root").alias("comp"))
-    members = comps.join(classes.select("sid", "rep", "copies", "words"), "sid")
-    sizes = members.groupBy("comp").agg(F.count("*").alias("n"), F.sum("words").alias("w"))
-    blocks = sizes.select("comp", F.greatest(F.ceil(F.col("n") / EXACT), F.ceil(F.col("w") / EXACT_WORDS)).cast("long").alias("k"))
-    placed = materialize(members.join(blocks, "comp").withColumn("b", F.pmod(F.xxhash64("sid"), "k")), "placed")
-    texts = _texts_of(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), placed)
-    with_text = texts.join(placed, texts.doc_id == placed.rep).select("comp", "sid", "copies", "k", "b", "text")
-    unnamed = placed.where("rep is null")
-    if not unnamed.isEmpty():
-        # one text a class: by id, all rows without one would meet all such classes
-        keyed = _keyed(docs.where(F.col(id_col).cast("long").isNull()).select(F.col(text_col).alias("text")), "text", "sid")
-        one = keyed.where("sid is not null").groupBy("sid").agg(F.min("text").alias("text"))
-        with_text = with_text.unionByName(one.join(unnamed, "sid").select("comp", "sid", "copies", "k", "b", "text"))
-    paired = with_text.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))).withColumns({"i": F.least("b", "o"), "j": F.greatest("b", "o")}).drop("o")
-    keys = ["comp", "i", "j"]
-    checked = paired.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lambda it: _verify(it, threshold), "sid binary, links long, root binary, whole boolean")
-    checked = materialize(checked, "links")
-    whole = checked.where("whole").select("sid", "root")
-    parts = checked.where("not whole and sid != root")
-    roots = whole if parts.isEmpty() else whole.union(connected_components(parts.select(F.col("sid").alias("u"), F.col("root").alias("v"))))
-    links = checked.groupBy("sid").agg(F.sum("links").alias("links"))
-    rooted = classes.select("sid", "rep", "copies").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    first = F.min(F.struct(F.col("rep").isNull().alias("n"), "rep", "sid")).alias("_first")
-    named = rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("class_id"), first), "root").join(links, "sid", "left")
-    facts = named.select("sid", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies", "rep", (F.col("sid") == F.col("_first.sid")).alias("first"))
-    return own, facts
+    with Scratch(docs.sparkSession) as scratch:
+        classes = scratch.table(own.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("words").alias("words"), F.first("sig").alias("sig")), "classes")
+        starts = starts_for(recall, threshold, depth)
+        edges = scratch.table(pivot_edges(classes, threshold, starts), "found")
+        first = connected_components(edges, scratch).select(F.col("node").alias("sid"), F.col("root").alias("comp"))
+        known = scratch.table(classes.select("sid", "sig").join(first, "sid", "left").withColumn("comp", F.coalesce("comp", "sid")), "known")
+        apart = candidate_edges(known, threshold, starts, depth, scratch)
+        comps = connected_components(edges.union(apart), scratch).select(F.col("node").alias("sid"), F.col("root").alias("comp"))
+        members = comps.join(classes.select("sid", "rep", "copies", "words"), "sid")
+        sizes = members.groupBy("comp").agg(F.count("*").alias("n"), F.sum("words").alias("w"))
+        blocks = sizes.select("comp", F.greatest(F.ceil(F.col("n") / EXACT), F.ceil(F.col("w") / EXACT_WORDS)).cast("long").alias("k"))
+        placed = scratch.table(members.join(blocks, "comp").withColumn("b", F.pmod(F.xxhash64("sid"), "k")), "placed")
+        texts = _texts_of(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), placed)
+        sent = texts.join(placed.select("comp", "sid", "copies", "k", "b"), "sid").select("comp", "b", "sid", "copies", "k", "text")
+        inside = sent.repartition("comp", "b").sortWithinPartitions("comp", "b").mapInArrow(lambda it: _in_block(it, threshold), "sid binary, links long, root binary, whole boolean, comp binary, k long, b long, sets binary")
+        inside = scratch.table(inside, "blocks")
+        # a row per block and partner; a component of one block has none
+        other = inside.where("comp is not null").withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))).where("o != b")
+        pairs = other.select("comp", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "sets")
+        keys = ["comp", "i", "j"]
+        across = small_batches(pairs).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lambda it: _across(it, threshold), "sid binary, links long, root binary, whole boolean")
+        found = scratch.table(inside.where("comp is null").select(*_LINKS).union(across), "links")
+        whole = found.where("whole").select("sid", "root")
+        parts = found.where("not whole and sid != root").select(F.col("sid").alias("u"), F.col("root").alias("v"))
+        roots = whole if parts.isEmpty() else whole.union(connected_components(parts, scratch))
+        links = found.groupBy("sid").agg(F.sum("links").alias("links"))
+        rooted = classes.select("sid", "rep", "copies").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+        least = F.min(F.struct(F.col("rep").isNull().alias("n"), "rep", "sid")).alias("_first")
+        named = rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("class_id"), least), "root").join(links, "sid", "left")
+        facts = named.select("sid", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies", "rep", (F.col("sid") == F.col("_first.sid")).alias("first"))
+        return own, materialize(facts, "facts")
 
 
 def join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9999, depth: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -416,9 +484,9 @@ def join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9999, depth:
     are not read. An empty table gives no rows.
     """
     own, facts = _grouped(docs, threshold, recall, depth, id_col, text_col)
-    out = own.select("doc_id", "sid").join(facts.drop("rep", "first"), "sid", "left")
-    alone = F.col("sid").isNull()
-    return out.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce(F.col("copies"), F.lit(1)).alias("n_copies"))
+    met = own.where("sid is not null").select("doc_id", "sid").join(facts, "sid").select("doc_id", "class_id", "n_links", F.col("copies").alias("n_copies"))
+    alone = own.where("sid is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
+    return met.union(alone)
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
@@ -430,22 +498,25 @@ def deduplicate(docs: DataFrame, **options) -> DataFrame:
     and without an id, are decided by their words."""
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
     own, facts = _grouped(docs, **options)
-    facts = materialize(facts.where("n_links > 0").select("sid", "rep", "first"), "facts")
-    # null for a row that is in no group of several
-    stays = F.when(F.col("first").isNotNull(), F.col("first") & F.col("doc_id").eqNullSafe(F.col("rep")))
-    rows = own.select("doc_id", "sid").join(facts, "sid", "left").select("doc_id", (~stays).alias("gone"), stays.alias("stays"))
-    ids = rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if("gone").alias("gone"), F.count_if("stays").alias("stays")).where("gone > 0 or stays > 1")
+    facts = facts.where("n_links > 0").select("sid", "rep", "first")
+    stays = F.col("first") & F.col("doc_id").eqNullSafe(F.col("rep"))
+    met = own.where("sid is not null").select("doc_id", "sid").join(facts, "sid").select("doc_id", (~stays).alias("gone"), stays.alias("stays"))
+    # a row that is in no group of several has nothing to say but that it is there
+    free = own.join(facts.select("sid"), "sid", "left_anti").select("doc_id", F.lit(None).cast("boolean").alias("gone"), F.lit(None).cast("boolean").alias("stays"))
+    ids = met.union(free).groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if("gone").alias("gone"), F.count_if("stays").alias("stays")).where("gone > 0 or stays > 1")
     ids = materialize(ids.select("doc_id", (F.col("doc_id").isNotNull() & (F.col("gone") == F.col("n"))).alias("whole")), "ids")
-    some = ids.where("not whole").select(F.col("doc_id").alias("_id"))
-    touched = checked(ids.select(F.col("doc_id").alias("_id")), ids.count())
-    kept = docs.join(touched, F.col("_id").eqNullSafe(docs[id_col].cast("long")), "left_anti")
+    own_id, key, sid = (fresh(n, docs.columns) for n in ("_id", "_key", "_sid"))
+    some = ids.where("not whole").select(F.col("doc_id").alias(own_id))
+    touched = checked(ids.select(F.col("doc_id").alias(own_id)), ids.count())
+    same = F.col(own_id).eqNullSafe(F.col(id_col).cast("long"))
+    kept = docs.join(touched, same, "left_anti")
     if some.isEmpty():
         return kept
-    mixed = docs.join(checked(some, some.count()), F.col("_id").eqNullSafe(docs[id_col].cast("long")), "left_semi")
-    sid = fresh("_sid", docs.columns)
-    known = facts.select(F.col("sid").alias("_key"), F.col("rep").alias("_rep"), F.col("first").alias("_first"))
-    met = materialize(_keyed(mixed, text_col, sid).join(known, F.col(sid) == F.col("_key"), "left"), "mixed")
-    alone = met.where("_key is null").select(*docs.columns)
+    mixed = docs.join(checked(some, some.count()), same, "left_semi")
+    rep, first = (fresh(n, docs.columns) for n in ("_rep", "_first"))
+    known = facts.select(F.col("sid").alias(key), F.col("rep").alias(rep), F.col("first").alias(first))
+    placed = materialize(_keyed(mixed, text_col, sid).join(known, F.col(sid) == F.col(key), "left"), "mixed")
+    alone = placed.where(F.col(key).isNull()).select(*quoted(docs.columns))
     # aggregated in each task before the exchange: copies without an id may be many
-    one = met.where(F.col("_first") & F.col(id_col).cast("long").eqNullSafe(F.col("_rep"))).dropDuplicates([sid]).select(*docs.columns)
+    one = placed.where(F.col(first) & F.col(id_col).cast("long").eqNullSafe(F.col(rep))).dropDuplicates([sid]).select(*quoted(docs.columns))
     return kept.unionByName(alone).unionByName(one)
