@@ -1,12 +1,13 @@
 """Benchmark decontamination with suffix arrays over the training words.
 
 Every batch of whole documents is a shard: its words, as hashes, are sorted by the
-suffixes that begin at them, so that all places where a benchmark's words occur in
-sequence are one interval, found by binary search. The benchmark is split into
-block files in the shared folder; each shard searches all blocks, one in memory at
-a time, so neither side has to fit anywhere. A document lies in one shard whole:
-its counts need no exchange. Windows need suffixes sorted to ``window`` words;
-longest matches need them sorted to the documents' ends.
+suffixes that begin at them, to the documents' ends. Every suffix of a benchmark item is
+looked up by binary search; its neighbours in the order hold its longest verbatim match.
+Where that is as long as a window, all places of the window are one interval around it,
+and their words are hit. The benchmark is split into block files in the shared folder;
+each shard searches all blocks, one in memory at a time, so neither side has to fit
+anywhere. A document lies in one shard whole: its counts need no exchange. A longer
+document is a shard of its own; its task needs some 60 bytes a word.
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z. A window is
 ``window`` consecutive words of an item, or all words of a shorter item.
@@ -14,8 +15,8 @@ Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z. A wi
 Null or empty texts have no words: a document without words is clean, an item
 without words has no window. Items with a null id take no part; equal ids are one
 item. Equal texts and repeated rows are judged alike, each on its own. Input columns
-named like a result are replaced. Empty tables give no rows (documents) or only
-clean documents (benchmark).
+named like a result, in any case, are replaced. Empty tables give no rows (documents) or
+only clean documents (benchmark).
 """
 
 from __future__ import annotations
@@ -30,8 +31,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
 
-from .shared import new_path, open_mapped, small_batches, write_file
+from .shared import fresh, new_path, open_mapped, quoted, small_batches, write_file
 from .textbytes import column, passes, words
 
 #: Bytes of text in a shard and in a benchmark block.
@@ -39,7 +41,7 @@ SHARD_BYTES, BLOCK_BYTES = 4 << 20, 8 << 20
 #: Words of an item's suffix that are looked up at once; longer ones are told apart
 #: by comparison with the suffixes that begin so. Suffixes looked up in one pass.
 DEPTH, PASS_SUFFIXES = 16, 1 << 16
-_RESULT = {"n_words": "long", "n_hit": "long", "n_items": "long", "items": "array<string>", "items_sha256": "string", "contaminated": "boolean"}
+_RESULT = {"n_words": LongType(), "n_hit": LongType(), "n_items": LongType(), "items": ArrayType(StringType()), "items_sha256": StringType(), "contaminated": BooleanType()}
 
 
 def write_blocks(benchmark: DataFrame, item_col: str, text_col: str) -> list[str]:
@@ -68,40 +70,28 @@ def write_blocks(benchmark: DataFrame, item_col: str, text_col: str) -> list[str
 
 
 class Block:
-    """A block's items, and its distinct windows."""
+    """A block's items: their words, and for each word its item, its place there and how
+    many words follow to the item's end, itself included."""
 
-    def __init__(self, uri: str, window: int):
+    def __init__(self, uri: str):
         with open_mapped(uri) as path, np.load(path) as z:
-            self.words, counts, names = z["words"], z["counts"], z["items"]
+            self.words, self.counts, names = z["words"], z["counts"], z["items"]
         self.names = names.tolist()
-        self.item = np.repeat(np.arange(len(counts)), counts)
-        self.place = np.arange(len(self.words)) - np.repeat(np.cumsum(counts) - counts, counts)
-        left = np.repeat(counts, counts) - self.place
-        self.size = np.minimum(window, np.repeat(counts, counts))
-        begins = np.flatnonzero(left >= self.size)
-        padded = np.append(self.words, np.zeros(window, np.uint64))
-        grid = padded[begins[:, None] + np.arange(window)]
-        grid[np.arange(window) >= self.size[begins, None]] = 0
-        if len(begins):
-            self.windows, which = np.unique(grid, axis=0, return_inverse=True)
-        else:
-            self.windows, which = grid, np.zeros(0, np.int64)
-        pairs = np.unique(np.stack([which.ravel(), self.item[begins]], 1), axis=0)
-        self.owners, self.owner_at = pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(self.windows) + 1))
-        self.lengths = (self.windows != 0).sum(1)
-        self.left = left
-
-
-@lru_cache(maxsize=1)
-def block(uri: str, window: int) -> Block:
-    return Block(uri, window)
+        self.item = np.repeat(np.arange(len(self.counts)), self.counts)
+        self.place = np.arange(len(self.words)) - np.repeat(np.cumsum(self.counts) - self.counts, self.counts)
+        self.left = np.repeat(self.counts, self.counts) - self.place
+
+
+@lru_cache(maxsize=2)
+def block(uri: str) -> Block:
+    return Block(uri)
 
 
 class Shard:
-    """Words of whole documents and their suffix array, in order by the first ``depth``
-    words of each suffix, or by all to the end of its document."""
+    """Words of whole documents and their suffix array, in order to the end of each
+    suffix's document."""
 
-    def __init__(self, hashes: np.ndarray, bounds: np.ndarray, depth: int | None = None):
+    def __init__(self, hashes: np.ndarray, bounds: np.ndarray):
         docs = len(bounds) - 1
         n = len(hashes) + docs
         self.begin = bounds + np.arange(docs + 1)  # a zero ends each document
@@ -121,7 +111,7 @@ class Shard:
         first = np.maximum.accumulate(np.where(new, place, 0))
         order, step = np.empty(n, np.int64), 1
         order[self.suffix] = first
-        while depth is None or step < depth:
+        while True:
             tied = np.flatnonzero(~(new & np.append(new[1:], True)))
             if not tied.size:
                 break
@@ -157,16 +147,28 @@ class Shard:
             hi[open_[~right]] = mid[~right]
         return lo
 
-    def occurrences(self, b: Block) -> tuple[np.ndarray, np.ndarray]:
-        """Windows of the block and the positions where they begin, one pair each."""
-        grid = self.ranked(b.windows)
-        cols = np.arange(grid.shape[1])
-        live = np.flatnonzero(((grid % 2 == 0) | (cols >= b.lengths[:, None])).all(1))
-        grid, lengths = grid[live], b.lengths[live]
+    def windows(self, b: Block, window: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+        """Distinct windows of the block whose suffixes' longest matches reach their ends:
+        positions where they stand with the number of the window, each window's items and
+        its length."""
+        size = np.minimum(window, b.counts)[b.item]
+        full = self.ranked(b.words)
+        # a match of the whole window needs all its words to be known here
+        unknown = np.append(0, np.cumsum(full % 2 != 0))
+        own = np.flatnonzero(b.left >= size)
+        own = own[unknown[own + size[own]] == unknown[own]]
+        best, _ = self.longest(b, own)
+        own = own[best >= size[own]]
+        cols = np.arange(window if len(own) else 0)
+        grid = np.where(cols < size[own][:, None], full[np.minimum(own[:, None] + cols, len(full) - 1)], -1)
+        grid, first, which = np.unique(grid, axis=0, return_index=True, return_inverse=True) if len(own) else (grid, own, own)
+        pairs = np.unique(np.stack([which.ravel(), b.item[own]], 1), axis=0)
+        owners = np.split(pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(1, len(grid))))
+        lengths = size[own[first]]
         lo, hi = self.bound(grid, lengths, False), self.bound(grid, lengths, True)
         count = hi - lo
         at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count - lo, count)
-        return np.repeat(live, count), self.suffix[at]
+        return self.suffix[at], np.repeat(np.arange(len(grid)), count), owners, lengths
 
     def common(self, pos: np.ndarray, full: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
         """How many of the ``left`` words of ``full`` from ``at`` stand at ``pos``."""
@@ -180,13 +182,14 @@ class Shard:
             going = going[run == len(cols)]
         return n
 
-    def longest(self, b: Block) -> tuple[np.ndarray, np.ndarray]:
-        """For each suffix of the block's items its longest match in words and its place;
-        the shard must be sorted to the documents' ends."""
+    def longest(self, b: Block, of: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """For each suffix of the block's items, or those that begin at the words ``of``,
+        its longest match in words and its place."""
+        of = np.arange(len(b.words)) if of is None else of
         full, known = self.ranked(b.words), len(self.suffix)
-        best, where = np.zeros(len(full), np.int64), np.zeros(len(full), np.int64)
-        for a in range(0, len(full), PASS_SUFFIXES):
-            own = np.arange(a, min(len(full), a + PASS_SUFFIXES))
+        best, where = np.zeros(len(of), np.int64), np.zeros(len(of), np.int64)
+        for a in range(0, len(of), PASS_SUFFIXES):
+            own, to = of[a : a + PASS_SUFFIXES], np.arange(a, min(len(of), a + PASS_SUFFIXES))
             left = b.left[own]
             lengths = np.minimum(left, DEPTH)
             grid = full[np.minimum(own[:, None] + np.arange(DEPTH), len(full) - 1)]
@@ -205,8 +208,8 @@ class Shard:
                 ok = np.flatnonzero((near >= 0) & (near < known))
                 pos = self.suffix[near[ok]]
                 n = self.common(pos, full, own[ok], left[ok])
-                better = n > best[own[ok]]
-                best[own[ok[better]]], where[own[ok[better]]] = n[better], pos[better]
+                better = n > best[to[ok]]
+                best[to[ok[better]]], where[to[ok[better]]] = n[better], pos[better]
         return best, where
 
 
@@ -216,16 +219,15 @@ def _judge(buf: np.ndarray, offs: np.ndarray, uris: list[str], window: int) -> t
     items: list[set[str]] = [set() for _ in range(n)]
     if not len(hashes):
         return np.diff(bounds), np.zeros(n, np.int64), [[] for _ in items]
-    shard = Shard(hashes, bounds, window)
+    shard = Shard(hashes, bounds)
     change = np.zeros(len(shard.suffix) + 1, np.int64)
     for uri in uris:
-        b = block(uri, window)
-        which, pos = shard.occurrences(b)
-        change += np.bincount(pos, minlength=len(change)) - np.bincount(pos + b.lengths[which], minlength=len(change))
+        b = block(uri)
+        pos, which, owners, lengths = shard.windows(b, window)
+        change += np.bincount(pos, minlength=len(change)) - np.bincount(pos + lengths[which], minlength=len(change))
         doc = np.searchsorted(shard.begin, pos, side="right") - 1
-        pairs = np.unique(doc * max(1, len(b.windows)) + which)
-        for d, w in zip((pairs // max(1, len(b.windows))).tolist(), (pairs % max(1, len(b.windows))).tolist(), strict=True):
-            items[d].update(b.names[i] for i in b.owners[b.owner_at[w] : b.owner_at[w + 1]])
+        for d, w in np.unique(np.stack([doc, which], 1), axis=0).tolist():
+            items[d].update(b.names[i] for i in owners[w])
     hit = np.append(0, np.cumsum(np.cumsum(change[:-1]) > 0))
     return np.diff(bounds), hit[shard.begin[1:]] - hit[shard.begin[:-1]], [sorted(x) for x in items]
 
@@ -235,17 +237,18 @@ def annotate(docs: DataFrame, benchmark: DataFrame, window: int = 13, text_col:
     words inside any window's occurrence, items with such a window, their ids, the
     ids' SHA-256, and whether at least ``percent`` of the words (and one) are hit.
     ``clean_only`` removes the contaminated documents and the added columns."""
-    keep = [c for c in (docs.columns if keep is None else keep) if clean_only or c not in _RESULT]
+    keep = [c for c in (docs.columns if keep is None else keep) if clean_only or c.lower() not in _RESULT]
+    text = fresh("_text", keep)
     uris = write_blocks(benchmark, item_col, item_text_col)
-    rows = small_batches(docs).select(*keep, F.col(text_col).alias("_text"))
+    rows = small_batches(docs).select(*quoted(keep), F.col(text_col).cast("string").alias(text))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            buf, offs = column(batch, "_text")
+            buf, offs = column(batch, text)
             for lo, hi in passes(offs, SHARD_BYTES):
                 n, hit, items = _judge(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], uris, window)
                 bad = (hit > 0) & (100 * hit >= percent * n)
-                part = batch.slice(lo, hi - lo).select(keep)
+                part = pa.RecordBatch.from_arrays(batch.slice(lo, hi - lo).columns[: len(keep)], names=keep)
                 if clean_only:
                     yield part.filter(pa.array(~bad))
                     continue
@@ -253,9 +256,8 @@ def annotate(docs: DataFrame, benchmark: DataFrame, window: int = 13, text_col:
                 made = [pa.array(n), pa.array(hit), pa.array([len(x) for x in items], pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in ids]), pa.array(bad)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*keep, *_RESULT])
 
-    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    added = "" if clean_only else ", " * bool(own) + ", ".join(f"{k} {v}" for k, v in _RESULT.items())
-    return rows.mapInArrow(judge, own + added)
+    made = [] if clean_only else [StructField(k, v) for k, v in _RESULT.items()]
+    return rows.mapInArrow(judge, StructType([*docs.select(*quoted(keep)).schema.fields, *made]))
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
@@ -279,7 +281,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
                     continue
                 shard = Shard(hashes, bounds)
                 for uri in uris:
-                    b = block(uri, 1)
+                    b = block(uri)
                     best, where = shard.longest(b)
                     on = np.flatnonzero(best)
                     doc = np.searchsorted(shard.begin, where[on], side="right") - 1

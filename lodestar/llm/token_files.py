@@ -92,8 +92,8 @@ def read(spark: SparkSession, folder: str, ids: bool = False) -> DataFrame:
                 with open_mapped(f"{folder}/part-{part:05d}.idx") as idx, open_mapped(f"{folder}/part-{part:05d}.bin") as flat:
                     yield from _documents(idx, flat, base, ids)
 
-    # one file a task; the manifest is small, so this exchange is a few rows
-    return manifest.select("part", "ids_before").repartition(files, "part").mapInArrow(load, schema)
+    # one file a task: dealt in turn from one partition, a row per file
+    return manifest.select("part", "ids_before").coalesce(1).repartition(files).mapInArrow(load, schema)
 
 
 def _documents(idx: str, flat: str, base: int, ids: bool) -> Iterator[pa.RecordBatch]:
