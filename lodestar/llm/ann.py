@@ -8,7 +8,7 @@ vector as near as the k-th best so far would have shown up before the next proje
 distance with probability ``confidence`` (the chi-square test), so each true neighbour
 is missed with probability ``1 - confidence`` at most.
 
-The upper levels of the kd-tree are fit on a sample of at most ``SAMPLE`` rows and
+The upper levels of the kd-tree are fit on a sample of about ``SAMPLE`` rows and
 deal all rows to leaves; a task builds the lower levels for the blocks of its leaves.
 Every query searches its own leaf first; the radius that its k-th best allows then
 names the other leaves that it has to visit. Neither vectors nor queries are ever
@@ -29,14 +29,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import materialize
 
 DIMS, CONFIDENCE = 8, 0.97
-#: Rows that fit the upper levels, and bounds on what these deal out.
-SAMPLE, LEAF_ROWS, MAX_LEAVES = 20_000, 8192, 1 << 16
+#: Rows that fit the upper levels (about), sampled rows to a leaf, and bounds on what the
+#: levels deal out: a leaf is larger where the sample has no more leaves.
+SAMPLE, LEAF_SAMPLE, LEAF_ROWS, MAX_LEAVES = 200_000, 32, 8192, 1 << 16
 #: Index rows of a leaf that are searched at once, rows in a bucket of their tree, and
 #: queries that meet a leaf in one task.
 BLOCK, BUCKET, QUERIES = 8192, 64, 4096
@@ -276,14 +278,15 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, dims: int = DIMS
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), length)), pa.array(list(p), pa.list_(pa.float64()))], names=["length", "point"])
 
     total = own.count()
-    share = SAMPLE / max(1, total)
-    chosen = own.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 30)) < F.lit(min(1.0, share) * (1 << 30)))
-    sample = chosen.mapInArrow(project, "length long, point array<double>").limit(2 * SAMPLE).collect()
-    lengths = [r.length for r in sample]
-    length = max(sorted(set(lengths)), key=lengths.count) if lengths else 1
-    points = np.array([r.point for r in sample if r.length == length]).reshape(-1, dims)
+    share = min(1.0, SAMPLE / max(1, total))
+    # equal rows are one, so the sample is bounded by the share up to chance
+    chosen = own.where(F.pmod(F.xxhash64("id", "vec", F.lit(3)), F.lit(1 << 30)) < F.lit(share * (1 << 30))).distinct()
+    sample = chosen.mapInArrow(project, "length long, point array<double>").toArrow()
+    lengths, counts = np.unique(sample["length"].to_numpy(), return_counts=True)
+    length = int(lengths[counts.argmax()]) if len(lengths) else 1
+    points = sample.filter(pc.equal(sample["length"], length))["point"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
     # leaves of even size, and enough sampled points to place each split
-    leaves = min(MAX_LEAVES, max(1, total // leaf_rows), max(1, len(points) // 32))
+    leaves = min(MAX_LEAVES, max(1, total // leaf_rows), max(1, len(points) // LEAF_SAMPLE))
     tree = Tree(points, max(0, leaves - 1).bit_length())
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

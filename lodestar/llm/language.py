@@ -19,13 +19,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .shared import fresh, small_batches
+from .shared import fresh, quoted, small_batches
 from .textbytes import column, passes
 
 WINDOW, WIDTHS, FILTERS = 64, (2, 3, 4), 16
-#: Labelled documents of a language that a fit reads at most, and characters of each.
-SAMPLE, SAMPLE_CHARS = 1500, 2048
+#: What a fit reads about: whole labelled documents of a language and bytes of their texts,
+#: and documents of all languages.
+SAMPLE, SAMPLE_BYTES, SAMPLE_ALL = 1500, 16 << 20, 60_000
 STEPS, BATCH, RATE = 700, 256, 0.02
 #: Windows that one pass of the prediction takes.
 _PASS = 1024
@@ -147,21 +149,19 @@ def fit(texts: list[str], languages: list[str], steps: int = STEPS, seed: int =
 
 def fit_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network:
     """A network from documents with a language whose crc32(id as text) mod 4 isn't 2: of
-    each language a sample by hash of about ``SAMPLE`` documents, of each at most
-    ``SAMPLE_CHARS`` characters from a place that the hash picks."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
+    each language a sample by hash, of distinct whole texts, about ``SAMPLE`` of them and
+    ``SAMPLE_BYTES``, fewer where many languages would exceed ``SAMPLE_ALL``."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and text != ''")
     rows = rows.where(~held_out("id"))
-    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
-    if not sizes:
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    kinds = sizes.count()
+    if not kinds:
         return fit([], [])
-    mark = F.xxhash64("id", "text")
-    share = F.lit(0.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, F.lit(SAMPLE / n)).otherwise(share)
-    chosen = rows.where(F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 30)) / float(1 << 30) < share)
-    at = F.pmod(mark, F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS)).cast("int") + 1
-    # about SAMPLE rows a language by the fraction above
-    got = chosen.select(F.substring("text", at, F.lit(SAMPLE_CHARS)).alias("text"), "lang", mark.alias("h")).limit(4 * SAMPLE * len(sizes)).collect()
+    shares = sizes.select("lang", F.least(F.lit(min(SAMPLE, SAMPLE_ALL / kinds)) / F.col("n"), F.lit(SAMPLE_BYTES * min(1.0, SAMPLE_ALL / SAMPLE / kinds)) / F.col("bytes")).alias("share"))
+    mark = F.xxhash64("text", F.lit(17))
+    chosen = rows.join(shares, "lang").where(F.pmod(mark, F.lit(1 << 30)) / float(1 << 30) < F.col("share")).select("text", "lang", mark.alias("h")).distinct()
+    # bounded by the shares, up to chance: equal texts are one row
+    got = chosen.collect()
     got.sort(key=lambda r: (r.h, r.lang, r.text))
     return fit([r.text for r in got], [r.lang for r in got])
 
@@ -179,10 +179,9 @@ def predict(docs: DataFrame, net: Network, text_col: str = "text", keep: list[st
     Every byte of the text counts. Null texts and texts without letters are ``und`` with
     score 0. Equal texts score alike. An empty table gives no rows.
     """
-    keep = [c for c in (docs.columns if keep is None else keep) if least is not None or c not in ("lang_pred", "score")]
+    keep = [c for c in (docs.columns if keep is None else keep) if least is not None or c.lower() not in ("lang_pred", "score")]
     text, letters = fresh("_text", keep), fresh("_letters", keep)
-    rows = small_batches(docs).select(*keep, F.col(text_col).alias(text), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias(letters))
-    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+    rows = small_batches(docs).select(*quoted(keep), F.col(text_col).cast("string").alias(text), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias(letters))
     names = np.array([*net.languages, UNKNOWN], object)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,10 +201,11 @@ def predict(docs: DataFrame, net: Network, text_col: str = "text", keep: list[st
                     mean[:, :-1] = (sums[bounds[1:]] - sums[bounds[:-1]]) / total[:, None]
                 which = np.where(known, mean.argmax(1), len(names) - 1)
                 score = np.where(known, np.clip(mean.max(1), 0, 1), 0.0)
-                part = batch.slice(lo, n).select(keep)
+                part = pa.RecordBatch.from_arrays(batch.slice(lo, n).columns[: len(keep)], names=keep)
                 if least is not None:
                     yield part.filter(pa.array(known & (score >= least)))
                 else:
                     yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names[which].tolist(), pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
 
-    return rows.mapInArrow(judge, own if least is not None else own + ", " * bool(own) + "lang_pred string, score double")
+    made = [] if least is not None else [StructField("lang_pred", StringType()), StructField("score", DoubleType())]
+    return rows.mapInArrow(judge, StructType([*docs.select(*quoted(keep)).schema.fields, *made]))

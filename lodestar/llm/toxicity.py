@@ -4,7 +4,8 @@ Two zstandard dictionaries are trained, one on toxic and one on ordinary text. A
 is cut at blanks into windows of about ``WINDOW`` bytes; each window is compressed
 with either dictionary, and the bytes that the toxic one saves are the window's gain.
 A document's numbers of windows above calibrated gains, beside its number of windows,
-give its score.
+give its score. Half of the labelled documents train the dictionaries; the other half
+calibrates: it chooses the gains, one after another, and weighs the numbers.
 
 In windows this short, the language that both kinds of text share would drown the
 difference. Both dictionaries therefore begin with one part trained on ordinary text,
@@ -16,7 +17,7 @@ other.
 from __future__ import annotations
 
 import functools
-import zlib
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,17 +27,19 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .shared import small_batches
+from .shared import fresh, quoted, small_batches
 from .textbytes import column, passes
 
 WINDOW = 64
 GRAM = 5
 LEAST_RATIO = 4
-SHARED_BYTES, OWN_BYTES = 16384, 2048
-#: Labelled documents of each kind that a fit reads at most (one half trains the
-#: dictionaries, the other half sets the thresholds), and bytes of each.
-SAMPLE, SAMPLE_BYTES = 3000, 16384
+SHARED_BYTES, OWN_BYTES, PART_BYTES = 16384, 2048, 4096
+#: Gains in bytes that may become thresholds, and thresholds at most.
+GAINS, THRESHOLDS = range(1, 17), 5
+#: What a fit reads about: whole labelled documents of each kind, and bytes of their texts.
+SAMPLE, SAMPLE_BYTES = 3000, 24 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _GAP = np.zeros(256, bool)
@@ -146,6 +149,13 @@ def _design(counts: np.ndarray, windows: np.ndarray) -> np.ndarray:
     return np.hstack([np.ones((len(windows), 1)), np.log1p(counts), np.log1p(200.0 * counts / n), np.log(n)])
 
 
+def _above(gain: np.ndarray, bounds: np.ndarray, thresholds: tuple[int, ...]) -> np.ndarray:
+    """Each document's windows that gain as much, for each threshold."""
+    sums = np.zeros((len(gain) + 1, len(thresholds)), np.int64)
+    np.cumsum(gain[:, None] >= np.array(thresholds), axis=0, out=sums[1:])
+    return sums[bounds[1:]] - sums[bounds[:-1]]
+
+
 @dataclass
 class Model:
     ordinary: bytes
@@ -154,13 +164,15 @@ class Model:
     thresholds: tuple[int, ...]
     weights: np.ndarray
 
-    def counts(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def gains(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each window's gain, and each document's first window (n + 1 bounds)."""
         raw, start, size, bounds = _windows(buf, offs)
         by = _compressors(self.ordinary, self.toxic)
-        gain = _sizes(by[0], raw, start, size) - _sizes(by[1], raw, start, size) if len(start) else np.zeros(0, np.int64)
-        sums = np.zeros((len(gain) + 1, len(self.thresholds)), np.int64)
-        np.cumsum(gain[:, None] >= np.array(self.thresholds), axis=0, out=sums[1:])
-        return sums[bounds[1:]] - sums[bounds[:-1]], np.diff(bounds)
+        return _sizes(by[0], raw, start, size) - _sizes(by[1], raw, start, size) if len(start) else np.zeros(0, np.int64), bounds
+
+    def counts(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        gain, bounds = self.gains(buf, offs)
+        return _above(gain, bounds, self.thresholds), np.diff(bounds)
 
     def score(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
         z = np.clip(_design(*self.counts(buf, offs)) @ self.weights, -30, 30)
@@ -186,6 +198,28 @@ def _logistic(x: np.ndarray, y: np.ndarray, prior: float, ridge: float = 0.05) -
     return w
 
 
+def _calibrated(gain: np.ndarray, bounds: np.ndarray, y: np.ndarray, prior: float) -> tuple[tuple[int, ...], np.ndarray]:
+    """Thresholds and weights: the gain that raises the likelihood most joins, as long as
+    it raises it by more than the two weights that it brings (Akaike's criterion)."""
+    chosen: tuple[int, ...] = ()
+    weights, best = np.zeros(0), -np.inf
+    each = np.where(y > 0, prior / max(1, (y > 0).sum()), (1 - prior) / max(1, (y == 0).sum())) * len(y)
+    while len(chosen) < THRESHOLDS:
+        tried = []
+        for g in GAINS:
+            if g not in chosen:
+                more = tuple(sorted((*chosen, g)))
+                x = _design(_above(gain, bounds, more), np.diff(bounds))
+                w = _logistic(x, y, prior)
+                z = np.clip(x @ w, -30, 30)
+                tried.append(((each * (y * z - np.log1p(np.exp(z)))).sum() - 2 * len(more), more, w))
+        top = max(tried, key=lambda t: (t[0], [-g for g in t[1]]))
+        if top[0] <= best:
+            break
+        best, chosen, weights = top
+    return chosen, weights
+
+
 def _buffer(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), np.uint8), np.append(0, np.cumsum([len(t) for t in texts])).astype(np.int64)
 
@@ -197,15 +231,18 @@ def fit(toxic: list[str], ordinary: list[str], prior: float | None = None) -> Mo
     # equal texts would count as independent documents
     kinds = [[_LOWER[np.frombuffer(t.encode(), np.uint8)].tobytes() for t in dict.fromkeys(k) if t] for k in (toxic, ordinary)]
     train, check = [k[::2] for k in kinds], [k[1::2] for k in kinds]
-    lean = _leaning(train[0], train[1]), _leaning(train[1], train[0])
+    # parts of even size: a very long text holds most sequences of its language
+    parts = [[t[i : i + PART_BYTES] for t in k for i in range(0, len(t), PART_BYTES)] for k in train]
+    lean = _leaning(parts[0], parts[1]), _leaning(parts[1], parts[0])
     shared = _train([t[i : i + 512] for t in train[1] for i in range(0, len(t), 512)], SHARED_BYTES)
     own = [_train(_own(train[k], lean[k]), OWN_BYTES) for k in (0, 1)]
-    model = Model(shared + own[1] or b" ", shared + own[0] or b" ", (1, 2, 3, 4, 6), np.zeros(0))
+    model = Model(shared + own[1] or b" ", shared + own[0] or b" ", (1,), np.zeros(0))
     if not all(check):
-        model.weights = np.append((5.0 if kinds[0] else -5.0), np.zeros(2 * len(model.thresholds) + 1))
+        model.weights = np.array([5.0 if kinds[0] else -5.0, 0.0, 0.0, 0.0])
         return model
-    x = np.vstack([_design(*model.counts(*_buffer(c))) for c in check])
-    model.weights = _logistic(x, np.repeat([1.0, 0.0], [len(c) for c in check]), min(0.9, max(0.1, len(kinds[0]) / (len(kinds[0]) + len(kinds[1])) if prior is None else prior)))
+    share = len(kinds[0]) / (len(kinds[0]) + len(kinds[1])) if prior is None else prior
+    y = np.repeat([1.0, 0.0], [len(c) for c in check])
+    model.thresholds, model.weights = _calibrated(*model.gains(*_buffer([*check[0], *check[1]])), y, min(0.9, max(0.1, share)))
     return model
 
 
@@ -214,21 +251,25 @@ def crc_of_id(col: str):
 
 
 def fit_labels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """A model from labelled documents whose crc32(id as text) mod 5 isn't 0: of each
-    kind a sample by hash of about ``SAMPLE`` documents, of each at most
-    ``SAMPLE_BYTES`` characters from a place that the hash picks. A document with
-    several labels counts once for each."""
-    marks = labels.where("toxic in (0, 1)").select(F.col(id_col).alias("_id"), "toxic").where(f"{id_col} is not null" if id_col in labels.columns else "true").where(crc_of_id("_id") % 5 != 0)
-    sizes = {r[0]: r[1] for r in marks.groupBy("toxic").count().collect()}
-    rank = F.pmod(F.xxhash64("_id", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
-    share = F.when(F.col("toxic") == 1, F.lit(SAMPLE / max(1, sizes.get(1, 1)))).otherwise(F.lit(SAMPLE / max(1, sizes.get(0, 1))))
-    # a few thousand rows by the two fractions: small whatever the input
-    chosen = marks.where(rank < share).limit(4 * SAMPLE)
-    at = F.pmod(F.xxhash64("_id", F.lit(9)), F.greatest(F.lit(1), F.length("text") - SAMPLE_BYTES)).cast("int") + 1
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "_id")
-    rows = texts.select("toxic", F.substring("text", at, F.lit(SAMPLE_BYTES)).alias("text"), F.xxhash64("_id").alias("h")).limit(8 * SAMPLE).collect()
-    rows.sort(key=lambda r: (r.h, r.text or ""))
-    prior = sizes.get(1, 0) / max(1, sum(sizes.values()))
+    """A model from labelled documents whose crc32(id as text) mod 5 isn't 0: of each kind
+    a sample by hash, of distinct whole texts, about ``SAMPLE`` of them and
+    ``SAMPLE_BYTES``. A document with several labels counts once for each; labels other
+    than 0 and 1, and those without an id, count for none."""
+    marks = labels.select(F.col(id_col).alias("_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and _id is not null").where(crc_of_id("_id") % 5 != 0).distinct()
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).where("text != ''")
+    sizes = marks.groupBy("toxic").count()
+    size = {r[0]: r[1] for r in sizes.collect()}
+    rank = lambda *of: F.pmod(F.xxhash64(*of, F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
+    share = F.when(F.col("toxic") == 1, F.lit(SAMPLE / max(1, size.get(1, 1)))).otherwise(F.lit(SAMPLE / max(1, size.get(0, 1))))
+    # about two samples of ids, whatever the number of labels
+    chosen = marks.where(rank("_id") < share)
+    met = texts.join(F.broadcast(chosen), "_id").select("toxic", "text").distinct()
+    found = met.groupBy("toxic").agg(F.count("*"), F.sum(F.octet_length("text"))).collect()
+    fits = {r[0]: min(1.0, SAMPLE / r[1], SAMPLE_BYTES / r[2]) for r in found}
+    fraction = F.when(F.col("toxic") == 1, F.lit(fits.get(1, 1.0))).otherwise(F.lit(fits.get(0, 1.0)))
+    rows = met.where(rank("text") < fraction).collect() if min(fits.values(), default=1.0) < 1 else met.collect()
+    rows.sort(key=lambda r: (hashlib.md5(r.text.encode()).digest(), r.toxic))
+    prior = size.get(1, 0) / max(1, sum(size.values()))
     return fit([r.text for r in rows if r.toxic == 1], [r.text for r in rows if r.toxic == 0], prior)
 
 
@@ -239,23 +280,20 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str]
     The score is that of the whole text; a null or empty text has no window and scores
     as such. Equal texts score alike. An empty table gives no rows.
     """
-    keep = [c for c in (docs.columns if keep is None else keep) if below is not None or c != "score"]
-    rows = small_batches(docs).select(*keep, F.col(text_col).alias("_text"))
-    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+    keep = [c for c in (docs.columns if keep is None else keep) if below is not None or c.lower() != "score"]
+    text = fresh("_text", keep)
+    rows = small_batches(docs).select(*quoted(keep), F.col(text_col).cast("string").alias(text))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            buf, offs = column(batch, "_text")
+            buf, offs = column(batch, text)
             for lo, hi in passes(offs):
                 p = model.score(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
-                part = batch.slice(lo, hi - lo).select(keep)
+                part = pa.RecordBatch.from_arrays(batch.slice(lo, hi - lo).columns[: len(keep)], names=keep)
                 if below is not None:
                     yield part.filter(pa.array(p < below))
                 else:
                     yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p)], names=[*keep, "score"])
 
-    return rows.mapInArrow(judge, own if below is not None else own + ", " * bool(own) + "score double")
-
-
-def held_out(doc_id: int | None) -> bool:
-    return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 5 == 0
+    made = [] if below is not None else [StructField("score", DoubleType())]
+    return rows.mapInArrow(judge, StructType([*docs.select(*quoted(keep)).schema.fields, *made]))

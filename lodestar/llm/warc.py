@@ -6,9 +6,13 @@ joins the three through these identifiers and emits one nested row per capture.
 
 Of captures with equal payloads of at least ``least`` bytes, the one with the largest
 id is written as response, with its payload, and the others as revisits, which repeat
-its digest; rows that repeat the largest id are responses all. Smaller payloads are
-always responses. Each record is a gzip member of its own, and a file is closed at
-``FILE_BYTES``.
+its digest and name its record in ``WARC-Refers-To``; rows that repeat the largest id are
+responses all. Smaller payloads are always responses. Each record is a gzip member of its
+own, and a file is closed at ``FILE_BYTES``. Payloads stay in their partitions while the
+digests that repeat are few enough for a broadcast.
+
+Records are named after their row's number, so the table is read twice and must give its
+rows in the same order, as files do.
 
 Null payloads are empty. Null ids are kept (smaller than any other). Null URLs are
 written as none; line ends in a URL are percent-encoded. Repeated rows are captures of
@@ -29,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import new_path, open_mapped, small_batches, write_file
+from .shared import checked, materialize, new_path, open_mapped, small_batches, write_file
 
 LEAST = 1000
 #: Compressed bytes at which a file is closed, and payload bytes in a batch of records.
@@ -37,6 +41,11 @@ FILE_BYTES, BATCH_BYTES = 256 << 20, 8 << 20
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
+def _name(row: int, which: int) -> str:
+    """The id of a row's request (0), response (1) or metadata record (2)."""
+    return f"<urn:uuid:{uuid.UUID(bytes=hashlib.md5(b'%d %d' % (row, which)).digest(), version=4)}>"
+
+
 def _record(kind: str, own: str, date: str, headers: list[tuple[str, str | None]], block: bytes) -> bytes:
     fields = [("WARC-Type", kind), ("WARC-Record-ID", own), ("WARC-Date", date), *headers, ("Content-Length", str(len(block)))]
     head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields if v is not None) + "\r\n"
@@ -57,31 +66,27 @@ def write(pages: DataFrame, folder: str | None = None, id_col: str = "page_id",
     spark = pages.sparkSession
     folder = folder or new_path(spark, "warc")
     rows = small_batches(pages).select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"))
-    rows = rows.withColumn("digest", F.sha1("payload"))
-    equal = rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.max(F.struct("id", "url")).alias("origin"), F.count("*").alias("n"))
-    equal = equal.where("n > 1").select("digest", "origin")
+    rows = rows.withColumns({"digest": F.sha1("payload"), "row": F.monotonically_increasing_id()})
+    equal = rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.max(F.struct("id", "url", "row")).alias("origin"), F.count("*").alias("n"))
+    # written, so that a shuffled join reads both its sides as dealt, and splits a hot digest
+    equal = materialize(equal.where("n > 1").select("digest", "origin"), "equal")
     older = F.col("origin").isNotNull() & ~F.col("id").eqNullSafe(F.col("origin.id"))
-    made = rows.join(equal, "digest", "left").select("id", "url", "payload", "digest", older.alias("revisit"), F.col("origin.url").alias("origin_url"))
+    made = rows.join(checked(equal, equal.count()), "digest", "left").select("id", "url", "payload", "digest", "row", F.when(older, F.col("origin.row")).alias("origin"), F.col("origin.url").alias("origin_url"))
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, done, count = TaskContext.get().partitionId(), [], 0
-
-        def name(*at) -> str:
-            return f"<urn:uuid:{uuid.UUID(bytes=hashlib.md5(repr(at).encode()).digest(), version=4)}>"
+        part, done = TaskContext.get().partitionId(), []
 
         def captures() -> Iterator[bytes]:
-            nonlocal count
             for batch in batches:
-                for page, url, payload, digest, revisit, origin in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for page, url, payload, digest, row, origin, origin_url in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     payload, url = payload.encode(), _line(url)
-                    request, response, metadata = (name(part, count, k) for k in range(3))
-                    count += 1
+                    request, response, metadata = (_name(row, k) for k in range(3))
                     target = ("WARC-Target-URI", url)
                     yield _record("request", request, date, [target, ("WARC-Concurrent-To", response), ("Content-Type", "application/http; msgtype=request")], f"GET {url or '/'} HTTP/1.1\r\n\r\n".encode())
                     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
                     common = [target, ("WARC-Payload-Digest", _base32(digest)), ("Content-Type", "application/http; msgtype=response")]
-                    if revisit:
-                        yield _record("revisit", response, date, [*common, ("WARC-Profile", _PROFILE), ("WARC-Refers-To-Target-URI", _line(origin)), ("WARC-Refers-To-Date", date)], http)
+                    if origin is not None:
+                        yield _record("revisit", response, date, [*common, ("WARC-Profile", _PROFILE), ("WARC-Refers-To", _name(origin, 1)), ("WARC-Refers-To-Target-URI", _line(origin_url)), ("WARC-Refers-To-Date", date)], http)
                     else:
                         yield _record("response", response, date, common, http + payload)
                     fields = "" if page is None else f"page-id: {page}\r\n"
@@ -111,7 +116,7 @@ def write(pages: DataFrame, folder: str | None = None, id_col: str = "page_id",
     return folder
 
 
-_RECORD = "type string, record_id string, concurrent_to string, uri string, date string, page_id long, payload_bytes long, payload_digest string, payload binary"
+_RECORD = "type string, record_id string, concurrent_to string, refers_to string, uri string, date string, page_id long, payload_bytes long, payload_digest string, payload binary"
 
 
 def _parse(stream, payloads: bool) -> Iterator[tuple]:
@@ -143,7 +148,7 @@ def _parse(stream, payloads: bool) -> Iterator[tuple]:
                 digest = told
         elif kind == "metadata":
             page = next((int(x.partition(b":")[2]) for x in block.split(b"\r\n") if x.startswith(b"page-id:")), None)
-        yield kind, head["warc-record-id"], head.get("warc-concurrent-to"), head.get("warc-target-uri"), head.get("warc-date"), page, size, digest, payload
+        yield kind, head["warc-record-id"], head.get("warc-concurrent-to"), head.get("warc-refers-to"), head.get("warc-target-uri"), head.get("warc-date"), page, size, digest, payload
 
 
 def records(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
@@ -166,8 +171,8 @@ def records(spark: SparkSession, folder: str, payloads: bool = True) -> DataFram
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], names=names)
 
     manifest = spark.read.schema("file string, bytes long").parquet(f"{folder}/manifest.parquet")
-    # one file a task; the manifest is a row per file
-    return manifest.select("file").repartition(max(1, manifest.count()), "file").mapInArrow(load, _RECORD)
+    # one file a task: dealt in turn from one partition, a row per file
+    return manifest.select("file").coalesce(1).repartition(max(1, manifest.count())).mapInArrow(load, _RECORD)
 
 
 def captures(found: DataFrame) -> DataFrame:
@@ -178,15 +183,16 @@ def captures(found: DataFrame) -> DataFrame:
     part = F.struct("record_id", "uri", "date")
     request = found.where("type = 'request'").groupBy(F.col("concurrent_to").alias("to")).agg(F.min(part).alias("request"))
     metadata = found.where("type = 'metadata'").groupBy(F.col("concurrent_to").alias("to")).agg(F.sort_array(F.collect_list(F.struct("record_id", "page_id"))).alias("metadata"))
-    response = found.where("type in ('response', 'revisit')").select(F.col("record_id").alias("to"), "uri", F.struct("type", "record_id", "date", "payload_bytes", "payload_digest", "payload").alias("response"))
+    response = found.where("type in ('response', 'revisit')").select(F.col("record_id").alias("to"), "uri", F.struct("type", "record_id", "date", "refers_to", "payload_bytes", "payload_digest", "payload").alias("response"))
     joined = response.join(request, "to", "left").join(metadata, "to", "left")
     return joined.select(F.col("to").alias("record_id"), "uri", F.get(F.col("metadata.page_id"), F.lit(0)).alias("page_id"), "request", "response", F.coalesce("metadata", F.array().cast("array<struct<record_id:string,page_id:bigint>>")).alias("metadata"))
 
 
 def resolve(assembled: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type and, for revisits, the page
-    of the response that holds the payload (refers_to)."""
-    flat = assembled.select("page_id", F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"), F.col("response.type").alias("record_type"))
-    origin = flat.where("record_type = 'response'").groupBy("payload_digest").agg(F.max("page_id").alias("refers_to"))
-    revisits = flat.where("record_type = 'revisit'").join(origin, "payload_digest", "left")
-    return flat.where("record_type = 'response'").withColumn("refers_to", F.lit(None).cast("long")).unionByName(revisits.select(*flat.columns, "refers_to"))
+    """page_id, payload_bytes, payload_digest, record_type and, for revisits, the page of
+    the capture whose record they name (refers_to; null where it isn't there)."""
+    flat = assembled.select("record_id", "page_id", F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"), F.col("response.type").alias("record_type"), F.col("response.refers_to").alias("origin"))
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type"]
+    named = flat.where("record_type = 'response'").select(F.col("record_id").alias("origin"), F.col("page_id").alias("refers_to"))
+    revisits = flat.where("record_type = 'revisit'").join(named, "origin", "left")
+    return flat.where("record_type = 'response'").select(*names, F.lit(None).cast("long").alias("refers_to")).unionByName(revisits.select(*names, "refers_to"))
