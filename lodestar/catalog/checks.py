@@ -10,7 +10,7 @@ from ..operators import timeline as T
 from ..sources import tables
 from .common import DURATIONS, SAMPLES, SIZE, STRIDE, WINDOWS, collect, durations, r6, samples, table
 from .streams import _folder
-from .vectors import _PAIRS, _twenty
+from .vectors import _PAIRS, _asked
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -37,7 +37,7 @@ def row_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
 @collect(QUERIES, ORACLES, f"WITH {_PAIRS}, t AS (SELECT query_id, vec_id, dist, row_number() OVER (PARTITION BY query_id ORDER BY dist, vec_id) AS rank FROM pairs QUALIFY rank <= 10), f AS (SELECT query_id, vec_id, short, row_number() OVER (PARTITION BY query_id ORDER BY short, vec_id) AS rank FROM pairs QUALIFY rank <= 10) SELECT query_id, count(*) AS n, count(*) FILTER (WHERE t.vec_id = f.vec_id) AS same, round(max(abs(dist - short)), 6) + 0.0 AS largest FROM t FULL JOIN f USING (query_id, rank) GROUP BY query_id")
 def ranking_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
-    asked = _twenty(rows)
+    asked = _asked(rows)
     short = search.many(rows.withColumn("embedding", F.slice("embedding", 1, 16)), asked.withColumn("query", F.slice("query", 1, 16)), 10)
     return checks.compared(search.many(rows, asked, 10), short, "query_id", "vec_id").withColumn("largest", r6("largest"))
 

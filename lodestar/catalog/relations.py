@@ -41,12 +41,12 @@ def filter_halfopen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicates.apply(_parts(spark, sf_dir), FIELDS, {"p_retailprice": {"min": 950}}).select("p_partkey", "p_retailprice")
 
 
-@collect(QUERIES, ORACLES, "SELECT count(*) AS n, true AS filter_correct FROM part WHERE p_size BETWEEN 10 AND 20")
+@collect(QUERIES, ORACLES, "SELECT wanted, (SELECT coalesce(bool_and(p_size BETWEEN 10 AND wanted), true) FROM part WHERE p_size BETWEEN 10 AND 20) AS filter_correct FROM (SELECT unnest([15, 20, 25]) AS wanted)")
 def filter_validated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = predicates.predicates(FIELDS, {"p_size": (10, 20)})
-    rows = _parts(spark, sf_dir).where(predicates.condition(found))
-    ok = F.coalesce(F.bool_and(F.coalesce(predicates.condition(found), F.lit(False))), F.lit(True))
-    return rows.agg(F.count("*").alias("n"), ok.alias("filter_correct"))
+    """Rows of one filter, judged by three."""
+    rows = predicates.apply(_parts(spark, sf_dir), FIELDS, {"p_size": (10, 20)})
+    judged = [predicates.correct(rows, predicates.predicates(FIELDS, {"p_size": (10, most)})).withColumn("wanted", F.lit(most)) for most in (15, 20, 25)]
+    return judged[0].unionByName(judged[1]).unionByName(judged[2])
 
 
 @collect(QUERIES, ORACLES, "SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey LEFT JOIN part ON l_partkey = p_partkey WHERE o_orderstatus = 'F' AND l_quantity BETWEEN 10 AND 12 AND p_size >= 40")
@@ -56,6 +56,14 @@ def candidates_run_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicates.apply(rows, FIELDS, {"o_orderstatus": "F", "l_quantity": (10, 12), "p_size": {"min": 40}}).select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
 
 
+@collect(QUERIES, ORACLES, "SELECT vec_id, label, p_name, p_size FROM embeddings LEFT JOIN part ON vec_id = p_partkey AND p_size >= 20 WHERE label <= 4")
+def outer_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows without metadata stay, with nulls."""
+    part = table(spark, sf_dir, "part").where("p_size >= 20")
+    rows = table(spark, sf_dir, "embeddings").join(part, F.col("vec_id") == F.col("p_partkey"), "left")
+    return rows.where("label <= 4").select("vec_id", "label", "p_name", "p_size")
+
+
 _ACTIVE = "a AS (SELECT o_custkey, max(o_orderkey) AS active FROM orders GROUP BY 1)"
 
 
@@ -166,7 +174,7 @@ def segment_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", made.alias("segment_id"))
 
 
-@collect(QUERIES, ORACLES)
+@collect(QUERIES, ORACLES, "WITH h AS (SELECT p_partkey, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || CAST('run:' || p_partkey AS BLOB)) AS d FROM part) SELECT p_partkey, d[1:8] || '-' || d[9:12] || '-5' || d[14:16] || '-' || substr('89ab89ab89ab89ab', strpos('0123456789abcdef', d[17:17]), 1) || d[18:20] || '-' || d[21:32] AS point_id FROM h")
 def uuid5_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", scalars.uuid5(uuid.NAMESPACE_URL, F.concat_ws(":", F.lit("run"), F.col("p_partkey").cast("string"))).alias("point_id"))
 

@@ -27,25 +27,27 @@ def _folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
-def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _stream(spark: SparkSession, sf_dir: str, files: int = 16, chunk: bool = False) -> DataFrame:
     """The table as a stream of its files: those in its folder, or the one file of its
     name in ``sf_dir``."""
     schema = table(spark, sf_dir, "events").schema
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/events.parquet")
-    reader = spark.readStream.schema(schema)
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files)
     if path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(path).isDirectory():
         stream = reader.parquet(f"{sf_dir}/events.parquet")
     else:
         stream = reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    stream = stream.withColumn("chunk", ingest.chunk_of_file()) if chunk else stream
     return stream.withColumn("time", F.col("ts").cast("timestamp"))
 
 
 @collect(QUERIES, ORACLES, "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY event_type")
 def stream_ingest_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Drained twice from new checkpoints: the second time replaces the first."""
+    """Drained twice from new checkpoints, in other batches: the second time replaces the
+    first, file by file."""
     folder = _folder(spark)
-    for attempt in ("first", "second"):
-        ingest.ingest(_stream(spark, sf_dir), f"{folder}/rows", f"{folder}/{attempt}", "event_id")
+    for attempt, files in (("first", 2), ("second", 16)):
+        ingest.ingest(_stream(spark, sf_dir, files, True), f"{folder}/rows", f"{folder}/{attempt}", "event_id")
     return spark.read.parquet(f"{folder}/rows").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
@@ -66,11 +68,13 @@ def stream_dedup_late(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
-@collect(QUERIES, ORACLES)
+@collect(QUERIES, ORACLES, "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events), i AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, new) AS island FROM g), s AS (SELECT user_id, min(ts) AS t_start, max(ts) + INTERVAL 6 HOUR AS t_end, count(*) AS n FROM i GROUP BY user_id, island), m AS (SELECT max(ts) AS last FROM events) SELECT user_id, epoch_us(t_start) AS start_us, epoch_us(t_end) AS end_us, n FROM s, m WHERE date_trunc('millisecond', t_end) <= date_trunc('millisecond', last) - INTERVAL 10 MINUTE")
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions that the watermark has closed."""
     folder = _folder(spark)
     made = ingest.sessions(_stream(spark, sf_dir), "time", "6 hours", "10 minutes", ["user_id"])
-    return ingest.drain(made, f"{folder}/rows", f"{folder}/checkpoint")
+    rows = ingest.drain(made, f"{folder}/rows", f"{folder}/checkpoint")
+    return rows.select("user_id", F.unix_micros("t_start").alias("start_us"), F.unix_micros("t_end").alias("end_us"), "n")
 
 
 del r6

@@ -79,10 +79,12 @@ def window_telemetry_bool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(_summary(spark, sf_dir, "flag", "boolean"), "flag")
 
 
-_TURN = "((ra - la + 180) % 360 + 360) % 360 - 180"
+# 360 is added where the remainder is negative only: added to all, it rounds a turn just
+# below 180 degrees to the other side
+_TURN = "(ra - la + 180) % 360 + CASE WHEN (ra - la + 180) % 360 < 0 THEN 360 ELSE 0 END - 180"
 
 
-@collect(QUERIES, ORACLES, f"{_values('angle', f'CASE WHEN exact THEN ra WHEN near THEN ((la + fr * ({_TURN})) % 360 + 360) % 360 END')}, s AS (SELECT {_KEYS}, sum(sin(radians(value))) AS y, sum(cos(radians(value))) AS x FROM g GROUP BY ALL), m AS (SELECT {_KEYS}, CASE WHEN abs(x) <= 1e-12 AND abs(y) <= 1e-12 THEN NULL ELSE (degrees(atan2(y, x)) + 360) % 360 END AS a FROM s) {_OUT}, round(a, 5) AS angle FROM w LEFT JOIN m USING ({_KEYS})")
+@collect(QUERIES, ORACLES, f"{_values('angle', f'CASE WHEN exact THEN ra WHEN near THEN (la + fr * ({_TURN}) + 360) % 360 END')}, s AS (SELECT {_KEYS}, sum(sin(radians(value))) AS y, sum(cos(radians(value))) AS x FROM g GROUP BY ALL), m AS (SELECT {_KEYS}, CASE WHEN abs(x) <= 1e-12 AND abs(y) <= 1e-12 THEN NULL ELSE (degrees(atan2(y, x)) + 360) % 360 END AS a FROM s) {_OUT}, round(a, 5) AS angle FROM w LEFT JOIN m USING ({_KEYS})")
 def window_telemetry_circular(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(_summary(spark, sf_dir, "angle", "circular").withColumn("angle", F.round("angle", 5)), "angle")
 
@@ -107,7 +109,7 @@ def interp_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _grid(spark, sf_dir).select("user_id", F.col("at").alias("at_s"), F.round(T.interpolated(T.Measure("value"), F.col("at"), GAP), 5).alias("value"))
 
 
-@collect(QUERIES, ORACLES, f"{_GRID} SELECT user_id, pt AS at_s, round(CASE WHEN exact THEN ra WHEN near THEN ((la + fr * ({_TURN})) % 360 + 360) % 360 END, 5) AS angle FROM f")
+@collect(QUERIES, ORACLES, f"{_GRID} SELECT user_id, pt AS at_s, round(CASE WHEN exact THEN ra WHEN near THEN (la + fr * ({_TURN}) + 360) % 360 END, 5) AS angle FROM f")
 def interp_circular(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _grid(spark, sf_dir).select("user_id", F.col("at").alias("at_s"), F.round(T.interpolated(T.Measure("angle", "circular"), F.col("at"), GAP), 5).alias("angle"))
 

@@ -100,3 +100,41 @@ def truthy(text) -> Column:
     """Vocabulary of boolean cells: 1, true, yes, on; empty is null."""
     t = F.lower(F.trim(_c(text)))
     return F.when(t != "", t.isin("1", "true", "yes", "on"))
+
+
+def json_field(document: Column | str, path: str, kind: str, default: object = None) -> Column:
+    """A field of a JSON text, cast; ``default`` where it is missing or of another kind."""
+    found = F.get_json_object(F.col(document) if isinstance(document, str) else document, f"$.{path}").try_cast(kind)
+    return found if default is None else F.coalesce(found, F.lit(default).cast(kind))
+
+
+def not_nan(value: Column) -> Column:
+    """The value, null in place of NaN."""
+    return F.when(~F.isnan(value), value)
+
+
+def spaced_indices(n: Column, wanted: int) -> Column:
+    """About ``wanted`` indices spread evenly over 0 to n - 1, both ends among them, each
+    once; halves round to the even one. No rows give no index."""
+    steps = max(1, wanted - 1)
+    spread = F.transform(F.sequence(F.lit(0), F.lit(wanted - 1)), lambda i: F.bround(i * (n - 1) / F.lit(steps), 0).cast("long"))
+    return F.when(n > 0, F.array_sort(F.array_distinct(spread))).otherwise(F.array().cast("array<bigint>"))
+
+
+def anchor(name: Column, pattern: str, form: str) -> Column:
+    """The time that a file's name holds: group 1 of ``pattern`` read by ``form``, in
+    seconds since 1970 (UTC); null where there is none."""
+    return F.unix_timestamp(F.try_to_timestamp(F.nullif(F.regexp_extract(name, pattern, 1), F.lit("")), F.lit(form)))
+
+
+def from_minute(minute: Column, milliseconds: Column) -> Column:
+    """Seconds since 1970 of a time that is given to the minute, and milliseconds after it."""
+    return F.unix_seconds(F.date_trunc("minute", minute.cast("timestamp"))) + milliseconds / F.lit(1000.0)
+
+
+def category_of(text: Column, categories: list[tuple[str, str]], other: str = "other") -> Column:
+    """The category of the first of (part, category) whose part stands in the text."""
+    out = F.lit(other)
+    for part, category in reversed(categories):
+        out = F.when(F.contains(F.lower(text), F.lit(part)), F.lit(category)).otherwise(out)
+    return out

@@ -94,10 +94,10 @@ def reconciled(counts: list[DataFrame]) -> DataFrame:
     return both.agg(F.min("n").alias("least"), F.max("n").alias("most"), (F.min("n") == F.max("n")).alias("consistent"))
 
 
-def status(rows: DataFrame, col: str = "status") -> DataFrame:
-    """fail if any failed, else not_run if any did not run, else pass."""
+def status(rows: DataFrame, col: str = "status", by: tuple[str, ...] = ()) -> DataFrame:
+    """fail if any failed, else not_run if any did not run, else pass; per group."""
     found = F.when(F.bool_or(F.col(col) == "fail"), "fail").when(F.bool_or(F.col(col) == "not_run"), "not_run").otherwise("pass")
-    return rows.agg(found.alias("status"), F.count("*").alias("n"))
+    return rows.groupBy(*by).agg(found.alias("status"), F.count("*").alias("n"))
 
 
 def contract(vectors: DataFrame, dims: int, id_col: str = "vec_id", vector_col: str = "embedding", tolerance: float = 1e-3) -> DataFrame:

@@ -81,17 +81,20 @@ def search(vectors: DataFrame, query: list[float], k: int, strategy: str = "pref
     return run[strategy](**options)
 
 
+def pairs(vectors: DataFrame, queries: DataFrame, vector_col: str = "embedding") -> DataFrame:
+    """All rows for each query (query_id, query and other columns), with ``dist``; queries
+    may be of any number: up to ``QUERIES`` are broadcast; more are dealt into blocks of
+    about that size, and each block meets all rows."""
+    count = queries.count()
+    asked = F.broadcast(queries) if count <= QUERIES else queries.repartition(-(-count // QUERIES))
+    return vectors.crossJoin(asked.withColumnsRenamed({c: f"_{c}" for c in asked.columns if c in vectors.columns})).withColumn("dist", cosine_distance(vector_col, "query")).drop("query")
+
+
 def many(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """The k nearest rows for each query (query_id, query), of any number: up to
-    ``QUERIES`` are broadcast; more are dealt into blocks of about that size, and each
-    block meets all rows. Each task keeps k rows a query before the exchange."""
-    asked = queries.select("query_id", "query")
-    count = asked.count()
-    asked = F.broadcast(asked) if count <= QUERIES else asked.repartition(-(-count // QUERIES))
-    pairs = vectors.crossJoin(asked)
+    """The k nearest rows for each query (query_id, query). Each task keeps k rows a query
+    before the exchange."""
     order = Window.partitionBy("query_id").orderBy("dist", id_col)
-    pairs = pairs.withColumn("dist", cosine_distance(vector_col, "query")).drop("query")
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return pairs(vectors, queries.select("query_id", "query"), vector_col).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def ranked(hits: DataFrame, id_col: str = "vec_id", score_col: str = "dist") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -11,14 +11,20 @@ def source(spark: SparkSession, folder: str, schema, files_per_trigger: int = 16
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
 
 
-def ingest(stream: DataFrame, folder: str, checkpoint: str, key: str) -> None:
-    """Drains the stream into ``folder``. A batch is a partition that it overwrites: if it
-    comes again, with a new checkpoint too, its rows replace themselves. Repeated keys
-    within a batch are one row."""
+def chunk_of_file() -> Column:
+    """The chunk of a row of a file stream: its file, which always comes whole."""
+    return F.sha1("_metadata.file_path")
+
+
+def ingest(stream: DataFrame, folder: str, checkpoint: str, key: str, chunk: str = "chunk") -> None:
+    """Drains the stream into ``folder``. A chunk, which must come whole in one batch, is a
+    partition that its rows overwrite: if it comes again, from a new checkpoint, in other
+    batches or after an attempt that broke off, it replaces itself and nothing else.
+    Repeated keys within a chunk are one row."""
 
     def write(batch: DataFrame, number: int) -> None:
-        rows = batch.dropDuplicates([key]).withColumn("batch", F.lit(number))
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(folder)
+        rows = batch.dropDuplicates([chunk, key])
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(chunk).parquet(folder)
 
     query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
