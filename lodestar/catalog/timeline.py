@@ -96,7 +96,7 @@ f AS (SELECT p.*, e.time_s AS rt, e.value AS rv, e.angle AS ra, e.event_type AS
 
 def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = T.sliding(durations(spark, sf_dir), 21600.0, 21600.0, "pad").select("user_id", F.col("t_start").alias("at"))
-    return T.neighbours(points, samples(spark, sf_dir), ["value", "angle", "event_type"], "user_id")
+    return T.neighbours(points, samples(spark, sf_dir), ["value", "angle", "event_type"], "user_id", cell=7 * 86400.0)
 
 
 @collect(QUERIES, ORACLES, f"{_GRID} SELECT user_id, pt AS at_s, round(lt, 6) AS before_s, round(rt, 6) AS after_s, lv AS before_value, rv AS after_value FROM f")

@@ -57,13 +57,19 @@ def enriched(rows: DataFrame, found: DataFrame, key: list[str], fields: list[str
     return joined.withColumns({f: F.when(F.col("_there"), F.col(f"_{f}")).otherwise(F.col(f)) for f in fields}).drop("_there", *(f"_{f}" for f in fields))
 
 
+#: Different counts that contrasts are made for.
+MOST_COUNTS = 1000
+
+
 def count_contrasts(rows: DataFrame, segment: str, count: str) -> DataFrame:
     """For each positive count, the segments with it (positive) and those with none
     (negative); nothing, if no segment has none. One row a segment and count value."""
     positive = rows.where(F.col(count) > 0)
     zero = rows.where(F.col(count) == 0)
-    # distinct counts are few: a row each
+    # distinct counts are few, a row each; there are as many negative lists as counts
     values = positive.select(F.col(count).alias("count_value")).distinct()
+    if values.count() > MOST_COUNTS:
+        raise ValueError(f"more than {MOST_COUNTS} different counts")
     negative = zero.join(F.broadcast(values)).select("count_value", F.col(segment).alias("segment"), F.lit("negative").alias("side"))
     some = positive.join(F.broadcast(zero.limit(1).select(F.lit(1).alias("_any"))))
     return some.select(F.col(count).alias("count_value"), F.col(segment).alias("segment"), F.lit("positive").alias("side")).unionByName(negative)

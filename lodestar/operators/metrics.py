@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,40 +10,35 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .features import positions
+
 
 def greedy_hits(found: DataFrame, truth: DataFrame, least: float = 0.5) -> DataFrame:
     """``found`` (query_id, rank, video, t_start, t_end) with ``hit`` and the query's
     number of true spans (n_gt): in the order of rank, a row takes the first true span of
-    its video, by (video, t_start, t_end), that has an IoU of ``least`` and isn't taken.
+    its video, by (t_start, t_end), that has an IoU of ``least`` and isn't taken.
 
-    A query's rows meet in one task: a ranking is short by nature. Queries without rows
-    in ``found`` don't appear here.
+    Spans of other videos don't matter, so a task gets one video of a query, and true spans
+    once. Queries without rows in ``found`` don't appear here.
     """
-    spans = F.sort_array(F.collect_list(F.struct("video", "t_start", "t_end")))
-    known = truth.groupBy("query_id").agg(spans.alias("_truth"))
-    rows = found.join(known, "query_id", "left")
-
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("rank", kind="stable")
-        truth_rows = group["_truth"].iloc[0]
-        spans = [] if truth_rows is None else [(t["video"], t["t_start"], t["t_end"]) for t in truth_rows]
-        taken, hits = set(), []
-        for video, start, end in zip(group["video"], group["t_start"], group["t_end"], strict=True):
-            hit = False
-            for i, (v, s, e) in enumerate(spans):
-                if i in taken or v != video:
-                    continue
-                both = max(0.0, min(end, e) - max(start, s))
-                union = (end - start) + (e - s) - both
-                if union > 0 and both / union >= least:
-                    taken.add(i)
-                    hit = True
-                    break
-            hits.append(hit)
-        return group.drop(columns="_truth").assign(hit=hits, n_gt=len(spans))
+
+    def one(rows: pd.DataFrame, spans: pd.DataFrame) -> pd.DataFrame:
+        rows, spans = rows.sort_values("rank", kind="stable"), spans.sort_values(["t_start", "t_end"], kind="stable")
+        begin, end, free = spans["t_start"].to_numpy(float), spans["t_end"].to_numpy(float), np.ones(len(spans), bool)
+        hits = np.zeros(len(rows), bool)
+        for i, (s, e) in enumerate(zip(rows["t_start"], rows["t_end"], strict=True)):
+            both = np.maximum(0.0, np.minimum(end, e) - np.maximum(begin, s))
+            union = (e - s) + (end - begin) - both
+            fits = np.flatnonzero(free & (union > 0) & (both >= least * union - 1e-12 * union))
+            if len(fits):
+                free[fits[0]], hits[i] = False, True
+        return rows.assign(hit=hits)
 
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema)
-    return rows.groupBy("query_id").applyInPandas(one, f"{own}, hit boolean, n_gt long")
+    keys = ["query_id", "video"]
+    judged = found.groupBy(*keys).cogroup(truth.select(*keys, "t_start", "t_end").groupBy(*keys)).applyInPandas(one, f"{own}, hit boolean")
+    known = truth.groupBy("query_id").agg(F.count("*").alias("n_gt"))
+    return judged.join(known, "query_id", "left").withColumn("n_gt", F.coalesce("n_gt", F.lit(0)))
 
 
 def ranked_metrics(hits: DataFrame, ks: tuple[int, ...] = (1, 5, 10), by: str = "query_id") -> DataFrame:
@@ -112,8 +108,8 @@ def corpus_metrics(scores: DataFrame, ks: tuple[int, ...] = (1, 5, 10), by: str
 
 def paired_bootstrap(pairs: DataFrame, a: str, b: str, by: list[str] | None = None, unit: str | None = None, resamples: int = 2000, level: float = 0.95, seed: int = 0) -> DataFrame:
     """Mean difference a - b with a bootstrap interval and Cohen's d, per group. ``unit``
-    resamples means of units (videos) instead of rows. Resampling is Poisson: each row
-    draws its weights for all resamples, tasks add these up, and only sums meet, so that
+    resamples means of units (videos) instead of rows. Resampling is Poisson: blocks of
+    rows draw their weights for all resamples, tasks add these up, and only sums meet, so that
     a group of any size is never gathered."""
     by = by or []
     rows = pairs.select(*by, *([unit] if unit else []), (F.col(a) - F.col(b)).cast("double").alias("_d")).where("_d is not null")
@@ -128,10 +124,12 @@ def paired_bootstrap(pairs: DataFrame, a: str, b: str, by: list[str] | None = No
         for batch in batches:
             for key, own in batch.groupby("_key"):
                 total = sums.setdefault(key, np.zeros((2, resamples)))
-                for d, s in zip(own["_d"], own["_seed"], strict=True):
-                    w = np.random.default_rng(int(s) & (2**63 - 1)).poisson(1.0, resamples)
-                    total[0] += w
-                    total[1] += w * d
+                d, seeds = own["_d"].to_numpy(float), own["_seed"].to_numpy(np.int64)
+                for lo in range(0, len(d), 1024):
+                    rng = np.random.default_rng(np.frombuffer(seeds[lo : lo + 1024].tobytes(), np.uint32))
+                    w = rng.poisson(1.0, (len(d[lo : lo + 1024]), resamples))
+                    total[0] += w.sum(0)
+                    total[1] += d[lo : lo + 1024] @ w
         for key, total in sums.items():
             yield pd.DataFrame({"_key": key, "r": np.arange(resamples), "w": total[0], "x": total[1]})
 
@@ -163,8 +161,17 @@ def latency(rows: DataFrame, value: str, by: list[str] | None = None) -> DataFra
 def thresholds(rows: DataFrame, value: str, levels: tuple[float, ...] = (0.5, 0.1, 0.01, 0.001), above: bool = False) -> DataFrame:
     """For each level the value below (above) which about this share of rows lies, and the
     share that really does; null without values."""
-    cuts = rows.agg(F.percentile(value, F.array(*(F.lit(1 - p if above else p) for p in levels))).alias("c"), F.count(value).alias("n")).select("n", F.posexplode_outer("c").alias("i", "threshold"))
-    cuts = cuts.withColumn("level", F.element_at(F.array(*map(F.lit, levels)), F.col("i") + 1))
+    some = rows.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"))
+    n, spark = some.count(), rows.sparkSession
+    every = spark.createDataFrame([(i, p, n) for i, p in enumerate(levels)], "i int, level double, n long")
+    if not n:
+        none = F.lit(None).cast("double")
+        return every.select("level", none.alias("threshold"), none.alias("selectivity"), "n")
+    at = [(i, (1 - p if above else p) * (n - 1)) for i, p in enumerate(levels)]
+    need = spark.createDataFrame([(i, x, math.floor(x), x - math.floor(x)) for i, x in at] + [(i, x, math.ceil(x), 0.0) for i, x in at], "i int, x double, position long, part double")
+    # a value for each of a handful of ranks; ranges of values are numbered apart
+    ends = positions(some, "v").join(F.broadcast(need), "position").groupBy("i").agg(F.min_by("v", "position").alias("_a"), F.max_by("v", "position").alias("_b"), F.max("part").alias("_p"))
+    cuts = every.join(ends, "i", "left").select("level", "n", (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_p")).alias("threshold"))
     # one row per level meets every row: a broadcast of a handful
     side = F.col(value) > F.col("threshold") if above else F.col(value) < F.col("threshold")
     met = rows.select(value).join(F.broadcast(cuts)).groupBy("level", "threshold", "n").agg((F.count_if(side) / F.count(value)).alias("selectivity"))

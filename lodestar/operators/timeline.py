@@ -99,21 +99,31 @@ class Measure:
     kind: str = "continuous"
 
 
-def neighbours(points: DataFrame, samples: DataFrame, fields: list[str], key: str, at_col: str = "at", time_col: str = "time_s") -> DataFrame:
+def neighbours(points: DataFrame, samples: DataFrame, fields: list[str], key: str, at_col: str = "at", time_col: str = "time_s", cell: float | None = None) -> DataFrame:
     """``points`` (key, at) with the last sample before ``at`` and the first at or after it,
     as structs ``left`` and ``right`` (time, fields); null where there is none. Of samples
-    at one time, the first in the order of fields is the right one."""
+    at one time, the first in the order of fields is the right one.
+
+    With ``cell``, a series is cut into spans of that length, which tasks order apart; a
+    row per span then carries the nearest samples across the cuts."""
     row = F.struct(F.col(time_col).alias("time"), *fields)
     own = samples.select(key, F.col(time_col).alias("_t"), F.lit(1).alias("_sample"), row.alias("_row"), *[F.lit(None).cast(points.schema[c].dataType).alias(c) for c in points.columns if c != key])
     asked = points.withColumns({"_t": F.col(at_col), "_sample": F.lit(0), "_row": F.lit(None).cast(own.schema["_row"].dataType)})
-    both = own.unionByName(asked)
+    both = own.unionByName(asked).withColumn("_cell", F.lit(0).cast("long") if cell is None else F.floor(F.col("_t") / cell).cast("long"))
     # at equal times a boundary stands before the samples
-    order = Window.partitionBy(key).orderBy("_t", "_sample", "_row")
+    order = Window.partitionBy(key, "_cell").orderBy("_t", "_sample", "_row")
     before = F.last("_row", True).over(order.rowsBetween(Window.unboundedPreceding, -1))
     # the first non-null from here on: a forward frame, one pass in reverse order
-    back = Window.partitionBy(key).orderBy(F.desc("_t"), F.desc("_sample"), F.desc("_row"))
+    back = Window.partitionBy(key, "_cell").orderBy(F.desc("_t"), F.desc("_sample"), F.desc("_row"))
     after = F.last("_row", True).over(back.rowsBetween(Window.unboundedPreceding, -1))
-    return both.withColumns({"left": before, "right": after}).where("_sample = 0").select(*points.columns, "left", "right")
+    found = both.withColumns({"left": before, "right": after}).where("_sample = 0")
+    if cell is not None:
+        ends = both.where("_sample = 1").groupBy(key, "_cell").agg(F.min("_row").alias("_first"), F.max("_row").alias("_last"))
+        cells = asked.select(key, F.floor(F.col("_t") / cell).cast("long").alias("_cell")).distinct().join(ends, [key, "_cell"], "full")
+        along = Window.partitionBy(key).orderBy("_cell")
+        carried = cells.withColumns({"_before": F.last("_last", True).over(along.rowsBetween(Window.unboundedPreceding, -1)), "_after": F.first("_first", True).over(along.rowsBetween(1, Window.unboundedFollowing))})
+        found = found.join(carried.select(key, "_cell", "_before", "_after"), [key, "_cell"], "left").withColumns({"left": F.coalesce("left", "_before"), "right": F.coalesce("right", "_after")})
+    return found.select(*points.columns, "left", "right")
 
 
 def interpolated(field: Measure, at: Column, max_gap: float, left: str = "left", right: str = "right") -> Column:
@@ -157,7 +167,7 @@ def window_values(windows: DataFrame, samples: DataFrame, field: Measure, key: s
     value = F.col(field.name).cast("double") if numeric else F.col(field.name)
     inside = within(own, samples.select(key, time_col, field.name), key, cell, time_col).select(key, "t_start", "t_end", value.alias("value"), F.col(time_col).alias("place"), F.lit(0).alias("part"))
     ends = own.select(key, "t_start", "t_end", F.posexplode(F.array("t_start", "t_end")).alias("part", "at"))
-    ends = neighbours(ends, samples.select(key, time_col, field.name), [field.name], key, "at", time_col)
+    ends = neighbours(ends, samples.select(key, time_col, field.name), [field.name], key, "at", time_col, cell)
     ends = ends.select(key, "t_start", "t_end", interpolated(field, F.col("at"), max_gap).alias("value"), F.col("at").alias("place"), (F.col("part") + 1).alias("part"))
     return inside.unionByName(ends).where("value is not null")
 

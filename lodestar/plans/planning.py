@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import folded
+
 #: Confidence of constraints that come from rules.
 RULES_CONFIDENCE = 0.9
 #: Soft constraints below this confidence go in the second and third pass.
@@ -29,6 +31,10 @@ CONCEPTS = (
 )
 
 
+# Fixed value: a number before a concept, and the word after it.
+AT_LEAST = r"(?:en az|at least)\s+(\d+)\s+(\S+)"
+
+
 def concepts(spark: SparkSession) -> DataFrame:
     """A row per synonym: concept, family, field, specificity, word."""
     rows = [(c, f, field, s, w) for c, f, field, s, words in CONCEPTS for w in words]
@@ -38,13 +44,14 @@ def concepts(spark: SparkSession) -> DataFrame:
 def matched(queries: DataFrame, rules: DataFrame, id_col: str = "query_id", text_col: str = "text") -> DataFrame:
     """Concepts whose words stand in each query as whole words: query, concept, family,
     field, specificity, least (1, or the number after "at least" before such a word)."""
-    text = F.lower(text_col)
+    queries = queries.select(id_col, folded(text_col).alias("_text"))
+    text = F.col("_text")
     words = F.array_distinct(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
     own = queries.select(id_col, F.explode(words).alias("word"))
     # the rules are a table of fixed size
     hit = own.join(F.broadcast(rules), "word").select(id_col, "concept", "family", "field", "specificity").distinct()
-    numbers = queries.select(id_col, F.explode(F.regexp_extract_all(text, F.lit(r"(?:en az|at least)\s+\d+\s+\S+"), F.lit(0))).alias("phrase"))
-    numbers = numbers.select(id_col, F.regexp_extract("phrase", r"(\d+)\s+\S+$", 1).cast("int").alias("least"), F.regexp_extract("phrase", r"(\S+)$", 1).alias("tail"))
+    groups = F.arrays_zip(*(F.regexp_extract_all(text, F.lit(AT_LEAST), F.lit(i)).alias(n) for i, n in ((1, "least"), (2, "tail"))))
+    numbers = queries.select(id_col, F.explode(groups).alias("g")).select(id_col, F.col("g.least").try_cast("int").alias("least"), "g.tail")
     counted = numbers.join(F.broadcast(rules.select("concept", "word")), F.col("tail").contains(F.col("word"))).groupBy(id_col, "concept").agg(F.max("least").alias("least"))
     return hit.join(counted, [id_col, "concept"], "left").withColumn("least", F.coalesce("least", F.lit(1)))
 
