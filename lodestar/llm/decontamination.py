@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
 
-from .shared import fresh, new_path, open_mapped, quoted, small_batches, write_file
+from .shared import new_path, numbered, open_mapped, quoted, small_batches, write_file
 from .textbytes import column, passes, words
 
 #: Bytes of text in a shard and in a benchmark block.
@@ -238,13 +238,12 @@ def annotate(docs: DataFrame, benchmark: DataFrame, window: int = 13, text_col:
     ids' SHA-256, and whether at least ``percent`` of the words (and one) are hit.
     ``clean_only`` removes the contaminated documents and the added columns."""
     keep = [c for c in (docs.columns if keep is None else keep) if clean_only or c.lower() not in _RESULT]
-    text = fresh("_text", keep)
     uris = write_blocks(benchmark, item_col, item_text_col)
-    rows = small_batches(docs).select(*quoted(keep), F.col(text_col).cast("string").alias(text))
+    rows = numbered(small_batches(docs), keep, text=F.col(text_col).cast("string"))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            buf, offs = column(batch, text)
+            buf, offs = column(batch, "text")
             for lo, hi in passes(offs, SHARD_BYTES):
                 n, hit, items = _judge(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], uris, window)
                 bad = (hit > 0) & (100 * hit >= percent * n)

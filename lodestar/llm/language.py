@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .shared import fresh, quoted, small_batches
+from .shared import numbered, quoted, small_batches
 from .textbytes import column, passes
 
 WINDOW, WIDTHS, FILTERS = 64, (2, 3, 4), 16
@@ -180,15 +180,14 @@ def predict(docs: DataFrame, net: Network, text_col: str = "text", keep: list[st
     score 0. Equal texts score alike. An empty table gives no rows.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if least is not None or c.lower() not in ("lang_pred", "score")]
-    text, letters = fresh("_text", keep), fresh("_letters", keep)
-    rows = small_batches(docs).select(*quoted(keep), F.col(text_col).cast("string").alias(text), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias(letters))
+    rows = numbered(small_batches(docs), keep, text=F.col(text_col).cast("string"), letters=F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
     names = np.array([*net.languages, UNKNOWN], object)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready = net.prepare()
         for batch in batches:
-            buf, offs = column(batch, text)
-            real = batch.column(batch.schema.get_field_index(letters)).to_numpy(zero_copy_only=False).astype(bool)
+            buf, offs = column(batch, "text")
+            real = batch.column(batch.schema.get_field_index("letters")).to_numpy(zero_copy_only=False).astype(bool)
             for lo, hi in passes(offs):
                 known = real[lo:hi] & (len(net.languages) > 0)
                 n = hi - lo

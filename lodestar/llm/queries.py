@@ -13,19 +13,23 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth one."""
     vectors = _table(spark, sf_dir, "embeddings")
     return ann.search(vectors, vectors.where("vec_id % 100 = 0"))
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 1024 ids."""
     return packing.pack(_table(spark, sf_dir, "documents"), tokens.default_path())
 
 
 def op3_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every dialogue from the side of each of its speakers, with masks."""
     return chat.rotate(_table(spark, sf_dir, "conversations"))
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as archives and assembled again from their records."""
     folder = warc.write(_table(spark, sf_dir, "pages"))
     # parsed once: three joins read the records
     found = shared.materialize(warc.records(spark, folder, payloads=False), "records")
@@ -33,22 +37,26 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents shuffled into eight shards of equal numbers of rows (law `rows`)."""
     dealt = sharding.shuffle(_table(spark, sf_dir, "documents"))
     text = F.coalesce("text", F.lit(""))
     return dealt.select("doc_id", (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text."""
     docs = _table(spark, sf_dir, "documents")
     found = language.predict(docs, language.fit_documents(docs), keep=["doc_id"])
     return found.select("doc_id", language.held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
 def op7_similarity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every document."""
     return similarity_join.join(_table(spark, sf_dir, "documents"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every whole text."""
     docs = _table(spark, sf_dir, "documents")
     model = toxicity.fit_labels(docs, _table(spark, sf_dir, "labels"))
     found = toxicity.score(docs, model, keep=["doc_id"])
@@ -56,11 +64,13 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, read back from the files."""
     folder = token_files.write(_table(spark, sf_dir, "documents"), tokens.default_path())
     return token_files.read(spark, folder)
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that stand in windows of benchmark items."""
     docs = _table(spark, sf_dir, "documents")
     return decontamination.annotate(docs, _table(spark, sf_dir, "benchmark"), keep=["doc_id"]).drop("items")
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
-from .shared import fresh, materialize, quoted, small_batches
+from .shared import fresh, materialize, numbered, quoted, small_batches
 
 #: Rows of a target, and bytes of text in it on the average; more, if there would be over
 #: MAX_TARGETS: a target's sort then spills.
@@ -127,8 +127,8 @@ def shuffle(docs: DataFrame, shards: int = 8, seed: int = 20240229, block_rows:
     keep = docs.columns
     part, place = fresh("_part", keep), fresh("_place", keep)
     # written with their places: a task that runs again finds the same rows there
-    numbered = docs.withColumns({part: F.spark_partition_id(), place: F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
-    stored = materialize(numbered, "numbered")
+    placed = docs.withColumns({part: F.spark_partition_id(), place: F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    stored = materialize(placed, "numbered")
     texts = [c for c, f in zip(quoted(keep), docs.schema, strict=True) if isinstance(f.dataType, StringType | BinaryType)]
     size = sum((F.coalesce(F.octet_length(c), F.lit(0)).cast("long") for c in texts), F.lit(0).cast("long"))
     # a row per partition
@@ -153,7 +153,7 @@ def shuffle(docs: DataFrame, shards: int = 8, seed: int = 20240229, block_rows:
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(shard[to].astype(np.int32)), pa.array(to), pa.array(base[to]), pa.array(by)], names=[*keep, "shard", to_name, base_name, key_name])
 
     made = [StructField("shard", IntegerType()), *(StructField(n, LongType()) for n in (to_name, base_name, key_name))]
-    sent = stored.select(*quoted([*keep, part, place])).mapInArrow(send, StructType([*docs.schema.fields, *made]))
+    sent = numbered(stored, keep, part=F.col(part), place=F.col(place)).mapInArrow(send, StructType([*docs.schema.fields, *made]))
     # a target a task: hashed, several could meet in one; its sizes are exact, so a row's
     # number in its sorted partition is its place
     dealt = sent.repartitionById(max(1, len(room)), F.col(to_name).cast("int")).sortWithinPartitions(key_name)

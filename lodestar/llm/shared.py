@@ -97,6 +97,12 @@ def quoted(names: list[str]) -> list[Column]:
     return [F.col("`" + n.replace("`", "``") + "`") for n in names]
 
 
+def numbered(df: DataFrame, keep: list[str], **more: Column) -> DataFrame:
+    """The columns ``keep`` under the names c0, c1, ..., and others, for a function on
+    batches: such functions can't take names with dots."""
+    return df.select(*(c.alias(f"c{i}") for i, c in enumerate(quoted(keep))), *(c.alias(n) for n, c in more.items()))
+
+
 def _local(uri: str) -> str | None:
     parts = urlparse(uri)
     if parts.scheme in ("", "file"):

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .components import connected_components
-from .shared import BROADCAST_IDS, Scratch, checked, fresh, materialize, quoted, small_batches
+from .shared import BROADCAST_IDS, Scratch, checked, fresh, materialize, numbered, quoted, small_batches
 from .textbytes import column, mix, passes, words
 
 SHINGLE = 5
@@ -421,17 +421,17 @@ def _texts_of(texts: DataFrame, placed: DataFrame) -> DataFrame:
 
 def _keyed(docs: DataFrame, text_col: str, name: str) -> DataFrame:
     """``docs`` with the class key of each row (null without words) as column ``name``."""
-    own, text = list(docs.columns), fresh("_text", [*docs.columns, name])
+    own = list(docs.columns)
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            buf, offs = column(batch, text)
+            buf, offs = column(batch, "text")
             for lo, hi in passes(offs):
                 _, _, n, found = shingles(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
                 sid = _fixed(found).take(pa.array(np.arange(hi - lo), mask=n == 0))
                 yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns[: len(own)], sid], names=[*own, name])
 
-    rows = small_batches(docs).select(*quoted(own), F.col(text_col).alias(text))
+    rows = numbered(small_batches(docs), own, text=F.col(text_col).cast("string"))
     return rows.mapInArrow(key, StructType([*docs.schema.fields, StructField(name, BinaryType())]))
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .shared import fresh, quoted, small_batches
+from .shared import numbered, quoted, small_batches
 from .textbytes import column, passes
 
 WINDOW = 64
@@ -281,12 +281,11 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str]
     as such. Equal texts score alike. An empty table gives no rows.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if below is not None or c.lower() != "score"]
-    text = fresh("_text", keep)
-    rows = small_batches(docs).select(*quoted(keep), F.col(text_col).cast("string").alias(text))
+    rows = numbered(small_batches(docs), keep, text=F.col(text_col).cast("string"))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            buf, offs = column(batch, text)
+            buf, offs = column(batch, "text")
             for lo, hi in passes(offs):
                 p = model.score(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
                 part = pa.RecordBatch.from_arrays(batch.slice(lo, hi - lo).columns[: len(keep)], names=keep)
