@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .shared import numbered, quoted, small_batches
+from .shared import checked, numbered, quoted, small_batches
 from .textbytes import column, passes
 
 WINDOW, WIDTHS, FILTERS = 64, (2, 3, 4), 16
@@ -159,7 +159,7 @@ def fit_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return fit([], [])
     shares = sizes.select("lang", F.least(F.lit(min(SAMPLE, SAMPLE_ALL / kinds)) / F.col("n"), F.lit(SAMPLE_BYTES * min(1.0, SAMPLE_ALL / SAMPLE / kinds)) / F.col("bytes")).alias("share"))
     mark = F.xxhash64("text", F.lit(17))
-    chosen = rows.join(shares, "lang").where(F.pmod(mark, F.lit(1 << 30)) / float(1 << 30) < F.col("share")).select("text", "lang", mark.alias("h")).distinct()
+    chosen = rows.join(checked(shares, kinds), "lang").where(F.pmod(mark, F.lit(1 << 30)) / float(1 << 30) < F.col("share")).select("text", "lang", mark.alias("h")).distinct()
     # bounded by the shares, up to chance: equal texts are one row
     got = chosen.collect()
     got.sort(key=lambda r: (r.h, r.lang, r.text))
