@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..streaming import ingest
-from .common import collect, r6, table
+from .common import SAMPLES, collect, samples, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -77,4 +77,16 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("user_id", F.unix_micros("t_start").alias("start_us"), F.unix_micros("t_end").alias("end_us"), "n")
 
 
-del r6
+@collect(QUERIES, ORACLES, f"WITH {SAMPLES} SELECT event_id, lag(value) OVER (PARTITION BY user_id ORDER BY time_s, value) AS previous FROM ev")
+def stream_previous_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All samples in two halves of time, one after the other, as a source would send
+    them; the second half finds the last samples of the first."""
+    folder = _folder(spark)
+    rows = samples(spark, sf_dir).select("event_id", "user_id", "time_s", "value")
+    middle = rows.agg(F.percentile_approx("time_s", 0.5)).first()[0]
+    later = F.coalesce(F.col("time_s") > F.lit(middle).cast("double"), F.lit(False))
+    for half in (rows.where(~later), rows.where(later)):
+        half.write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+        found = ingest.with_previous(stream, f"{folder}/out", f"{folder}/checkpoint", "user_id", "time_s", "value", 7 * 86400.0)
+    return found.select("event_id", "previous")

@@ -11,6 +11,8 @@ from .common import DURATIONS, GAP, SAMPLES, SIZE, STRIDE, WINDOWS, collect, dur
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+#: Seconds of a series that one task orders.
+CELL = 7 * 86400.0
 _BASE = f"WITH {SAMPLES}, {DURATIONS}"
 
 
@@ -96,7 +98,7 @@ f AS (SELECT p.*, e.time_s AS rt, e.value AS rv, e.angle AS ra, e.event_type AS
 
 def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = T.sliding(durations(spark, sf_dir), 21600.0, 21600.0, "pad").select("user_id", F.col("t_start").alias("at"))
-    return T.neighbours(points, samples(spark, sf_dir), ["value", "angle", "event_type"], "user_id", cell=7 * 86400.0)
+    return T.neighbours(points, samples(spark, sf_dir), ["value", "angle", "event_type"], "user_id", cell=CELL)
 
 
 @collect(QUERIES, ORACLES, f"{_GRID} SELECT user_id, pt AS at_s, round(lt, 6) AS before_s, round(rt, 6) AS after_s, lv AS before_value, rv AS after_value FROM f")
@@ -121,18 +123,17 @@ def locf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @collect(QUERIES, ORACLES, f"WITH {SAMPLES}, l AS (SELECT user_id, time_s < lag(time_s) OVER (PARTITION BY user_id ORDER BY value, event_id) AS late FROM ev) SELECT user_id, count(*) FILTER (WHERE late) AS n_late, count(*) FILTER (WHERE late) = 0 AS monotonic FROM l GROUP BY 1")
 def monotonic_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = samples(spark, sf_dir).withColumn("place", F.struct("value", "event_id"))
-    return T.disorder(rows, "user_id", "place")
+    return T.disorder(samples(spark, sf_dir), "user_id", ["value", "event_id"], cell=10.0)
 
 
 @collect(QUERIES, ORACLES, f"WITH {SAMPLES}, g AS (SELECT *, time_s - lag(time_s) OVER (PARTITION BY user_id ORDER BY time_s) AS gap FROM ev), m AS (SELECT user_id, quantile_cont(gap, 0.5) AS mid FROM g GROUP BY 1), s AS (SELECT g.user_id, event_id, CAST(sum(CASE WHEN gap > mid * 4 THEN 1 ELSE 0 END) OVER (PARTITION BY g.user_id ORDER BY time_s) AS BIGINT) AS session FROM g JOIN m ON g.user_id = m.user_id) SELECT user_id, session, count(*) AS n FROM s GROUP BY 1, 2")
 def session_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.sessions(samples(spark, sf_dir), "user_id", "time_s", 4.0).groupBy("user_id", "session").agg(F.count("*").alias("n"))
+    return T.sessions(samples(spark, sf_dir), "user_id", "time_s", 4.0, CELL).groupBy("user_id", "session").agg(F.count("*").alias("n"))
 
 
 @collect(QUERIES, ORACLES, f"WITH {SAMPLES}, d AS (SELECT user_id, abs(value - lag(value) OVER (PARTITION BY user_id ORDER BY time_s)) AS s FROM ev) SELECT user_id, round(quantile_cont(s, 0.95), 6) AS step FROM d GROUP BY 1")
 def first_diff_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.step_percentile(samples(spark, sf_dir), "user_id", "time_s", "value").select("user_id", r6("step").alias("step"))
+    return T.step_percentile(samples(spark, sf_dir), "user_id", "time_s", "value", cell=CELL).select("user_id", r6("step").alias("step"))
 
 
 _SPANS = "sp AS (SELECT event_id, user_id, event_type, time_s AS t_start, time_s + 600 + value * 60 AS t_end, value AS score FROM ev)"
@@ -148,13 +149,13 @@ _MERGED = f"WITH {SAMPLES}, {_SPANS}, r AS (SELECT *, max(t_end) OVER (PARTITION
 @collect(QUERIES, ORACLES, f"{_MERGED} SELECT user_id, round(t_start, 6) AS t_start, round(t_end, 6) AS t_end, score, n FROM mg")
 def merge_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _spans(spark, sf_dir)
-    return intervals.merged(rows, "user_id", 3600.0, F.col("score")).select("user_id", r6("t_start").alias("t_start"), r6("t_end").alias("t_end"), "score", "n")
+    return intervals.merged(rows, "user_id", 3600.0, F.col("score"), cell=CELL).select("user_id", r6("t_start").alias("t_start"), r6("t_end").alias("t_end"), "score", "n")
 
 
 @collect(QUERIES, ORACLES, f"WITH {SAMPLES}, fr AS (SELECT DISTINCT user_id, CAST(floor(time_s / 3600) AS BIGINT) AS frame FROM ev), g AS (SELECT *, CASE WHEN frame - lag(frame) OVER (PARTITION BY user_id ORDER BY frame) <= 13 THEN 0 ELSE 1 END AS new FROM fr), i AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY frame) AS island FROM g) SELECT user_id, min(frame) / 6.0 AS t_start, (max(frame) + 1) / 6.0 AS t_end FROM i GROUP BY user_id, island HAVING (max(frame) + 1) / 6.0 - min(frame) / 6.0 >= 1")
 def frames_to_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = samples(spark, sf_dir).select("user_id", F.floor(F.col("time_s") / 3600).cast("long").alias("frame"))
-    return intervals.flagged(frames, "user_id", "frame", 6.0, 2.0, 1.0).select("user_id", "t_start", "t_end")
+    return intervals.flagged(frames, "user_id", "frame", 6.0, 2.0, 1.0, CELL / 3600).select("user_id", "t_start", "t_end")
 
 
 _TWO = "a AS (SELECT * FROM sp WHERE event_type = 'view'), b AS (SELECT * FROM sp WHERE event_type = 'click')"
@@ -177,7 +178,7 @@ def temporal_iou_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @collect(QUERIES, ORACLES, f"{_MERGED} SELECT user_id, round(g.t_start, 6) AS t_start, round(g.t_end, 6) AS t_end, arg_min(event_id, struct_pack(s := -sp.score, i := event_id)) AS event_id FROM mg g JOIN sp USING (user_id) WHERE sp.t_start < g.t_end AND sp.t_end > g.t_start GROUP BY user_id, g.t_start, g.t_end")
 def best_window_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _spans(spark, sf_dir)
-    best = intervals.best_windows(intervals.merged(rows, "user_id", 3600.0, F.col("score")), rows, "user_id", "event_id", 7200.0)
+    best = intervals.best_windows(intervals.merged(rows, "user_id", 3600.0, F.col("score"), cell=CELL), rows, "user_id", "event_id", 7200.0)
     return best.select("user_id", r6("t_start").alias("t_start"), r6("t_end").alias("t_end"), "event_id")
 
 

@@ -2,34 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import temporal_iou
+from . import series
 
 
-def merged(rows: DataFrame, key: str, gap: float, score: Column | None = None, least: float | None = None) -> DataFrame:
+def merged(rows: DataFrame, key: str, gap: float, score: Column | None = None, least: float | None = None, cell: float | None = None) -> DataFrame:
     """Islands of (t_start, t_end) per key: a row joins while it begins at most ``gap``
-    after the furthest end so far. Output: key, t_start, t_end, score (the best), n."""
+    after the furthest end so far. Output: key, t_start, t_end, score (the best), n.
+    With ``cell``, tasks order spans of that length apart, so a series may be long."""
     rows = rows.withColumn("_score", F.lit(None).cast("double") if score is None else score)
     if least is not None:
         rows = rows.where(F.col("_score") >= least)
-    order = Window.partitionBy(key).orderBy("t_start", "t_end", "_score")
-    reach = F.max("t_end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    begun = F.coalesce((F.col("t_start") - reach > gap).cast("int"), F.lit(1))
-    islands = rows.withColumn("_new", begun).withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    order = ["t_start", "t_end", "_score"]
+    rows = series.furthest(series.cut(rows, key, "t_start", cell), "t_end", order, "_reach", cell)
+    rows = rows.withColumn("_new", F.coalesce((F.col("t_start") - F.col("_reach") > gap).cast("int"), F.lit(1)))
+    islands = series.counted(rows, "_new", order, "_island", cell)
     return islands.groupBy(key, "_island").agg(F.min("t_start").alias("t_start"), F.max("t_end").alias("t_end"), F.max("_score").alias("score"), F.count("*").alias("n")).drop("_island")
 
 
-def flagged(frames: DataFrame, key: str, frame_col: str, fps: float, gap_s: float = 2.0, least_s: float = 1.0) -> DataFrame:
+def flagged(frames: DataFrame, key: str, frame_col: str, fps: float, gap_s: float = 2.0, least_s: float = 1.0, cell: float | None = None) -> DataFrame:
     """Intervals of the frames in which something holds (``frames`` lists these only): a
     gap of more than int(gap_s * fps) frames ends one; an interval ends a frame after its
-    last one; shorter ones than ``least_s`` go."""
-    order = Window.partitionBy(key).orderBy(frame_col)
-    rows = frames.select(key, frame_col).distinct()
-    before = F.lag(frame_col).over(order)
-    begun = F.coalesce((F.col(frame_col) - before > int(gap_s * fps) + 1).cast("int"), F.lit(1))
-    islands = rows.withColumn("_new", begun).withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    last one; shorter ones than ``least_s`` go. ``cell``: frames that a task orders."""
+    rows = series.cut(frames.select(key, frame_col).distinct(), key, frame_col, cell)
+    rows = series.previous(rows, frame_col, [], "_before", cell)
+    rows = rows.withColumn("_new", F.coalesce((F.col(frame_col) - F.col("_before") > int(gap_s * fps) + 1).cast("int"), F.lit(1)))
+    islands = series.counted(rows, "_new", [frame_col], "_island", cell)
     made = islands.groupBy(key, "_island").agg((F.min(frame_col) / fps).alias("t_start"), ((F.max(frame_col) + 1) / fps).alias("t_end"))
     return made.where(F.col("t_end") - F.col("t_start") >= least_s).drop("_island")
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import circular_interpolate
+from . import series
 
 PARTIALS = ("keep", "drop", "pad")
 
@@ -196,23 +197,28 @@ def summarized(windows: DataFrame, samples: DataFrame, field: Measure, key: str,
     return windows.select(*keys).join(best, keys, "left")
 
 
-def disorder(samples: DataFrame, key: str, order_col: str, time_col: str = "time_s") -> DataFrame:
-    """Per series the number of samples whose time lies before their predecessor's."""
-    before = F.lag(time_col).over(Window.partitionBy(key).orderBy(order_col))
-    return samples.withColumn("_late", F.col(time_col) < before).groupBy(key).agg(F.count_if("_late").alias("n_late"), (F.count_if("_late") == 0).alias("monotonic"))
+def disorder(samples: DataFrame, key: str, order: list[str], time_col: str = "time_s", cell: float | None = None) -> DataFrame:
+    """Per series the number of samples whose time lies before that of the sample before
+    them in ``order``. ``cell``: the span of the first column of ``order`` that a task
+    orders."""
+    rows = series.previous(series.cut(samples, key, order[0], cell), time_col, order, "_before", cell)
+    late = F.col(time_col) < F.col("_before")
+    return rows.groupBy(key).agg(F.count_if(late).alias("n_late"), (F.count_if(late) == 0).alias("monotonic"))
 
 
-def sessions(samples: DataFrame, key: str, time_col: str, factor: float) -> DataFrame:
+def sessions(samples: DataFrame, key: str, time_col: str, factor: float, cell: float | None = None) -> DataFrame:
     """``session``: a new one begins where the gap exceeds ``factor`` times the series'
-    median gap."""
-    order = Window.partitionBy(key).orderBy(time_col)
-    gaps = samples.withColumn("_gap", F.col(time_col) - F.lag(time_col).over(order))
-    middle = gaps.groupBy(key).agg(F.median("_gap").alias("_middle"))
-    marked = gaps.join(middle, key).withColumn("_new", F.coalesce((F.col("_gap") > F.col("_middle") * factor).cast("int"), F.lit(0)))
-    return marked.withColumn("session", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_gap", "_middle", "_new")
-
-
-def step_percentile(samples: DataFrame, key: str, time_col: str, value_col: str, p: float = 0.95) -> DataFrame:
-    """Percentile of absolute first differences per series."""
-    step = F.abs(F.col(value_col) - F.lag(value_col).over(Window.partitionBy(key).orderBy(time_col)))
-    return samples.withColumn("_step", step).groupBy(key).agg(F.percentile("_step", F.lit(p)).alias("step"))
+    median gap. ``cell``: the span of time that a task orders."""
+    rows = series.previous(series.cut(samples, key, time_col, cell), time_col, [], "_before", cell)
+    rows = rows.withColumn("_gap", F.col(time_col) - F.col("_before"))
+    middle = rows.groupBy(series.SERIES).agg(F.median("_gap").alias("_middle"))
+    marked = rows.join(middle, series.SERIES).withColumn("_new", F.coalesce((F.col("_gap") > F.col("_middle") * factor).cast("int"), F.lit(0)))
+    # of samples at one time, that after the gap comes first
+    return series.counted(marked, "_new", [time_col, F.desc("_new")], "session", cell).select(*samples.columns, "session")
+
+
+def step_percentile(samples: DataFrame, key: str, time_col: str, value_col: str, p: float = 0.95, cell: float | None = None) -> DataFrame:
+    """Percentile of absolute first differences per series. ``cell``: the span of time
+    that a task orders."""
+    rows = series.previous(series.cut(samples, key, time_col, cell), value_col, [time_col], "_before", cell)
+    return rows.groupBy(key).agg(F.percentile(F.abs(F.col(value_col) - F.col("_before")), F.lit(p)).alias("step"))

@@ -1,10 +1,13 @@
-"""Structured Streaming: idempotent ingest, sliding windows, late rows, sessions."""
+"""Structured Streaming: idempotent ingest, samples across batches, sliding windows, late
+rows, sessions."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import series
+
 
 def source(spark: SparkSession, folder: str, schema, files_per_trigger: int = 16) -> DataFrame:
     """New Parquet files of a folder as a stream, a bounded number at once."""
@@ -30,6 +33,34 @@ def ingest(stream: DataFrame, folder: str, checkpoint: str, key: str, chunk: str
     query.awaitTermination()
 
 
+def with_previous(stream: DataFrame, folder: str, checkpoint: str, key: str, time: str, value: str, cell: float | None = None) -> DataFrame:
+    """Drains samples into ``folder``/rows, each with the ``value`` of the sample before it
+    in its series (``previous``), which an earlier batch may have brought.
+
+    A batch writes its rows and then the last sample of every series so far, both under
+    its number, so a batch that comes again replaces itself. A sample older than what an
+    earlier batch brought of its series is an error. Within a batch, samples of one time
+    stand by value. Null keys are a series; null times come first."""
+    spark = stream.sparkSession
+    kept = stream.select(key, time, value).schema
+
+    def write(batch: DataFrame, number: int) -> None:
+        known = batch.sparkSession.read.schema(kept).parquet(f"{folder}/last/{number - 1}") if number else batch.select(key, time, value).limit(0)
+        ends = known.select(F.col(key).alias("_key"), F.col(time).alias("_until"))
+        late = batch.join(ends, F.col(key).eqNullSafe(F.col("_key"))).where(F.col(time) < F.col("_until"))
+        if not late.isEmpty():
+            raise ValueError(f"batch {number} brings samples older than those of earlier batches")
+        both = batch.withColumn("_came", F.lit(True)).unionByName(known.withColumn("_came", F.lit(False)), allowMissingColumns=True)
+        # at equal times, an earlier batch's sample stands first
+        found = series.previous(series.cut(both, key, time, cell), value, [time, "_came"], "previous", cell)
+        found.where("_came").select(*batch.columns, "previous").write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+        both.groupBy(key).agg(F.max(F.struct(time, "_came", value)).alias("_last")).select(key, f"_last.{time}", f"_last.{value}").write.mode("overwrite").parquet(f"{folder}/last/{number}")
+
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(f"{folder}/rows").drop("batch")
+
+
 def drain(stream: DataFrame, folder: str, checkpoint: str) -> DataFrame:
     """Everything that a stream appends, as a table."""
     query = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(folder)

@@ -1,12 +1,13 @@
 """Requests, cells, features, manifests, shards and runs on small cases."""
 
 import json
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.operators import cells, features, metrics
+from lodestar.operators import cells, features, intervals, metrics, timeline
 from lodestar.operators import timeline as T
 from lodestar.functions import scalars
 from lodestar.plans import benches, planning, request, runs
@@ -238,3 +239,34 @@ def test_ingest_survives_other_batches(spark, tmp_path):
     ingest.ingest(stream(1), out, str(tmp_path / "c2"), "id")
     got = spark.read.parquet(out)
     assert got.count() == 120 and got.select("id").distinct().count() == 120
+
+
+def test_samples_across_batches(spark, tmp_path):
+    """The last sample of a series is remembered; an older one is an error."""
+    schema = "id int, k string, t double, v double"
+    folder, out, seen = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "seen")
+    parts = [[(1, "a", 1.0, 5.0), (2, "a", 3.0, 6.0), (3, None, 2.0, 7.0), (4, "b", None, 8.0)], [(5, "a", 3.0, 1.0), (6, None, 9.0, 2.0), (7, "c", 0.0, 3.0), (8, "b", 1.0, 4.0)], [(9, "a", 4.0, 0.0), (10, "c", 0.5, 1.0)]]
+    for rows in parts:
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(folder)
+        got = ingest.with_previous(spark.readStream.schema(schema).parquet(folder), out, seen, "k", "t", "v", 2.0)
+    assert {r.id: r.previous for r in got.collect()} == {1: None, 2: 5.0, 3: None, 4: None, 5: 6.0, 6: 7.0, 7: None, 8: 8.0, 9: 1.0, 10: 3.0}
+    spark.createDataFrame([(11, "c", 0.1, 1.0)], schema).write.mode("append").parquet(folder)
+    with pytest.raises(Exception, match="older"):
+        ingest.with_previous(spark.readStream.schema(schema).parquet(folder), out, seen, "k", "t", "v", 2.0)
+
+
+def test_long_series_in_cells(spark):
+    """Cells of any length give what one cell gives."""
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "b", None]), None if rng.random() < 0.02 else float(rng.randrange(400)), rng.randrange(12), rng.randrange(3)) for _ in range(300)]
+    spans = spark.createDataFrame(rows, "k string, t_start double, size int, s int").withColumn("t_end", F.col("t_start") + F.col("size"))
+
+    def all_of(df):
+        return sorted(map(repr, df.collect()))
+
+    for cell in (1.0, 7.0, 1000.0):
+        assert all_of(intervals.merged(spans, "k", 1.0, F.col("s").cast("double"), cell=cell)) == all_of(intervals.merged(spans, "k", 1.0, F.col("s").cast("double")))
+        frames = spans.select("k", F.col("t_start").cast("int").alias("f"))
+        assert all_of(intervals.flagged(frames, "k", "f", 1.0, 2.0, 0.0, cell)) == all_of(intervals.flagged(frames, "k", "f", 1.0, 2.0, 0.0))
+        for made in (lambda c: timeline.sessions(spans, "k", "t_start", 2.0, c).groupBy("k", "session").count(), lambda c: timeline.disorder(spans, "k", ["size", "s", "t_start"], "t_start", c), lambda c: timeline.step_percentile(spans, "k", "t_start", "size", cell=c)):
+            assert all_of(made(cell)) == all_of(made(None))
