@@ -3,6 +3,7 @@ table of a row per setting, made by one plan."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from functools import reduce
 
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import search
+from ..sources.shards import export_csv
 
 UNSUPPORTED = "unsupported_strategy"
 
@@ -56,3 +58,22 @@ def filter_comparison(scores: Mapping[str, tuple[DataFrame, DataFrame]], value:
     """Per model the mean of a metric without and with a filter, and the gain."""
     rows = [a.agg(F.avg(value).alias("without")).crossJoin(b.agg(F.avg(value).alias("with"))).select(F.lit(m).alias("model"), "without", "with", (F.col("with") - F.col("without")).alias("gain")) for m, (a, b) in scores.items()]
     return reduce(DataFrame.unionByName, rows)
+
+
+def by_strategy(rows: DataFrame, means: Sequence[str]) -> DataFrame:
+    """Per strategy the number of queries, how many of them found too little, and the mean
+    of each metric over the queries that have it."""
+    return rows.groupBy("strategy").agg(F.count("*").alias("n_queries"), F.count_if("underfilled").alias("underfilled_count"), *(F.avg(f"`{m}`").alias(f"mean_{m}") for m in means))
+
+
+def write_run(rows: DataFrame, folder: str, manifest: Mapping[str, object], means: Sequence[str], sql_col: str = "sql") -> None:
+    """A bench's artifacts below ``folder``: ``manifest``, ``query_results`` (a line per
+    query; of its SQL only whether it has some), ``metrics``, ``strategy_matrix`` (CSV) and
+    ``sql``, one statement for each strategy that has any. Each replaces what was there."""
+    spark = rows.sparkSession
+    spark.createDataFrame([(json.dumps(dict(manifest), ensure_ascii=False, sort_keys=True, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/manifest")
+    rows.withColumn("has_sql", F.coalesce(F.length(sql_col) > 0, F.lit(False))).drop(sql_col).write.mode("overwrite").option("ignoreNullFields", "false").json(f"{folder}/query_results")
+    shares = by_strategy(rows, means).orderBy("strategy")
+    shares.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(f"{folder}/metrics")
+    export_csv(shares, f"{folder}/strategy_matrix")
+    rows.where(F.length(sql_col) > 0).groupBy("strategy").agg(F.min(sql_col).alias(sql_col)).write.mode("overwrite").json(f"{folder}/sql")

@@ -270,3 +270,17 @@ def test_long_series_in_cells(spark):
         assert all_of(intervals.flagged(frames, "k", "f", 1.0, 2.0, 0.0, cell)) == all_of(intervals.flagged(frames, "k", "f", 1.0, 2.0, 0.0))
         for made in (lambda c: timeline.sessions(spans, "k", "t_start", 2.0, c).groupBy("k", "session").count(), lambda c: timeline.disorder(spans, "k", ["size", "s", "t_start"], "t_start", c), lambda c: timeline.step_percentile(spans, "k", "t_start", "size", cell=c)):
             assert all_of(made(cell)) == all_of(made(None))
+
+
+def test_artifacts_of_a_bench(spark, tmp_path):
+    rows = spark.createDataFrame([("exact", 1.0, None, False, "SELECT 1"), ("exact", 0.5, 0.25, True, None), ("cells", 0.0, None, False, "")], "strategy string, mrr double, `ndcg@10` double, underfilled boolean, sql string")
+    out = str(tmp_path / "run")
+    for _ in range(2):
+        benches.write_run(rows, out, {"run_id": "r1", "k": 10}, ["mrr", "ndcg@10"])
+    assert json.loads(spark.read.text(f"{out}/manifest").first().value) == {"run_id": "r1", "k": 10}
+    results = spark.read.json(f"{out}/query_results")
+    assert "sql" not in results.columns and sorted(r.has_sql for r in results.collect()) == [False, False, True]
+    got = {r["strategy"]: (r["n_queries"], r["underfilled_count"], r["mean_mrr"], r["mean_ndcg@10"]) for r in spark.read.json(f"{out}/metrics").collect()}
+    assert got == {"exact": (2, 1, 0.75, 0.25), "cells": (1, 0, 0.0, None)}
+    assert spark.read.option("header", "true").csv(f"{out}/strategy_matrix").count() == 2
+    assert [tuple(r) for r in spark.read.json(f"{out}/sql").select("strategy", "sql").collect()] == [("exact", "SELECT 1")]
