@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontamination, language, packing, sharding, shared, similarity_join, token_files, tokens, toxicity, warc
+from . import ann, chat, collocations, decontamination, language, line_dedup, packing, sharding, shared, similarity_join, spelling, token_files, tokens, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,6 +80,55 @@ def op10_longest_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.longest_matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best 2000 phrases of every language."""
+    return collocations.mine(_table(spark, sf_dir, "documents"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that others keep."""
+    found = line_dedup.deduplicate(_table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all documents with the forms that they are variants of."""
+    return spelling.group(_table(spark, sf_dir, "documents"))
+
+
+_COLLOCATIONS = r"""
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p
+  FROM documents),
+worded AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM piece),
+total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM worded GROUP BY lang),
+spot AS (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM worded, (SELECT unnest(range(1, 6)) AS m) WHERE len(w) >= m),
+gram AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase, count(*) AS a FROM spot GROUP BY ALL HAVING count(*) >= 100),
+cut AS (SELECT lang, m, phrase, a, string_split(phrase, ' ') AS w, unnest(range(1, m)) AS k FROM gram WHERE m > 1),
+part AS (SELECT c.lang, c.m, c.phrase, c.a, c.k, x.a AS l, y.a AS r, t.n, (1000::HUGEINT * c.a * t.n) // (x.a::HUGEINT * y.a) AS score
+  FROM cut c JOIN gram x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:c.k], ' ')
+  JOIN gram y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.k + 1:c.m], ' ') JOIN total t ON t.lang = c.lang),
+best AS (SELECT * FROM part QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+kept AS (SELECT * FROM best b WHERE NOT EXISTS (
+  SELECT 1 FROM best o WHERE o.lang = b.lang AND o.m > b.m AND 100 * o.a >= 100 * b.a AND contains(' ' || o.phrase || ' ', ' ' || b.phrase || ' ')))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM kept QUALIFY rank <= 2000
+"""
+
+_LINE_DEDUP = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+line AS (
+  SELECT r, doc_id, i, ls[i] AS line,
+         translate(trim(ls[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM d)),
+often AS (SELECT k, max(doc_id) AS keeper FROM line WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3),
+told AS (SELECT r, doc_id, i, line, coalesce(doc_id <> keeper, false) AS gone FROM line LEFT JOIN often USING (k))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM told GROUP BY r, doc_id
+"""
+
 _DECONTAMINATION = r"""
 WITH doc AS (
   SELECT row_number() OVER () AS r, doc_id,
@@ -130,5 +179,5 @@ SELECT conv_id, speaker, part, count(*) AS n_messages,
 FROM runs GROUP BY conv_id, speaker, part
 """
 
-QUERIES = {f.__name__: f for f in (op1_nearest, op2_packing, op3_perspectives, op4_warc, op5_sharding, op6_language, op7_similarity_join, op8_toxicity, op9_token_files, op10_decontamination, op10_longest_matches)}
-ORACLES: dict[str, str] = {"op3_perspectives": _PERSPECTIVES, "op4_warc": _WARC, "op10_decontamination": _DECONTAMINATION}
+QUERIES = {f.__name__: f for f in (op1_nearest, op2_packing, op3_perspectives, op4_warc, op5_sharding, op6_language, op7_similarity_join, op8_toxicity, op9_token_files, op10_decontamination, op10_longest_matches, op11_collocations, op12_line_dedup, op13_spelling)}
+ORACLES: dict[str, str] = {"op3_perspectives": _PERSPECTIVES, "op4_warc": _WARC, "op10_decontamination": _DECONTAMINATION, "op11_collocations": _COLLOCATIONS, "op12_line_dedup": _LINE_DEDUP}

@@ -78,11 +78,15 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.folder, self.n = spark, new_path(spark, "scratch"), 0
 
-    def table(self, df: DataFrame, label: str) -> DataFrame:
+    def path(self, df: DataFrame, label: str) -> str:
+        """The path of a new table with the rows of ``df``."""
         self.n += 1
         path = f"{self.folder}/{self.n:04d}-{label}"
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return path
+
+    def table(self, df: DataFrame, label: str) -> DataFrame:
+        return self.spark.read.schema(df.schema).parquet(self.path(df, label))
 
     def __enter__(self) -> Scratch:
         return self
