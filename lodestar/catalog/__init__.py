@@ -12,11 +12,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
     """All queries, and SQL for those that it can express."""
-    from . import checks, features, planning, quality, relations, requests, streams, timeline, vectors
+    from . import checks, features, planning, quality, relations, requests, searches, stores, streams, timeline, vectors
 
     queries: dict[str, Query] = {}
     oracles: dict[str, str] = {}
-    for module in (vectors, relations, timeline, quality, planning, streams, checks, features, requests):
+    for module in (vectors, relations, timeline, quality, planning, streams, checks, features, requests, searches, stores):
         queries |= module.QUERIES
         oracles |= module.ORACLES
     return queries, oracles

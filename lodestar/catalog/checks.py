@@ -83,7 +83,7 @@ def worst_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def presence_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans in which two events at least fall into a frame."""
     frames = samples(spark, sf_dir).groupBy("user_id", F.floor(F.col("time_s") / 21600).cast("long").alias("frame")).count().where("count >= 2")
-    return intervals.flagged(frames, "user_id", "frame", 4.0, 2.0, 0.0).select("user_id", "t_start", "t_end")
+    return intervals.flagged(frames, "user_id", "frame", 4.0, 2.0, 0.0, cell=1e6).select("user_id", "t_start", "t_end")
 
 
 @collect(QUERIES, ORACLES, "SELECT p_partkey, CASE WHEN p_size >= 40 THEN -p_size ELSE p_size END AS p_size FROM part UNION ALL SELECT -p_partkey, -p_size FROM part WHERE p_size >= 40")

@@ -97,9 +97,11 @@ def best_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.best_first(rows, "p_retailprice", 25, ["p_partkey"])
 
 
-@collect(QUERIES, ORACLES, "SELECT DISTINCT size || '/' || least(stride, size) AS setting FROM (SELECT unnest([4, 6, 8]) AS size), (SELECT unnest([2, 6, 8]) AS stride)")
+@collect(QUERIES, ORACLES, "SELECT DISTINCT size || '/' || least(stride, size) AS setting FROM (SELECT DISTINCT p_size AS size FROM part), (SELECT DISTINCT p_size * 2 % 9 AS stride FROM part)")
 def settings_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.grid(spark, {"size": [4, 6, 8], "stride": [2, 6, 8]}, F.concat_ws("/", "size", F.least("stride", "size"))).select("setting")
+    """Sizes and strides of the parts, each with each; a stride is at most the size."""
+    rows = table(spark, sf_dir, "part").select(F.col("p_size").alias("size"), (F.col("p_size") * 2 % 9).alias("stride"))
+    return features.grid(rows, ["size", "stride"], F.concat_ws("/", "size", F.least("stride", "size"))).select("setting")
 
 
 @collect(QUERIES, ORACLES, "SELECT l_orderkey, string_agg(l_returnflag, ',' ORDER BY first, l_returnflag) AS flags FROM (SELECT l_orderkey, l_returnflag, min(l_linenumber) AS first FROM lineitem GROUP BY 1, 2) GROUP BY 1")

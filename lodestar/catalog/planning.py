@@ -69,3 +69,15 @@ def gc_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     newest = ledger.groupBy("dataset").agg(F.max("o_orderkey").alias("_newest"))
     marked = ledger.join(newest, "dataset").withColumn("is_active", F.col("o_orderkey") == F.col("_newest"))
     return runs.garbage(marked, F.expr("timestamp_ntz'1998-01-01 00:00:00'"), 2, 24.0).select("o_orderkey")
+
+
+_TEXT = "CASE p_size % 6 WHEN 0 THEN 'en az ' || p_size || ' ARABA' WHEN 1 THEN 'At least ' || p_size || ' people at night' WHEN 2 THEN 'a Crowded BUS' WHEN 3 THEN 'trucks by daytime' WHEN 4 THEN 'business as always' ELSE 'en az ' || p_size || ' kişi, gece' END"
+_MEANT = " UNION ALL ".join(f"SELECT query_id, {i} AS spot, '{f}' AS field, '{o}' AS operator, {v} AS value FROM t WHERE regexp_matches(text, '{p}', 'i')" for i, (p, f, o, v) in enumerate(planning.SAID))
+_COUNTED = " UNION ALL ".join(f"SELECT query_id, {10 + i}, '{f}', '>=', CAST(regexp_extract(text, '[0-9]+') AS BIGINT) FROM t WHERE regexp_matches(text, '{p}', 'i')" for i, (p, f) in enumerate(planning.COUNTED))
+
+
+@collect(QUERIES, ORACLES, f"WITH t AS (SELECT p_partkey AS query_id, {_TEXT} AS text FROM part), m AS ({_MEANT} UNION ALL {_COUNTED}) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY spot) - 1 AS place, field, operator, value FROM m")
+def conditions_said(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conditions that texts mean, by patterns of words and numbers."""
+    texts = table(spark, sf_dir, "part").selectExpr("p_partkey as query_id", f"{_TEXT} as text")
+    return planning.said(texts)

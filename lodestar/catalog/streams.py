@@ -2,29 +2,19 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..streaming import ingest
-from .common import SAMPLES, collect, samples, table
+from ..sources.folders import new_folder
+from ..streaming import carry, ingest
+from .common import SAMPLES, collect, r6, samples, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; a temporary one in a local session that
-    leaves it empty."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = os.path.join(tempfile.gettempdir(), "checkpoints")
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return new_folder(spark, "stream")
 
 
 def _stream(spark: SparkSession, sf_dir: str, files: int = 16, chunk: bool = False) -> DataFrame:
@@ -88,5 +78,33 @@ def stream_previous_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     for half in (rows.where(~later), rows.where(later)):
         half.write.mode("append").parquet(f"{folder}/in")
         stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
-        found = ingest.with_previous(stream, f"{folder}/out", f"{folder}/checkpoint", "user_id", "time_s", "value", 7 * 86400.0)
+        found = carry.with_previous(stream, f"{folder}/out", f"{folder}/checkpoint", "user_id", "time_s", "value")
     return found.select("event_id", "previous")
+
+
+_EDGES = f"""
+WITH {SAMPLES}, t AS (SELECT user_id, time_s, max(value) AS hi, min(value) AS lo, count(*) AS n FROM ev GROUP BY ALL),
+w AS (SELECT user_id, floor(time_s / 86400) * 86400 AS t_start, sum(n) AS n FROM t GROUP BY ALL),
+e AS (SELECT user_id, t_start, n, unnest([t_start, t_start + 86400]) AS edge FROM w),
+p AS (SELECT e.*, t.time_s AS t0, t.hi AS v0 FROM e ASOF LEFT JOIN t ON t.user_id = e.user_id AND t.time_s < e.edge),
+b AS (SELECT p.*, t.time_s AS t1, t.lo AS v1 FROM p ASOF LEFT JOIN t ON t.user_id = p.user_id AND t.time_s >= p.edge),
+v AS (SELECT user_id, t_start, n, edge, t1, CASE WHEN t1 = edge THEN v1 WHEN edge - t0 <= 43200 AND t1 - edge <= 43200 THEN v0 + (v1 - v0) * (edge - t0) / (t1 - t0) END AS x FROM b),
+m AS (SELECT max(time_s) AS last FROM ev)
+SELECT h.user_id, h.t_start, round(h.x, 6) AS head, round(l.x, 6) AS tail, CAST(h.n AS BIGINT) AS n
+FROM v h JOIN v l ON l.user_id = h.user_id AND l.t_start = h.t_start AND l.edge > l.t_start, m
+WHERE h.edge = h.t_start AND (l.t1 IS NOT NULL OR l.edge + 43200 <= last)
+"""
+
+
+@collect(QUERIES, ORACLES, _EDGES)
+def stream_window_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days of a user with the values at their ends, of samples that come in two halves of
+    time: neighbours are carried from one batch to the next, timers end the last days."""
+    folder = _folder(spark)
+    rows = samples(spark, sf_dir).select("event_id", "user_id", "time_s", "value")
+    middle = rows.agg(F.percentile_approx("time_s", 0.5)).first()[0]
+    for half in (rows.where(F.col("time_s") <= middle), rows.where(F.col("time_s") > middle)):
+        half.write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+        found = carry.window_edges(stream, f"{folder}/out", f"{folder}/checkpoint", "user_id", "time_s", "value", 86400.0, 43200.0)
+    return found.select("user_id", "t_start", r6("head").alias("head"), r6("tail").alias("tail"), "n")

@@ -11,6 +11,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,21 +49,25 @@ def cosine_distance(a: Column | str, b: Column | str) -> Column:
 
 
 def arrow_cosine(query: list[float]):
-    """A function column -> cosine with a fixed query, on Arrow batches. Null vectors
-    and vectors of another length give null."""
+    """A function column -> cosine with a fixed query, on Arrow batches: 0 with a zero
+    vector, null for null vectors and for those of another length. Sums have one order, so
+    equal vectors have equal cosines."""
     q = np.asarray(query, float)
-    unit = q / max(np.sqrt((q * q).sum()), 1e-300)
-
-    @F.pandas_udf("double")
-    def cosine_with(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for column in batches:
-            out = np.full(len(column), np.nan)
-            rows = [i for i, v in enumerate(column) if v is not None and len(v) == len(q)]
-            if rows:
-                x = np.stack([column.iloc[i] for i in rows]).astype(float)
-                size = np.sqrt((x * x).sum(1))
-                out[rows] = np.where(size > 0, (x @ unit) / np.where(size > 0, size, 1), 0.0)
-            yield pd.Series(out).where(~np.isnan(out), None).astype("Float64")
+    length = np.sqrt((q * q).sum())
+
+    @F.arrow_udf("double")
+    def cosine_with(column: pa.Array) -> pa.Array:
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        sizes = column.value_lengths()
+        fits = np.asarray(pc.fill_null(pc.equal(sizes, len(q)), False))
+        some = column if fits.all() else column.filter(pa.array(fits))
+        x = np.asarray(some.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)).reshape(-1, len(q))
+        size = np.sqrt((x * x).sum(1)) * length
+        found = np.divide((x * q).sum(1), size, out=np.zeros(len(x)), where=size != 0)
+        # a null component comes as NaN, as does one that is none
+        out = np.full(len(column), np.nan)
+        out[fits] = found
+        return pa.array(out, mask=~fits)
 
     return cosine_with
 

@@ -16,22 +16,36 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from . import search
 
+#: Parts of a cell's rows that meet queries apart.
+PARTS = 16
 #: Rows that the centroids are fitted on, about.
 SAMPLE = 100_000
 
 
 def centroids(vectors: DataFrame, cells: int, vector_col: str = "embedding", seed: int = 7) -> np.ndarray:
-    """Unit centroids (rows) by cosine k-means on a sample of about ``SAMPLE`` rows."""
-    rows = vectors.where(F.col(vector_col).isNotNull()).select(F.col(vector_col).cast("array<double>").alias("v"))
-    share = min(1.0, SAMPLE / max(1, rows.count()))
+    """Unit centroids (rows) by cosine k-means on a sample of about ``SAMPLE`` rows whose
+    vectors have a direction."""
+    rows = usable(vectors, vector_col).select(F.col(vector_col).cast("array<double>").alias("v"))
+    n = rows.count()
+    if not n:
+        raise ValueError("no row has a vector with a direction")
+    share = min(1.0, SAMPLE / n)
     chosen = rows.where(F.pmod(F.xxhash64("v"), F.lit(1 << 20)) < F.lit(share * (1 << 20))).select(array_to_vector("v").alias("features"))
-    model = KMeans(k=cells, seed=seed, distanceMeasure="cosine", maxIter=15).fit(chosen)
+    model = KMeans(k=min(cells, n), seed=seed, distanceMeasure="cosine", maxIter=15).fit(chosen)
     made = np.array(model.clusterCenters())
     return made / np.maximum(np.linalg.norm(made, axis=1, keepdims=True), 1e-12)
 
 
+def usable(vectors: DataFrame, vector_col: str = "embedding") -> DataFrame:
+    """Rows whose vectors have a direction: finite components, not all of them zero."""
+    v = F.col(vector_col)
+    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return vectors.where(v.isNotNull() & finite & F.exists(v, lambda x: x != 0))
+
+
 def placed(vectors: DataFrame, centres: np.ndarray, vector_col: str = "embedding") -> DataFrame:
-    """Rows with their ``cell``; rows without a vector have none and go."""
+    """Rows with their ``cell``. Vectors that are null or of another length, or whose
+    components are null, not finite or all zero, have no direction: these rows go."""
     columns = vectors.columns
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -41,7 +55,7 @@ def placed(vectors: DataFrame, centres: np.ndarray, vector_col: str = "embedding
             cell = pa.array((flat @ centres.T).argmax(1).astype(np.int32)) if len(rows) else pa.array([], pa.int32())
             yield pa.RecordBatch.from_arrays([*batch.columns, cell], names=[*columns, "cell"])
 
-    rows = vectors.where(F.size(vector_col) == centres.shape[1])
+    rows = usable(vectors, vector_col).where(F.size(vector_col) == centres.shape[1])
     return rows.mapInArrow(place, StructType([*vectors.schema.fields, StructField("cell", IntegerType())]))
 
 
@@ -55,10 +69,8 @@ def approximate(index: DataFrame, centres: np.ndarray, query: list[float], k: in
     return search.exact(index.where(F.col("cell").isin(nearest_cells(query, centres, probes))), query, k, **columns)
 
 
-def approximate_many(index: DataFrame, queries: DataFrame, centres: np.ndarray, k: int, probes: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """The same for each of (query_id, query): queries meet the rows of their cells by an
-    equi-join; a few of the cells per query, never all rows."""
-    own = queries.schema["query_id"].dataType
+def nearest(queries: DataFrame, centres: np.ndarray, probes: int) -> DataFrame:
+    """(query_id, query) with each of the ``probes`` cells nearest to the query."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -67,7 +79,16 @@ def approximate_many(index: DataFrame, queries: DataFrame, centres: np.ndarray,
             at = pa.array(np.repeat(np.arange(batch.num_rows), near.shape[1]))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(near.ravel().astype(np.int32))], names=["query_id", "query", "cell"])
 
-    asked = queries.select("query_id", "query").mapInArrow(ask, StructType([StructField("query_id", own), queries.schema["query"], StructField("cell", IntegerType())]))
-    pairs = index.join(asked, "cell").withColumn("dist", search.cosine_distance(vector_col, "query")).drop("query")
+    schema = StructType([queries.schema["query_id"], queries.schema["query"], StructField("cell", IntegerType())])
+    return queries.select("query_id", "query").mapInArrow(ask, schema)
+
+
+def approximate_many(index: DataFrame, queries: DataFrame, centres: np.ndarray, k: int, probes: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """The same for each of (query_id, query): queries meet the rows of their cells by an
+    equi-join; a few of the cells per query, never all rows. A cell's rows are dealt to
+    ``PARTS`` parts, each of which meets its queries, so there are more tasks than cells."""
+    dealt = index.withColumn("_part", F.pmod(F.xxhash64(id_col), F.lit(PARTS)))
+    asked = nearest(usable(queries, "query"), centres, probes).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
+    pairs = dealt.join(asked, ["cell", "_part"]).drop("_part").withColumn("dist", search.cosine_distance(vector_col, "query")).drop("query")
     order = Window.partitionBy("query_id").orderBy("dist", id_col)
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

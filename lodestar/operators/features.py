@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine
+from ..sources.folders import written
+from . import series
 
 
 def window_features(frames: DataFrame, keys: Sequence[str], counts: Sequence[str], brightness: str, motion: str, night_below: float = 60.0) -> DataFrame:
@@ -18,12 +20,13 @@ def window_features(frames: DataFrame, keys: Sequence[str], counts: Sequence[str
     return frames.groupBy(*keys).agg(*medians, light.alias("brightness"), (light < night_below).alias("is_night"), F.avg(motion).alias("motion"))
 
 
-def motion_features(rows: DataFrame, key: str, order: str, linear: Sequence[str], turning: str) -> DataFrame:
+def motion_features(rows: DataFrame, key: str, order: str, linear: Sequence[str], turning: str, cell: float | None = None) -> DataFrame:
     """Per key the median length of the linear parts and the 95th percentile of absolute
-    steps of ``turning``."""
+    steps of ``turning``. ``cell`` is the span of ``order`` that one task sorts."""
     speed = F.sqrt(sum((F.col(c) * F.col(c) for c in linear), F.lit(0.0)))
-    step = F.abs(F.col(turning) - F.lag(turning).over(Window.partitionBy(key).orderBy(order)))
-    made = rows.select(key, speed.alias("_speed"), step.alias("_step"))
+    cell = series.needed(rows, key, cell)
+    own = series.previous(series.cut(rows, key, order, cell), turning, [order], "_before", cell)
+    made = own.select(key, speed.alias("_speed"), F.abs(F.col(turning) - F.col("_before")).alias("_step"))
     return made.groupBy(key).agg(F.median("_speed").alias("speed"), F.percentile("_step", 0.95).alias("turn_p95"))
 
 
@@ -74,39 +77,37 @@ def flags(rules: Mapping[str, Column]) -> Column:
     return F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules.items()))).cast("array<string>")
 
 
-def inventory(spark: SparkSession, root: str) -> DataFrame:
-    """name below ``root``, bytes and SHA-256 of every file, a task a share of them."""
-    below = root.rstrip("/") + "/"
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return found.select(F.substring_index("path", below, -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
-
-
 def differing(found: DataFrame, manifest: DataFrame) -> DataFrame:
     """Rows that only one of two inventories has, with the side."""
     sides = [a.exceptAll(b).withColumn("side", F.lit(n)) for n, a, b in (("found", found, manifest.select(found.columns)), ("manifest", manifest.select(found.columns), found))]
     return sides[0].union(sides[1])
 
 
-def positions(rows: DataFrame, key: str, out: str = "position") -> DataFrame:
-    """Rows with their place, from 0, in the order of ``key``. Ranges of keys are numbered
-    apart and moved by the rows before them, so no task sees all rows. ``rows`` is read
-    twice and must be the same both times."""
-    ordered = rows.repartitionByRange(key).sortWithinPartitions(key)
-    place = F.monotonically_increasing_id()
-    made = ordered.withColumns({"_part": F.shiftright(place, 33), "_at": place.bitwiseAND(F.lit((1 << 33) - 1))})
-    counts = made.groupBy("_part").agg(F.count("*").alias("_n"))
-    # a row per partition
+def positions(rows: DataFrame, key: str | Sequence[str], out: str = "position") -> DataFrame:
+    """Rows, with all their columns, and their place from 0 in the order of ``key`` (one
+    column or several; where one value is very common, name more, so that its rows can be
+    dealt to several tasks). The ordered rows are written once, each with its range and its
+    place there; what stands before a range is added to it, a row per range. Equal rows
+    stand in any order. An empty table gives no rows."""
+    order = [key] if isinstance(key, str) else list(key)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    made = written(ordered.withColumns({"_part": F.spark_partition_id(), "_at": place}), "positions")
+    # a row per range of keys
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select("_part", before.alias("_before"))
+    starts = made.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", before.alias("_before"))
     return made.join(F.broadcast(starts), "_part").withColumn(out, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
 
 
-def units(rows: DataFrame, key: str, order: Sequence[str], unit: str) -> DataFrame:
+def units(rows: DataFrame, key: str, order: Sequence[str], unit: str, cell: float | None = None) -> DataFrame:
     """Runs of consecutive rows with the same ``unit``: key, unit, number of the run from
-    1, rows, first and last of the first order column."""
-    own = Window.partitionBy(key).orderBy(*order)
-    begun = (~F.col(unit).eqNullSafe(F.lag(unit).over(own)) | (F.row_number().over(own) == 1)).cast("long")
-    numbered = rows.withColumn("_new", begun).withColumn("run", F.sum("_new").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    1, rows, first and last of the first order column, whose span of ``cell`` one task
+    sorts. Rows that ``order`` leaves equal stand by unit."""
+    cell = series.needed(rows, key, cell)
+    told = series.cut(rows.withColumn("_unit", F.struct(F.col(unit).alias("u"))), key, order[0], cell)
+    known = series.previous(told, "_unit", list(order), "_before", cell)
+    begun = known.withColumn("_new", (~F.col("_unit").eqNullSafe(F.col("_before"))).cast("long"))
+    numbered = series.counted(begun, "_new", [*order, "_unit"], "run", cell)
     return numbered.groupBy(key, unit, "run").agg(F.count("*").alias("n"), F.min(order[0]).alias("first"), F.max(order[0]).alias("last"))
 
 
@@ -118,12 +119,13 @@ def overlap_check(a: DataFrame, b: DataFrame, key: str, time_a: str, time_b: str
     return ra.join(rb, key).select(key, both.alias("common"), ((F.col("_a1") >= F.col("_b0")) & (F.col("_b1") >= F.col("_a0"))).alias("overlaps"))
 
 
-def grid(spark: SparkSession, axes: Mapping[str, Sequence], name: Column, out: str = "setting") -> DataFrame:
-    """All combinations of the values; of those with the same name, one."""
-    made = spark.range(1)
-    for axis, values in axes.items():
-        made = made.withColumn(axis, F.explode(F.array(*map(F.lit, values))))
-    return made.drop("id").withColumn(out, name).dropDuplicates([out])
+def grid(rows: DataFrame, axes: Sequence[str], name: Column, out: str = "setting") -> DataFrame:
+    """All combinations of the values that each column of ``axes`` has, nulls left out; of
+    those with the same name, one. Settings are few: each axis is one array."""
+    made = rows.agg(*(F.collect_set(a).alias(a) for a in axes))
+    for axis in axes:
+        made = made.withColumn(axis, F.explode(axis))
+    return made.withColumn(out, name).dropDuplicates([out])
 
 
 def best_first(rows: DataFrame, score: str, n: int, ties: Sequence[str] = ()) -> DataFrame:

@@ -12,11 +12,11 @@ from . import series
 def merged(rows: DataFrame, key: str, gap: float, score: Column | None = None, least: float | None = None, cell: float | None = None) -> DataFrame:
     """Islands of (t_start, t_end) per key: a row joins while it begins at most ``gap``
     after the furthest end so far. Output: key, t_start, t_end, score (the best), n.
-    With ``cell``, tasks order spans of that length apart, so a series may be long."""
+    With ``cell``, tasks order spans of that length apart where a series is long."""
     rows = rows.withColumn("_score", F.lit(None).cast("double") if score is None else score)
     if least is not None:
         rows = rows.where(F.col("_score") >= least)
-    order = ["t_start", "t_end", "_score"]
+    order, cell = ["t_start", "t_end", "_score"], series.needed(rows, key, cell)
     rows = series.furthest(series.cut(rows, key, "t_start", cell), "t_end", order, "_reach", cell)
     rows = rows.withColumn("_new", F.coalesce((F.col("t_start") - F.col("_reach") > gap).cast("int"), F.lit(1)))
     islands = series.counted(rows, "_new", order, "_island", cell)
@@ -27,6 +27,7 @@ def flagged(frames: DataFrame, key: str, frame_col: str, fps: float, gap_s: floa
     """Intervals of the frames in which something holds (``frames`` lists these only): a
     gap of more than int(gap_s * fps) frames ends one; an interval ends a frame after its
     last one; shorter ones than ``least_s`` go. ``cell``: frames that a task orders."""
+    cell = series.needed(frames, key, cell)
     rows = series.cut(frames.select(key, frame_col).distinct(), key, frame_col, cell)
     rows = series.previous(rows, frame_col, [], "_before", cell)
     rows = rows.withColumn("_new", F.coalesce((F.col(frame_col) - F.col("_before") > int(gap_s * fps) + 1).cast("int"), F.lit(1)))

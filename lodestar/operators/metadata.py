@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 
 def through_pointer(left: DataFrame, pointer: DataFrame, right: DataFrame, left_key: str, pointer_key: str, pointer_col: str, right_key: str, where: Column | None = None) -> DataFrame:
@@ -57,7 +63,7 @@ def enriched(rows: DataFrame, found: DataFrame, key: list[str], fields: list[str
     return joined.withColumns({f: F.when(F.col("_there"), F.col(f"_{f}")).otherwise(F.col(f)) for f in fields}).drop("_there", *(f"_{f}" for f in fields))
 
 
-#: Different counts that contrasts are made for.
+#: Different counts that are broadcast; more meet the segments part by part.
 MOST_COUNTS = 1000
 
 
@@ -68,9 +74,9 @@ def count_contrasts(rows: DataFrame, segment: str, count: str) -> DataFrame:
     zero = rows.where(F.col(count) == 0)
     # distinct counts are few, a row each; there are as many negative lists as counts
     values = positive.select(F.col(count).alias("count_value")).distinct()
-    if values.count() > MOST_COUNTS:
-        raise ValueError(f"more than {MOST_COUNTS} different counts")
-    negative = zero.join(F.broadcast(values)).select("count_value", F.col(segment).alias("segment"), F.lit("negative").alias("side"))
+    told = F.broadcast(values) if values.count() <= MOST_COUNTS else values
+    # every segment without any is negative for every count: that many rows are the answer
+    negative = zero.crossJoin(told).select("count_value", F.col(segment).alias("segment"), F.lit("negative").alias("side"))
     some = positive.join(F.broadcast(zero.limit(1).select(F.lit(1).alias("_any"))))
     return some.select(F.col(count).alias("count_value"), F.col(segment).alias("segment"), F.lit("positive").alias("side")).unionByName(negative)
 
@@ -82,10 +88,46 @@ def class_contrasts(rows: DataFrame, segment: str, primary: str, secondary: str)
 
 
 def content_hash(rows: DataFrame, by: list[str], order: str, text: Column) -> DataFrame:
-    """n and the SHA-256 of the texts in order, per chunk (chunks are bounded)."""
-    parts = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), text.alias("t"))))
-    made = rows.groupBy(*by).agg(F.count("*").alias("n"), parts.alias("_p"))
-    return made.select(*by, "n", F.sha2(F.array_join(F.transform("_p", lambda x: x["t"]), ""), 256).alias("hash"))
+    """n and the SHA-256 of the texts in order, per chunk; equal places stand by text, null
+    texts add nothing. Chunks are sorted side by side and each is folded as its rows come,
+    so a chunk of any length takes the memory of a batch."""
+    keys = [f"k{i}" for i in range(len(by))]
+    named = rows.select(*(F.col(c).alias(k) for c, k in zip(by, keys, strict=True)), F.col(order).alias("_o"), text.cast("string").alias("_t"))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, n, state = None, 0, hashlib.sha256()
+        schema = None
+
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*(pa.array([v], schema.field(k).type) for k, v in zip(keys, now, strict=True)), pa.array([n]), pa.array([state.hexdigest()])], names=[*keys, "n", "hash"])
+
+        for batch in batches:
+            schema = batch.schema
+            if not batch.num_rows:
+                continue
+            new = np.zeros(batch.num_rows, bool)
+            for k in keys:
+                c = batch.column(schema.get_field_index(k))
+                a, b = c.slice(1), c.slice(0, len(c) - 1)
+                same = pc.fill_null(pc.equal(a, b), False)
+                new[1:] |= ~np.asarray(pc.or_(same, pc.and_(pc.is_null(a), pc.is_null(b))))
+            texts = batch.column(schema.get_field_index("_t"))
+            cuts = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                own = tuple(batch.column(schema.get_field_index(k))[lo].as_py() for k in keys)
+                if now is None or own != now:
+                    if now is not None:
+                        yield told()
+                    now, n, state = own, 0, hashlib.sha256()
+                state.update("".join(t for t in texts.slice(lo, hi - lo).to_pylist() if t is not None).encode())
+                n += hi - lo
+        if now is not None:
+            yield told()
+
+    types = StructType([*(StructField(k, named.schema[k].dataType) for k in keys), StructField("n", LongType()), StructField("hash", StringType())])
+    placed = named.repartition(*keys).sortWithinPartitions(*keys, "_o", "_t") if keys else named.coalesce(1).sortWithinPartitions("_o", "_t")
+    made = placed.select(*keys, "_t").mapInArrow(fold, types)
+    return made.withColumnsRenamed(dict(zip(keys, by, strict=True)))
 
 
 def agreed(rows: DataFrame, by: list[str], field: str) -> DataFrame:

@@ -12,13 +12,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cosine_distance, literal, shorten
+from ..functions.vectors import arrow_cosine, cosine_distance, literal, shorten
+from . import blocks
 
 STRATEGIES = ("exact", "prefilter", "postfilter", "candidates", "adaptive")
 #: How many times k a filter after the search fetches.
 FETCH = 5
-#: Queries that are broadcast, or that meet the rows in one block.
-QUERIES = 1000
 
 
 def probe(vectors: DataFrame, key: object, id_col: str = "vec_id", vector_col: str = "embedding") -> list[float]:
@@ -30,8 +29,15 @@ def probe(vectors: DataFrame, key: object, id_col: str = "vec_id", vector_col: s
     return [float(x) for x in row[0][0]]
 
 
+#: Components from which one query's distances are computed on Arrow batches.
+WIDE = 32
+
+
 def scored(vectors: DataFrame, query: list[float], vector_col: str = "embedding", out: str = "dist") -> DataFrame:
-    return vectors.withColumn(out, cosine_distance(vector_col, literal(query)))
+    """Rows with their cosine distance; null where there is none."""
+    if len(query) < WIDE:
+        return vectors.withColumn(out, cosine_distance(vector_col, literal(query)))
+    return vectors.withColumn(out, F.lit(1.0) - arrow_cosine(query)(F.col(vector_col)))
 
 
 def exact(vectors: DataFrame, query: list[float], k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -51,7 +57,9 @@ def postfilter(vectors: DataFrame, query: list[float], k: int, where: Column, fe
 
 
 def restricted(vectors: DataFrame, query: list[float], k: int, ids: DataFrame, id_col: str = "vec_id", **columns) -> DataFrame:
-    """Exact search among the rows whose ids ``ids`` lists; no ids give no rows."""
+    """Exact search among the rows whose ids ``ids`` lists; no ids end the search at once."""
+    if ids.isEmpty():
+        return scored(vectors.limit(0), query, columns.get("vector_col", "embedding"))
     return exact(vectors.join(ids.select(id_col).distinct(), id_col, "left_semi"), query, k, id_col, **columns)
 
 
@@ -67,34 +75,37 @@ def adaptive(vectors: DataFrame, query: list[float], k: int, dims: int, candidat
 
 
 def search(vectors: DataFrame, query: list[float], k: int, strategy: str = "prefilter", where: Column | None = None, **options) -> DataFrame:
-    """One entry for all strategies."""
+    """One entry for all strategies; all of them apply ``where``: before the search, but
+    ``postfilter`` after it."""
     if strategy not in STRATEGIES:
         raise ValueError(f"{strategy} is no strategy")
     where = F.lit(True) if where is None else where
     run: dict[str, Callable[..., DataFrame]] = {
-        "exact": lambda **o: exact(vectors, query, k, **o),
+        "exact": lambda **o: prefilter(vectors, query, k, where, **o),
         "prefilter": lambda **o: prefilter(vectors, query, k, where, **o),
         "postfilter": lambda **o: postfilter(vectors, query, k, where, **o),
-        "candidates": lambda **o: restricted(vectors, query, k, **o),
+        "candidates": lambda **o: restricted(vectors.where(where), query, k, **o),
         "adaptive": lambda **o: adaptive(vectors, query, k, where=where, **o),
     }
     return run[strategy](**options)
 
 
 def pairs(vectors: DataFrame, queries: DataFrame, vector_col: str = "embedding") -> DataFrame:
-    """All rows for each query (query_id, query and other columns), with ``dist``; queries
-    may be of any number: up to ``QUERIES`` are broadcast; more are dealt into blocks of
-    about that size, and each block meets all rows."""
-    count = queries.count()
-    asked = F.broadcast(queries) if count <= QUERIES else queries.repartition(-(-count // QUERIES))
-    return vectors.crossJoin(asked.withColumnsRenamed({c: f"_{c}" for c in asked.columns if c in vectors.columns})).withColumn("dist", cosine_distance(vector_col, "query")).drop("query")
+    """All rows (without their vectors) for each query (query_id and other columns), with
+    ``dist``: as many rows as there are pairs. Columns of a query that a row has as well are
+    called ``_name``."""
+    own = [c for c in vectors.columns if c != vector_col]
+    told = [c for c in queries.columns if c != "query"]
+    items = vectors.select(F.struct(*own).alias("_item"), vector_col)
+    asked = queries.select(F.struct(*told).alias("query_id"), "query")
+    found = blocks.pairs(items, asked, "_item", vector_col)
+    return found.select(*(F.col(f"_item.{c}").alias(c) for c in own), *(F.col(f"query_id.{c}").alias(f"_{c}" if c in own else c) for c in told), "dist")
 
 
 def many(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """The k nearest rows for each query (query_id, query). Each task keeps k rows a query
-    before the exchange."""
-    order = Window.partitionBy("query_id").orderBy("dist", id_col)
-    return pairs(vectors, queries.select("query_id", "query"), vector_col).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    """The k nearest rows for each query (query_id, query): query_id, id, dist, rank. Any
+    number of queries, block by block."""
+    return blocks.nearest(vectors, queries.select("query_id", "query"), k, id_col=id_col, vector_col=vector_col)
 
 
 def ranked(hits: DataFrame, id_col: str = "vec_id", score_col: str = "dist") -> DataFrame:

@@ -12,10 +12,22 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+#: Rows that one task orders: series of fewer need no cells.
+LONG = 1_000_000
 #: The series of a row, never null itself, and its cell.
 SERIES, CELL = "_series", "_cell"
 
 
+def needed(rows: DataFrame, key: str, cell: float | None) -> float | None:
+    """``cell`` if some series has more than ``LONG`` rows, else None: cells cost joins
+    with what they carry, which only long series are worth. Counts are summed in each task
+    before they meet."""
+    if cell is None:
+        return None
+    longest = rows.groupBy(key).count().agg(F.max("count")).first()[0]
+    return cell if (longest or 0) > LONG else None
+
+
 def cut(rows: DataFrame, key: str, time: str, cell: float | None) -> DataFrame:
     """``rows`` with their series and cell."""
     at = F.lit(0).cast("long")

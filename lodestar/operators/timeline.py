@@ -105,8 +105,9 @@ def neighbours(points: DataFrame, samples: DataFrame, fields: list[str], key: st
     as structs ``left`` and ``right`` (time, fields); null where there is none. Of samples
     at one time, the first in the order of fields is the right one.
 
-    With ``cell``, a series is cut into spans of that length, which tasks order apart; a
-    row per span then carries the nearest samples across the cuts."""
+    With ``cell``, long series are cut into spans of that length, which tasks order apart;
+    a row per span then carries the nearest samples across the cuts."""
+    cell = series.needed(samples, key, cell)
     row = F.struct(F.col(time_col).alias("time"), *fields)
     own = samples.select(key, F.col(time_col).alias("_t"), F.lit(1).alias("_sample"), row.alias("_row"), *[F.lit(None).cast(points.schema[c].dataType).alias(c) for c in points.columns if c != key])
     asked = points.withColumns({"_t": F.col(at_col), "_sample": F.lit(0), "_row": F.lit(None).cast(own.schema["_row"].dataType)})
@@ -201,6 +202,7 @@ def disorder(samples: DataFrame, key: str, order: list[str], time_col: str = "ti
     """Per series the number of samples whose time lies before that of the sample before
     them in ``order``. ``cell``: the span of the first column of ``order`` that a task
     orders."""
+    cell = series.needed(samples, key, cell)
     rows = series.previous(series.cut(samples, key, order[0], cell), time_col, order, "_before", cell)
     late = F.col(time_col) < F.col("_before")
     return rows.groupBy(key).agg(F.count_if(late).alias("n_late"), (F.count_if(late) == 0).alias("monotonic"))
@@ -209,6 +211,7 @@ def disorder(samples: DataFrame, key: str, order: list[str], time_col: str = "ti
 def sessions(samples: DataFrame, key: str, time_col: str, factor: float, cell: float | None = None) -> DataFrame:
     """``session``: a new one begins where the gap exceeds ``factor`` times the series'
     median gap. ``cell``: the span of time that a task orders."""
+    cell = series.needed(samples, key, cell)
     rows = series.previous(series.cut(samples, key, time_col, cell), time_col, [], "_before", cell)
     rows = rows.withColumn("_gap", F.col(time_col) - F.col("_before"))
     middle = rows.groupBy(series.SERIES).agg(F.median("_gap").alias("_middle"))
@@ -220,5 +223,6 @@ def sessions(samples: DataFrame, key: str, time_col: str, factor: float, cell: f
 def step_percentile(samples: DataFrame, key: str, time_col: str, value_col: str, p: float = 0.95, cell: float | None = None) -> DataFrame:
     """Percentile of absolute first differences per series. ``cell``: the span of time
     that a task orders."""
+    cell = series.needed(samples, key, cell)
     rows = series.previous(series.cut(samples, key, time_col, cell), value_col, [time_col], "_before", cell)
     return rows.groupBy(key).agg(F.percentile(F.abs(F.col(value_col) - F.col("_before")), F.lit(p)).alias("step"))

@@ -35,6 +35,35 @@ CONCEPTS = (
 AT_LEAST = r"(?:en az|at least)\s+(\d+)\s+(\S+)"
 
 
+# What a text says, in two languages, and the condition that it means.
+SAID = (
+    (r"otobüs|\bbus(es)?\b", "bus_count", ">=", 1),
+    (r"kamyon|\btrucks?\b", "truck_count", ">=", 1),
+    (r"araba|araç|otomobil|\bcars?\b|\bvehicles?\b", "car_count", ">=", 1),
+    (r"insan|adam|yaya|kişi|\bperson\b|\bpeople\b|\bpedestrians?\b", "person_count", ">=", 1),
+    (r"gece|\bnight\b", "is_night", "=", 1),
+    (r"gündüz|\bday(time)?\b", "is_night", "=", 0),
+    (r"kalabalık|\bcrowd(ed)?\b", "person_count", ">=", 10),
+)
+#: Thresholds that a text names, after those.
+COUNTED = (
+    (r"en az (\d+) (?:araba|araç)|at least (\d+) cars?", "car_count"),
+    (r"en az (\d+) (?:kişi|yaya)|at least (\d+) (?:people|persons?|pedestrians?)", "person_count"),
+)
+
+
+def said(queries: DataFrame, id_col: str = "query_id", text_col: str = "text") -> DataFrame:
+    """The conditions that each text means, whatever its case: query, place (their order),
+    field, operator, value. Several on one field all hold. Texts without any have no row."""
+    text = F.col(text_col)
+    any_case = lambda p: f"(?iU)(?:{p})"
+    hits = [F.when(text.rlike(any_case(p)), F.struct(F.lit(field).alias("field"), F.lit(op).alias("operator"), F.lit(value).cast("long").alias("value"))) for p, field, op, value in SAID]
+    for p, field in COUNTED:
+        number = F.coalesce(*(F.nullif(F.regexp_extract(text, any_case(p), i), F.lit("")) for i in (1, 2))).try_cast("long")
+        hits.append(F.when(number.isNotNull(), F.struct(F.lit(field).alias("field"), F.lit(">=").alias("operator"), number.alias("value"))))
+    return queries.select(id_col, F.posexplode(F.array_compact(F.array(*hits))).alias("place", "c")).select(id_col, "place", "c.*")
+
+
 def concepts(spark: SparkSession) -> DataFrame:
     """A row per synonym: concept, family, field, specificity, word."""
     rows = [(c, f, field, s, w) for c, f, field, s, words in CONCEPTS for w in words]

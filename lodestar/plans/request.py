@@ -1,35 +1,27 @@
 """One search request from its text to its hits, with diagnostics.
 
 The active run is resolved once; the text is planned into soft constraints; explicit
-filters win over planned ones on the same field and are never relaxed; all relaxation
-passes are counted in one scan; the hits carry their metadata. Only the k hits and a row
-of counts come to the driver.
+filters win over planned ones on the same field and are never relaxed. The search is one
+job: candidates and relaxation passes are counted by an observation of the rows that it
+scans, and only a pass beyond the first takes a second one. The k hits come to the driver.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from ..operators import intervals, predicates, search
-from . import planning
+from . import answers, planning
 from .runs import Runs
 
 PARSERS = ("none", "rules", "response")
 RELAXATIONS = ("off", "diagnose_only", "auto_soft")
-#: Operators that a parser's answer may use.
-OPERATORS = ("eq", "gte", "lte", "range")
-ANSWER_CONFIDENCE = 0.6
-
-
-class AnswerError(ValueError):
-    """A parser's answer that breaks the rules."""
 
 
 @dataclass(frozen=True)
@@ -80,41 +72,11 @@ class Store:
         return Store(runs.rows(dataset, run), registry, run_id=run, **options)
 
 
-def _checked(name: str, operator: str, value: Any, kind: str) -> Any:
-    if operator == "range":
-        if not isinstance(value, list) or len(value) != 2:
-            raise AnswerError(f"the range of {name} needs two bounds")
-        return [float(x) for x in value]
-    if kind in ("keyword", "boolean"):
-        if operator != "eq":
-            raise AnswerError(f"{name} takes eq only")
-        return value
-    if operator == "eq":
-        raise AnswerError(f"{name} takes gte, lte or range")
-    return {"min" if operator == "gte" else "max": float(value)}
-
-
-def parsed_answer(raw: str, registry: Mapping[str, str], known: set[str]) -> list[Planned]:
-    """The constraints of a JSON answer. A field or operator outside the lists, or a value
-    of the wrong kind, is an error; a field that the data lacks is left out."""
-    try:
-        told = json.loads(raw)
-    except json.JSONDecodeError as error:
-        raise AnswerError(f"the answer is no JSON: {error}") from error
-    out = []
-    for c in told.get("constraints", []):
-        if c.get("field") not in registry:
-            raise AnswerError(f"{c.get('field')!r} is no field")
-        if c.get("field") not in known:
-            continue
-        if c.get("operator") not in OPERATORS:
-            raise AnswerError(f"{c.get('operator')!r} is no operator")
-        try:
-            value = _checked(c["field"], c["operator"], c.get("value"), registry[c["field"]])
-        except (TypeError, ValueError) as error:
-            raise AnswerError(str(error)) from error
-        out.append(Planned(c["field"], value, "llm_parser", float(c.get("confidence", ANSWER_CONFIDENCE))))
-    return out
+def parsed_answer(spark: SparkSession, raw: str, registry: Mapping[str, str], known: set[str]) -> tuple[list[Planned], str | None]:
+    """The constraints of one answer, and the reason if it has none to give."""
+    row = answers.checked(spark.createDataFrame([(0, raw)], "query_id int, raw string"), registry, known).first()
+    shown = {"eq": lambda c: c.text if c.flag is None else c.flag, "gte": lambda c: {"min": c.low}, "lte": lambda c: {"max": c.high}, "range": lambda c: [c.low, c.high]}
+    return [Planned(c.field, shown[c.operator](c), "llm_parser", c.confidence) for c in row.constraints], row.failure
 
 
 def planned(spark: SparkSession, request: Request, store: Store) -> tuple[list[Planned], dict[str, Any]]:
@@ -127,10 +89,8 @@ def planned(spark: SparkSession, request: Request, store: Store) -> tuple[list[P
     if request.parser == "none" or (request.parser == "rules" and store.rules is None):
         return [], told
     if request.parser == "response":
-        try:
-            return parsed_answer(request.answer or "", store.registry, known), told
-        except AnswerError as error:
-            return [], told | {"parser": "none", "failure": str(error)}
+        found, failure = parsed_answer(spark, request.answer or "", store.registry, known)
+        return found, told | ({"parser": "none", "failure": failure} if failure else {})
     one = spark.createDataFrame([(0, request.text)], "query_id int, text string")
     # a row per concept of one text
     found = planning.most_specific(planning.matched(one, store.rules)).groupBy("field").agg(F.max("least").alias("least")).orderBy("field").collect()
@@ -165,40 +125,51 @@ def run(spark: SparkSession, request: Request, store: Store, key_col: str | None
     # hits never exceed top_k, so more can't be enough
     policy = planning.Relaxation(request.least if request.least <= request.top_k else 1 << 62, semantic_only=request.semantic_only)
     steps = dict(planning.ladder(constraints, policy))
-    passes = [r.asDict() for r in planning.relaxation_counts(store.rows, constraints, policy).orderBy("pass").collect()]
-    best = next(p["pass"] for p in passes if p["selected"])
-    taken = best if request.relaxation == "auto_soft" else 1
-    kept = planning.all_of(steps[taken])
+    told_passes = request.relaxation != "off"
+    counted = steps if told_passes else {1: steps[1]}
     fetch = max(request.wide, request.top_k) if request.merge_gap is not None else request.top_k
-    columns = {"id_col": store.id_col, "vector_col": store.vector_col}
-    found = search.search(store.rows, request.query, fetch, request.strategy, kept, **columns, **options)
+    if request.merge_gap is not None and key_col is None:
+        raise ValueError("merging needs the column that spans belong to")
+
+    def hits_of(rows: DataFrame, kept: Column) -> list:
+        found = search.search(rows, request.query, fetch, request.strategy, kept, id_col=store.id_col, vector_col=store.vector_col, **options)
+        # as many rows as were asked for
+        return found.drop(store.vector_col).withColumn("_ok", F.coalesce(kept, F.lit(False))).collect()
+
+    # what no pass keeps is filtered at the scan, unless the filter comes after the search
+    base = store.rows if request.strategy == "postfilter" else store.rows.where(planning.all_of(counted[max(counted)]))
+    passed = Observation()
+    found = hits_of(base.observe(passed, *(F.count_if(planning.all_of(kept)).alias(f"p{n}") for n, kept in counted.items())), planning.all_of(steps[1]))
+    matching = {n: passed.get[f"p{n}"] for n in counted}
+    passes = [{"pass": n, "kept": len(kept), "matching": matching[n], "enough": matching[n] >= policy.least} for n, kept in counted.items()]
+    best = next((p["pass"] for p in passes if p["enough"]), max(counted))
+    taken = best if request.relaxation == "auto_soft" else 1
+    if taken != 1:
+        found = hits_of(base, planning.all_of(steps[taken]))
+    schema = StructType([*store.rows.drop(store.vector_col).schema.fields, StructField("dist", DoubleType())])
+    correct = all(r["_ok"] for r in found)
+    hits = spark.createDataFrame([tuple(r[n] for n in schema.names) for r in found], schema)
     if request.merge_gap is not None:
-        if key_col is None:
-            raise ValueError("merging needs the column that spans belong to")
-        spans = intervals.merged(found, key_col, request.merge_gap, 1 - F.col("dist"))
+        spans = intervals.merged(hits, key_col, request.merge_gap, 1 - F.col("dist"))
         hits = spans.orderBy(F.desc("score"), key_col, "t_start").limit(request.top_k)
-        correct = F.lit(True)
+        rows = [tuple(r) for r in hits.collect()]
     else:
-        hits, correct = found.drop(store.vector_col), F.coalesce(kept, F.lit(False))
-    # top_k rows at most
-    rows = hits.withColumn("_ok", correct).collect()
-    names = hits.columns
-    schema = StructType([*hits.schema.fields, StructField("rank", IntegerType())])
-    made = spark.createDataFrame([(*(r[n] for n in names), i + 1) for i, r in enumerate(rows)], schema)
-    candidates = next(p["matching"] for p in passes if p["pass"] == taken)
+        rows = [tuple(r[n] for n in hits.columns) for r in found]
+    made = spark.createDataFrame([(*r, i + 1) for i, r in enumerate(rows)], StructType([*hits.schema.fields, StructField("rank", IntegerType())]))
+    candidates = matching[taken]
     short = len(rows) < request.top_k
     reason = None if not short else "candidate_shortage" if candidates < request.top_k else "merged" if request.merge_gap is not None else "filter_loss"
     diagnostics = {
         "run_id": store.run_id,
         "plan": told,
         "filters": merged_filters(soft, request.filters),
-        "passes": [] if request.relaxation == "off" else [{k: p[k] for k in ("pass", "kept", "matching", "enough")} for p in passes],
-        "selected_pass": None if request.relaxation == "off" else best,
+        "passes": passes if told_passes else [],
+        "selected_pass": best if told_passes else None,
         "applied_pass": taken,
         "candidate_count": candidates,
         "returned_count": len(rows),
         "underfilled": short,
         "underfilled_reason": reason,
-        "filter_correct": all(r["_ok"] for r in rows),
+        "filter_correct": correct,
     }
     return made, diagnostics

@@ -12,6 +12,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .formats import found, located
+
 _ANY = {"**/": "(?:.*/)?", "**": ".*", "*": ".*", "?": "."}
 
 
@@ -25,12 +27,13 @@ def _like(glob: str) -> str:
 
 def listing(spark: SparkSession, root: str, glob: str = "**") -> DataFrame:
     """path, name (below ``root``), stem and bytes of the files that the glob matches
-    without regard to case. Contents are not read. No match gives no rows."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", F.col("length").alias("bytes"))
-    below = re.sub(r"^\w+:/*", "/", root).rstrip("/") + "/"
-    name = F.substring_index("path", below, -1)
-    stem = F.regexp_replace(F.substring_index("path", "/", -1), r"(?<=.)\.[^.]*$", "")
-    return found.select("path", name.alias("name"), stem.alias("stem"), "bytes").where(F.col("name").rlike(_like(glob)))
+    without regard to case, empty ones too. Contents are not read. No match gives no rows."""
+    below = root.rstrip("/") + "/"
+    top = located(root)[1].rstrip("/") + "/"
+    rows = [(below + path.removeprefix(top), path.removeprefix(top), size) for path, size in found(root)]
+    stem = F.regexp_replace(F.substring_index("name", "/", -1), r"(?<=.)\.[^.]*$", "")
+    made = spark.createDataFrame(rows, "path string, name string, bytes long")
+    return made.select("path", "name", stem.alias("stem"), "bytes").where(F.col("name").rlike(_like(glob)))
 
 
 def extensions(files: DataFrame) -> DataFrame:

@@ -8,7 +8,9 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 
 # Statements that a read-only query may not hold.
-_FORBIDDEN = ("insert", "update", "delete", "drop", "alter", "create", "truncate", "merge", "grant", "revoke")
+_FORBIDDEN = ("insert", "update", "delete", "drop", "truncate", "alter", "create", "rename", "optimize", "kill")
+#: Others that write.
+_MORE = ("merge", "grant", "revoke")
 _QUOTED = re.compile(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`|--[^\n]*|/\*.*?\*/", re.S)
 
 
@@ -17,7 +19,7 @@ def read_only(text: str) -> str:
     comments don't count."""
     bare = _QUOTED.sub(" ", text).strip().rstrip(";")
     words = re.findall(r"\w+", bare.lower())
-    if not words or words[0] not in ("select", "with") or ";" in bare or set(words) & set(_FORBIDDEN):
+    if not words or words[0] not in ("select", "with") or ";" in bare or set(words) & {*_FORBIDDEN, *_MORE}:
         raise ValueError("one SELECT or WITH statement is allowed")
     return text.strip().rstrip(";")
 

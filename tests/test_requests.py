@@ -7,11 +7,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.operators import cells, features, intervals, metrics, timeline
+from lodestar.operators import cells, features, intervals, metadata, metrics, search, series, timeline
 from lodestar.operators import timeline as T
 from lodestar.functions import scalars
 from lodestar.plans import benches, planning, request, runs
-from lodestar.sources import manifests, shards
+from lodestar.sources import inventory, manifests, shards
 from lodestar.streaming import ingest
 
 
@@ -58,11 +58,28 @@ def test_more_than_top_k_is_never_enough(spark, store):
 def test_answers_are_checked(spark, store):
     good = {"constraints": [{"field": "cars", "operator": "gte", "value": 4}, {"field": "buses", "operator": "gte", "value": 1}]}
     assert ask(spark, store, parser="response", answer=json.dumps(good), top_k=2)[1]["filters"] == {"cars": {"min": 4.0}}
-    for bad in ("no json", {"constraints": [{"field": "wheels", "operator": "eq", "value": 1}]}, {"constraints": [{"field": "night", "operator": "gte", "value": 1}]}, {"constraints": [{"field": "cars", "operator": "like", "value": 1}]}, {"constraints": [{"field": "cars", "operator": "range", "value": [1]}]}, {"constraints": [{"field": "cars", "operator": "gte", "value": "x"}]}):
+    odd = {"field": "cars", "operator": "gte", "value": 4}
+    for bad in ([], 3, "null", {"constraints": [1]}, {"constraints": None}, {"constraints": {}}, {"constraints": [odd | {"confidence": None}]}, {"constraints": [odd | {"confidence": "high"}]}, {"constraints": [odd | {"operator": "range", "value": [9, 3]}]}, {"constraints": [odd | {"operator": "range", "value": [1, None]}]}, {"constraints": [odd | {"value": None}]}, {"constraints": [odd | {"value": True}]}, {"constraints": [{}]}, {"constraints": [odd, {"field": None}]}, {"constraints": [{"field": "night", "operator": "eq", "value": "yes"}]}, "no json", {"constraints": [{"field": "wheels", "operator": "eq", "value": 1}]}, {"constraints": [{"field": "night", "operator": "gte", "value": 1}]}, {"constraints": [{"field": "cars", "operator": "like", "value": 1}]}, {"constraints": [{"field": "cars", "operator": "range", "value": [1]}]}, {"constraints": [{"field": "cars", "operator": "gte", "value": "x"}]}):
         told = ask(spark, store, parser="response", answer=bad if isinstance(bad, str) else json.dumps(bad), top_k=2)[1]
         assert told["plan"]["failure"] and told["plan"]["parser"] == "none" and told["candidate_count"] == 40
 
 
+def test_exact_filters(spark, store):
+    hits, told = ask(spark, store, filters={"cars": (2, 3)}, strategy="exact", top_k=4)
+    assert [h.vec_id for h in hits] == [2, 3, 7, 8] and told["candidate_count"] == 16 and told["filter_correct"]
+    rows = store.rows.where("vec_id < 10").select("vec_id")
+    got = search.search(store.rows, [1.0, 0.0], 5, "candidates", F.col("cars") == 4, ids=rows).collect()
+    assert [r.vec_id for r in got] == [4, 9]
+    assert search.search(store.rows, [1.0, 0.0], 5, "candidates", ids=rows.limit(0)).count() == 0
+
+
+def test_filters_of_merged_hits_are_checked(spark, store, monkeypatch):
+    """A search that loses the filter is told of, merged or not."""
+    monkeypatch.setattr(search, "prefilter", lambda rows, query, k, where, **c: search.exact(store.rows, query, k, **c))
+    for gap in (None, 25.0):
+        assert not ask(spark, store, filters={"cars": 1}, merge_gap=gap, top_k=4)[1]["filter_correct"]
+
+
 def test_merged_hits(spark, store):
     hits, told = ask(spark, store, merge_gap=25.0, top_k=5)
     assert [(h.night, h.t_start, h.n) for h in hits] == [(True, 0.0, 20), (False, 20.0, 20)] and told["underfilled_reason"] == "merged"
@@ -92,6 +109,13 @@ def test_positions_and_units(spark):
     rows = spark.range(1000).selectExpr("id * 7 % 1000 as k").repartition(5)
     got = features.positions(rows, "k").collect()
     assert all(r.k == r.position for r in got) and len(got) == 1000
+    # all columns stay, whatever is read of them; a value that half of the rows share
+    wide = rows.select((F.col("k") / 2).cast("int").alias("half"), F.when(F.col("k") < 500, 0).otherwise(F.col("k")).alias("hot"), "k", F.lit("x").alias("a"), F.lit(2.5).alias("b"), F.col("k").cast("string").alias("c"))
+    placed = features.positions(wide, ["hot", "k"])
+    got = placed.collect()
+    assert placed.columns == [*wide.columns, "position"] and sorted(r.position for r in got) == list(range(1000))
+    assert all(r.position == r.k and r.c == str(r.k) and r.half == r.k // 2 for r in got)
+    assert placed.select("position").distinct().count() == 1000 and features.positions(rows.limit(0), "k").count() == 0
     df = spark.createDataFrame([(1, i, c) for i, c in enumerate("aabbbax")] + [(2, 0, None), (2, 1, None), (2, 2, "a")], "g int, t int, c string")
     got = sorted(((r.g, r.run, r.c, r.n, r.first, r["last"]) for r in features.units(df, "g", ["t"], "c").collect()), key=str)
     assert got == sorted([(1, 1, "a", 2, 0, 1), (1, 2, "b", 3, 2, 4), (1, 3, "a", 1, 5, 5), (1, 4, "x", 1, 6, 6), (2, 1, None, 2, 0, 1), (2, 2, "a", 1, 2, 2)], key=str)
@@ -104,13 +128,49 @@ def test_contracts_and_inventory(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "x.txt").write_text("one")
     (tmp_path / "sub" / "y.txt").write_text("two")
-    found = features.inventory(spark, str(tmp_path))
+    found = inventory.inventory(spark, str(tmp_path))
     assert {(r.name, r.bytes) for r in found.collect()} == {("x.txt", 3), ("sub/y.txt", 3)}
     assert features.differing(found, found).count() == 0
     assert {(r.name, r.side) for r in features.differing(found, found.where("name = 'x.txt'")).collect()} == {("sub/y.txt", "found")}
 
 
-def test_neighbours_across_cells(spark):
+def test_long_chunk_hash(spark):
+    """A chunk is folded as its rows come, whatever batches they come in."""
+    import hashlib
+
+    rows = spark.range(30000).select((F.col("id") % 7 == 0).alias("k"), (30000 - F.col("id")).alias("o"), F.when(F.col("id") % 11 != 0, F.concat(F.lit("é"), "id")).alias("t"))
+    got = {r.k: (r.n, r.hash) for r in metadata.content_hash(rows.repartition(5), ["k"], "o", F.col("t")).collect()}
+    for k in (True, False):
+        own = [i for i in range(29999, -1, -1) if (i % 7 == 0) == k]
+        text = "".join(f"é{i}" for i in own if i % 11)
+        assert got[k] == (len(own), hashlib.sha256(text.encode()).hexdigest())
+    nulls = spark.createDataFrame([(None, 1, "a"), (None, 0, "b"), ("x", 0, None)], "k string, o int, t string")
+    assert {r.k: (r.n, r.hash) for r in metadata.content_hash(nulls, ["k"], "o", F.col("t")).collect()} == {None: (2, hashlib.sha256(b"ba").hexdigest()), "x": (1, hashlib.sha256(b"").hexdigest())}
+    assert metadata.content_hash(nulls.limit(0), ["k"], "o", F.col("t")).count() == 0
+
+
+def test_cells_of_zero_vectors(spark):
+    rows = [(0, [0.0, 0.0]), (1, None), (2, [1.0, float("nan")]), (3, [1.0, None]), *((i, [float(i), 1.0]) for i in range(4, 40))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    centres = cells.centroids(df, 4)
+    index = cells.placed(df, centres)
+    assert sorted(r.vec_id for r in index.collect()) == list(range(4, 40))
+    asked = df.where("vec_id in (0, 1, 5)").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    got = cells.approximate_many(index, asked, centres, 3, 4).collect()
+    assert {r.query_id for r in got} == {5} and [r.vec_id for r in sorted(got, key=lambda r: r["rank"])][0] == 5
+    with pytest.raises(ValueError, match="direction"):
+        cells.centroids(df.where("vec_id < 4"), 2)
+
+
+def test_many_contrasts(spark, monkeypatch):
+    monkeypatch.setattr(metadata, "MOST_COUNTS", 3)
+    rows = spark.createDataFrame([(f"s{i}", max(0, i - 4)) for i in range(12)], "s string, n int")
+    got = metadata.count_contrasts(rows, "s", "n").collect()
+    assert sum(r.side == "negative" for r in got) == 5 * 7 and sum(r.side == "positive" for r in got) == 7
+
+
+def test_neighbours_across_cells(spark, monkeypatch):
+    monkeypatch.setattr(series, "LONG", 0)
     rng = np.random.default_rng(1)
     times = sorted(rng.uniform(0, 1000, 60).tolist()) + [500.0]
     samples = spark.createDataFrame([("a", t, i) for i, t in enumerate(times)] + [("b", 3.0, 0)], "k string, time_s double, v int")
@@ -142,32 +202,85 @@ def test_repeatable(spark):
     assert (row.only_first, row.only_second, row.repeatable) == (1, 2, False)
 
 
+MANIFEST = {
+    "schema_version": 1,
+    "dataset_id": "flights",
+    "source": {"videos_glob": "videos/**/*.mp4"},
+    "time_alignment": {"telemetry_clock": "relative_s", "max_gap_s": 1.5},
+    "window": {"size_s": 6, "stride_s": 3, "frames_per_item": 6, "partial_window_policy": "pad_last"},
+    "telemetry": {
+        "timestamp_column": "time",
+        "fields": {
+            "altitude_m": {"source": "ALT", "scale": 0.001, "reference": "MSL"},
+            "yaw": {"source": "hd.g", "type": "circular_deg", "offset": 10},
+            "is_night": {"source": "night", "type": "boolean"},
+            "person_count": {"source": "sat", "type": "integer"},
+        },
+        "extra": {"mode": {"source": "mode", "type": "categorical"}, "raw_alt": {"source": "ALT"}},
+    },
+}
+
+
+def changed(path, value):
+    """The manifest with one value changed."""
+    made = json.loads(json.dumps(MANIFEST))
+    *way, last = path.split(".")
+    at = made
+    for part in way:
+        at = at.setdefault(part, {})
+    at[last] = value
+    return made
+
+
 def test_manifest(spark, tmp_path):
-    (tmp_path / "m.yaml").write_text("""
-dataset_id: flights
-telemetry:
-  timestamp: time
-  max_gap_s: 1.5
-  fields:
-    altitude_m: {source: ALT, scale: 0.001}
-    heading: {source: "hd.g", type: circular_deg, offset: 10}
-    hovering: {source: hov, type: boolean}
-    mode: {source: mode, type: categorical}
-    satellites: {source: sat, type: integer}
-windows: {size_s: 6, stride_s: 3, partial_window_policy: pad_last}
-""")
+    (tmp_path / "m.yaml").write_text(json.dumps(MANIFEST, indent=1))
     m = manifests.load(spark, str(tmp_path / "m.yaml"))
-    assert (m.dataset, m.size_s, m.partial, m.max_gap_s) == ("flights", 6.0, "pad_last", 1.5)
-    assert m.registry()["heading"] == "circular"
-    rows = spark.createDataFrame([("1", "1500", "355", "yes", "x", "2.5"), ("2", "nan", " ", "", "", "oops")], ["time", "ALT", "hd.g", "hov", "mode", "sat"])
-    a, b = m.project(rows).collect()
-    assert (a.altitude_m, a.heading, a.hovering, a.mode, a.satellites) == (1.5, 5.0, True, "x", 2)
-    assert (b.altitude_m, b.heading, b.hovering, b.mode, b.satellites) == (None,) * 5
-    good = {"dataset_id": "d", "telemetry": {"timestamp": "t", "fields": {"a": {"source": "x"}}}, "windows": {"size_s": 6, "stride_s": 3}}
-    assert manifests.parsed(good).partial == "keep"
-    for change in ({"windows": {"size_s": 2, "stride_s": 3}}, {"dataset_id": ""}, {"telemetry": {"timestamp": "t", "fields": {"a": {"source": "x"}, "b": {"source": "x"}}}}, {"telemetry": {"timestamp": "t", "fields": {"a": {"source": "x", "type": "odd"}}}}):
-        with pytest.raises(ValueError):
-            manifests.parsed(good | change)
+    assert (m.dataset, m.size_s, m.partial, m.max_gap_s, m.absolute) == ("flights", 6.0, "pad_last", 1.5, False)
+    assert m.registry()["yaw"] == "circular" and len(m.hash) == 64 and m.columns()["raw_alt"] == "ALT"
+    rows = spark.createDataFrame([("1", "1500", "355", "yes", "x", "2.9"), ("2", "nan", " ", "", "", "oops"), ("3", "-1", "-20", "0", "y", "-2.9")], ["time", "ALT", "hd.g", "night", "mode", "sat"])
+    a, b, c = m.project(rows).collect()
+    assert (a.altitude_m, a.yaw, a.is_night, a.mode, a.person_count, a.raw_alt) == (1.5, 5.0, True, "x", 2, 1500.0)
+    assert (b.altitude_m, b.yaw, b.is_night, b.mode, b.person_count) == (None,) * 5
+    # integers are cut toward zero
+    assert (c.person_count, c.yaw, c.is_night) == (-2, 350.0, False)
+    assert manifests.parsed(changed("window.partial_window_policy", None)).partial == "drop_partial"
+
+
+@pytest.mark.parametrize(
+    "path,value",
+    [
+        ("schema_version", 2),
+        ("dataset_id", "a b"),
+        ("source.videos_glob", "../x"),
+        ("source.videos_glob", "C:/x"),
+        ("source.videos_glob", None),
+        ("time_alignment.telemetry_clock", "unix_ms"),
+        ("time_alignment.telemetry_clock", "sundial"),
+        ("time_alignment.max_gap_s", 0),
+        ("window.size_s", "wide"),
+        ("window.frames_per_item", 0),
+        ("window.partial_window_policy", "keep"),
+        ("pairing.strategy", "manifest_csv"),
+        ("telemetry.fields.altitude_m.reference", "moon"),
+        ("telemetry.fields.wheels", {"source": "x"}),
+        ("telemetry.fields.yaw.type", "continuous"),
+        ("telemetry.fields.yaw.aggregation", "median"),
+        ("telemetry.extra.mode.interpolation", "linear"),
+        ("telemetry.extra.mode.source", ""),
+        ("telemetry.extra.mode.type", "odd"),
+    ],
+)
+def test_manifest_faults(path, value):
+    with pytest.raises(manifests.ManifestError) as error:
+        manifests.parsed(changed(path, value))
+    assert path.split(".")[-1] in str(error.value) or path.split(".")[-2] in str(error.value)
+
+
+def test_manifest_of_no_kind():
+    for values in (None, [], 3, {"telemetry": 5, "window": []}):
+        with pytest.raises(manifests.ManifestError) as error:
+            manifests.parsed(values)
+        assert len(error.value.faults) > 3
 
 
 def test_matrix_and_captions(spark, tmp_path):
@@ -183,18 +296,35 @@ def test_matrix_and_captions(spark, tmp_path):
 
 
 def test_shards_resume(spark, tmp_path):
-    rows, folder = spark.range(100).withColumn("v", F.col("id") * 2), str(tmp_path / "out")
-    assert shards.write_shards(rows, folder, "id", 8) == 100
-    lost = tmp_path / "out" / "shard=3"
-    n = spark.read.parquet(str(lost)).count()
-    lost.rename(tmp_path / "gone")
-    assert shards.write_shards(rows, folder, "id", 8) == n
-    assert spark.read.parquet(folder).count() == 100 and shards.overlapping(spark.read.parquet(folder), "id").count() == 0
-    assert shards.write_shards(rows, folder, "id", 8) == 0
-    shards.export_csv(rows.limit(3), str(tmp_path / "csv"))
+    rows, folder = spark.range(100).withColumn("v", F.array(F.col("id").cast("float"), F.lit(1.0).cast("float"))), str(tmp_path / "out")
+    assert shards.write_shards(rows, folder, "id", 8, "v") == 8
+    (tmp_path / "out" / "shard-00003.parquet").unlink()
+    (tmp_path / "out" / ".left.parquet.tmp").write_text("half")
+    assert shards.completed(rows, folder) == [0, 1, 2, 4, 5, 6, 7]
+    assert shards.write_shards(rows, folder, "id", 8, "v") == 1 and not (tmp_path / "out" / ".left.parquet.tmp").exists()
+    found = shards.read_shards(rows, folder)
+    assert found.count() == 100 and shards.overlapping(found, "id").count() == 0
+    assert shards.write_shards(rows, folder, "id", 8, "v") == 0
+    for i in range(8):
+        own = [r.id for r in found.where(F.col("shard") == i).collect()]
+        assert np.load(tmp_path / "out" / f"shard-{i:05d}.npy")[:, 0].astype(int).tolist() == own == sorted(own)
+    shards.export_csv(rows.select("id").limit(3), str(tmp_path / "csv"))
     assert spark.read.option("header", "true").csv(str(tmp_path / "csv")).count() == 3
 
 
+def test_killed_shards_keep_what_is_finished(spark, tmp_path):
+    """Of two shards, one breaks off: the other one stays, and the next run writes the rest."""
+    folder = str(tmp_path / "out")
+    rows = spark.range(40).withColumn("v", F.when(F.col("id") != 7, F.array(F.lit(1.0), F.lit(2.0))))
+    with pytest.raises(Exception, match="vectors"):
+        shards.write_shards(rows.coalesce(1), folder, "id", 4, "v")
+    left = shards.completed(rows, folder)
+    assert 0 < len(left) < 4 and not [f for f in (tmp_path / "out").iterdir() if f.name.startswith(".")]
+    whole = rows.withColumn("v", F.array(F.lit(1.0), F.lit(2.0)))
+    assert shards.write_shards(whole, folder, "id", 4, "v") == 4 - len(left)
+    assert shards.read_shards(whole, folder).count() == 40
+
+
 def test_runs_are_guarded(spark, tmp_path):
     table = runs.Runs(spark, str(tmp_path), "segments")
     rows = spark.createDataFrame([("v", 0, "s1"), ("v", 1, "s2")], "video_id string, chunk_index int, segment_id string")
@@ -241,22 +371,9 @@ def test_ingest_survives_other_batches(spark, tmp_path):
     assert got.count() == 120 and got.select("id").distinct().count() == 120
 
 
-def test_samples_across_batches(spark, tmp_path):
-    """The last sample of a series is remembered; an older one is an error."""
-    schema = "id int, k string, t double, v double"
-    folder, out, seen = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "seen")
-    parts = [[(1, "a", 1.0, 5.0), (2, "a", 3.0, 6.0), (3, None, 2.0, 7.0), (4, "b", None, 8.0)], [(5, "a", 3.0, 1.0), (6, None, 9.0, 2.0), (7, "c", 0.0, 3.0), (8, "b", 1.0, 4.0)], [(9, "a", 4.0, 0.0), (10, "c", 0.5, 1.0)]]
-    for rows in parts:
-        spark.createDataFrame(rows, schema).write.mode("append").parquet(folder)
-        got = ingest.with_previous(spark.readStream.schema(schema).parquet(folder), out, seen, "k", "t", "v", 2.0)
-    assert {r.id: r.previous for r in got.collect()} == {1: None, 2: 5.0, 3: None, 4: None, 5: 6.0, 6: 7.0, 7: None, 8: 8.0, 9: 1.0, 10: 3.0}
-    spark.createDataFrame([(11, "c", 0.1, 1.0)], schema).write.mode("append").parquet(folder)
-    with pytest.raises(Exception, match="older"):
-        ingest.with_previous(spark.readStream.schema(schema).parquet(folder), out, seen, "k", "t", "v", 2.0)
-
-
-def test_long_series_in_cells(spark):
+def test_long_series_in_cells(spark, monkeypatch):
     """Cells of any length give what one cell gives."""
+    monkeypatch.setattr(series, "LONG", 0)
     rng = random.Random(5)
     rows = [(rng.choice(["a", "b", None]), None if rng.random() < 0.02 else float(rng.randrange(400)), rng.randrange(12), rng.randrange(3)) for _ in range(300)]
     spans = spark.createDataFrame(rows, "k string, t_start double, size int, s int").withColumn("t_end", F.col("t_start") + F.col("size"))
@@ -268,6 +385,8 @@ def test_long_series_in_cells(spark):
         assert all_of(intervals.merged(spans, "k", 1.0, F.col("s").cast("double"), cell=cell)) == all_of(intervals.merged(spans, "k", 1.0, F.col("s").cast("double")))
         frames = spans.select("k", F.col("t_start").cast("int").alias("f"))
         assert all_of(intervals.flagged(frames, "k", "f", 1.0, 2.0, 0.0, cell)) == all_of(intervals.flagged(frames, "k", "f", 1.0, 2.0, 0.0))
+        assert all_of(features.units(spans, "k", ["t_start"], "s", cell)) == all_of(features.units(spans, "k", ["t_start"], "s"))
+        assert all_of(features.motion_features(spans, "k", "t_start", ["size"], "s", cell)) == all_of(features.motion_features(spans, "k", "t_start", ["size"], "s"))
         for made in (lambda c: timeline.sessions(spans, "k", "t_start", 2.0, c).groupBy("k", "session").count(), lambda c: timeline.disorder(spans, "k", ["size", "s", "t_start"], "t_start", c), lambda c: timeline.step_percentile(spans, "k", "t_start", "size", cell=c)):
             assert all_of(made(cell)) == all_of(made(None))
 
