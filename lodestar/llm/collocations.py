@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import Scratch, checked, materialize, small_batches
-from .textbytes import column, mix, segment_hashes
+from .textbytes import column, mix, release, segment_hashes
 
 DEPTH, LEAST, TOP = 5, 100, 2000
 #: Bytes of text in a shard; a single piece of more makes a shard of its own.
@@ -67,9 +67,10 @@ def _hashes(values: pa.Array) -> np.ndarray:
     return segment_hashes(raw, at[:-1] - at[0], at[1:] - at[0])
 
 
-class Shard:
-    """The words of texts: ``words`` in byte order, and for each word of the texts its
-    rank among them, its piece and its language."""
+class Words:
+    """The words of some texts: their bytes and sizes, and of each word its piece and the
+    place of its text. Small beside the arrays that find them, so a shard is put together
+    from these."""
 
     def __init__(self, langs: pa.Array, buf: np.ndarray, offs: np.ndarray):
         low = _LOWER[buf]
@@ -79,17 +80,31 @@ class Shard:
         inside = ~outside
         start = np.flatnonzero(inside & (np.append(True, outside[:-1]) | cut[:-1])[: len(low)])
         end = np.flatnonzero(inside & (np.append(outside[1:], True) | cut[1:])[: len(low)]) + 1
+        self.langs, self.bytes, self.size = langs, low[inside], (end - start).astype(np.int32)
         self.piece = np.cumsum(separator | cut[:-1], dtype=np.int32)[start]
-        coded = _binary(low[inside], np.append(0, np.cumsum(end - start))).dictionary_encode()
+        self.text = (np.searchsorted(offs, start, side="right") - 1).astype(np.int32)
+
+
+class Shard:
+    """A dictionary of words, ``words`` in byte order, and for each word of the texts its
+    rank there, its piece and its language."""
+
+    def __init__(self, parts: list[Words]):
+        bounds = np.append(0, np.cumsum(np.concatenate([p.size for p in parts]), dtype=np.int64))
+        coded = _binary(np.concatenate([p.bytes for p in parts]), bounds).dictionary_encode()
         order = np.asarray(pc.array_sort_indices(coded.dictionary))
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         self.words = coded.dictionary.take(pa.array(order))
-        self.rank = rank[np.asarray(coded.indices)] if len(start) else np.zeros(0, np.int64)
-        named = langs.cast(pa.large_string()).fill_null(UNKNOWN).cast(pa.large_binary()).dictionary_encode()
+        self.rank = rank[np.asarray(coded.indices)] if len(bounds) > 1 else np.zeros(0, np.int64)
+        shift = np.cumsum([0, *(p.piece[-1] + 1 if len(p.piece) else 0 for p in parts[:-1])])
+        self.piece = np.concatenate([p.piece + n for p, n in zip(parts, shift, strict=True)])
+        named = pa.concat_arrays([p.langs for p in parts]).fill_null(UNKNOWN).cast(pa.large_binary()).dictionary_encode()
         self.langs = named.dictionary
         of_text = np.asarray(named.indices).astype(np.int64)
-        self.lang = of_text[np.searchsorted(offs, start, side="right") - 1] if len(start) else np.zeros(0, np.int64)
+        shift = np.cumsum([0, *(len(p.langs) for p in parts[:-1])])
+        at = np.concatenate([p.text + n for p, n in zip(parts, shift, strict=True)])
+        self.lang = of_text[at] if len(at) else np.zeros(0, np.int64)
 
     def chained(self, size: int) -> np.ndarray:
         """Hash of language and phrase for the phrases of ``size`` words that begin at each
@@ -150,26 +165,16 @@ class Shard:
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[Shard]:
     """Rows (lang, text) as shards of at most ``SHARD_BYTES``, cut between pieces where a
     text is longer."""
-    langs: list[pa.Array] = []
-    bufs: list[np.ndarray] = []
-    sizes: list[np.ndarray] = []
+    parts: list[Words] = []
     held = 0
-
-    def build() -> Shard:
-        offs = np.append(0, np.cumsum(np.concatenate(sizes)))
-        return Shard(pa.concat_arrays(langs), np.concatenate(bufs), offs)
-
     for batch in batches:
         buf, offs = column(batch, "text")
         lang = batch.column(0).cast(pa.large_string())
         lo, n = 0, batch.num_rows
         while lo < n:
-            hi = int(np.searchsorted(offs, offs[lo] + SHARD_BYTES - held, side="right")) - 1
-            hi = min(hi, n)
+            hi = min(n, int(np.searchsorted(offs, offs[lo] + SHARD_BYTES - held, side="right")) - 1)
             if hi > lo:
-                langs.append(lang.slice(lo, hi - lo))
-                bufs.append(buf[offs[lo] : offs[hi]].copy())
-                sizes.append(np.diff(offs[lo : hi + 1]))
+                parts.append(Words(lang.slice(lo, hi - lo), buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]))
                 held += int(offs[hi] - offs[lo])
                 lo = hi
             elif not held:
@@ -181,14 +186,15 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[Shard]:
                     stop = size if size - at <= SHARD_BYTES or not len(ends) else int(ends[max(k - 1, 0)])
                     if stop <= at:
                         stop = int(ends[k]) if k < len(ends) else size
-                    yield Shard(lang.slice(lo, 1), buf[offs[lo] + at : offs[lo] + stop], np.array([0, stop - at]))
+                    yield Shard([Words(lang.slice(lo, 1), buf[offs[lo] + at : offs[lo] + stop], np.array([0, stop - at]))])
                     at = stop
                 lo += 1
             if held and (lo < n or held >= SHARD_BYTES):
-                yield build()
-                langs, bufs, sizes, held = [], [], [], 0
-    if sizes:
-        yield build()
+                yield Shard(parts)
+                parts, held = [], 0
+                release()
+    if parts:
+        yield Shard(parts)
 
 
 @functools.lru_cache(maxsize=1)
