@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import json
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -41,6 +42,8 @@ SHARD_BYTES, BLOCK_BYTES = 4 << 20, 8 << 20
 #: Words of an item's suffix that are looked up at once; longer ones are told apart
 #: by comparison with the suffixes that begin so. Suffixes looked up in one pass.
 DEPTH, PASS_SUFFIXES = 16, 1 << 16
+#: Benchmark words whose best matches a task holds (25 bytes each).
+HELD_WORDS = 4 << 20
 _RESULT = {"n_words": LongType(), "n_hit": LongType(), "n_items": LongType(), "items": ArrayType(StringType()), "items_sha256": StringType(), "contaminated": BooleanType()}
 
 
@@ -60,7 +63,7 @@ def write_blocks(benchmark: DataFrame, item_col: str, text_col: str) -> list[str
             counts.append(np.diff(bounds))
             items += batch.column(0).to_pylist()
         out = io.BytesIO()
-        np.savez(out, words=np.concatenate(hashes), counts=np.concatenate(counts), items=np.array(items, dtype=str))
+        np.savez(out, words=np.concatenate(hashes), counts=np.concatenate(counts), items=np.frombuffer(json.dumps(items).encode(), np.uint8))
         write_file(f"{folder}/{part:05d}.npz", [out.getvalue()])
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64())})
 
@@ -76,7 +79,7 @@ class Block:
     def __init__(self, uri: str):
         with open_mapped(uri) as path, np.load(path) as z:
             self.words, self.counts, names = z["words"], z["counts"], z["items"]
-        self.names = names.tolist()
+        self.names: list[str] = json.loads(names.tobytes())
         self.item = np.repeat(np.arange(len(self.counts)), self.counts)
         self.place = np.arange(len(self.words)) - np.repeat(np.cumsum(self.counts) - self.counts, self.counts)
         self.left = np.repeat(self.counts, self.counts) - self.place
@@ -272,8 +275,27 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     rows = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_text"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # of each block: words, id (and whether there is one) and place of the best matches
+        # that this task has seen
+        held: dict[str, tuple[np.ndarray, ...]] = {}
+
+        def told(uri: str) -> pa.RecordBatch:
+            b, (best, ids, known, place) = block(uri), held.pop(uri)
+            on = np.flatnonzero(best)
+            return pa.RecordBatch.from_pydict(
+                {
+                    "item": pa.array([b.names[i] for i in b.item[on]], pa.string()),
+                    "item_word": b.place[on],
+                    "words": best[on],
+                    "doc_id": pa.array(ids[on], mask=~known[on]),
+                    "doc_word": place[on],
+                }
+            )
+
         for batch in batches:
             buf, offs = column(batch, "_text")
+            own = batch.column(0)
+            number, there = own.fill_null(0).to_numpy(zero_copy_only=False), np.asarray(own.is_valid())
             for lo, hi in passes(offs, SHARD_BYTES):
                 hashes, bounds = words(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
                 if not len(hashes):
@@ -281,18 +303,18 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
                 shard = Shard(hashes, bounds)
                 for uri in uris:
                     b = block(uri)
-                    best, where = shard.longest(b)
-                    on = np.flatnonzero(best)
+                    found, where = shard.longest(b)
+                    if uri not in held:
+                        held[uri] = (np.zeros(len(b.words), np.int64), np.zeros(len(b.words), np.int64), np.zeros(len(b.words), bool), np.zeros(len(b.words), np.int64))
+                    best, ids, known, place = held[uri]
+                    on = np.flatnonzero(found > best)
                     doc = np.searchsorted(shard.begin, where[on], side="right") - 1
-                    yield pa.RecordBatch.from_pydict(
-                        {
-                            "item": pa.array([b.names[i] for i in b.item[on]], pa.string()),
-                            "item_word": b.place[on],
-                            "words": best[on],
-                            "doc_id": batch.column(0).take(pa.array(lo + doc)),
-                            "doc_word": where[on] - shard.begin[doc],
-                        }
-                    )
+                    best[on], ids[on], known[on], place[on] = found[on], number[lo + doc], there[lo + doc], where[on] - shard.begin[doc]
+                    # blocks of a large benchmark are told before they fill the task
+                    if sum(len(h[0]) for h in held.values()) > HELD_WORDS:
+                        yield told(uri)
+        for uri in list(held):
+            yield told(uri)
 
     found = rows.mapInArrow(search, "item string, item_word long, words long, doc_id long, doc_word long")
     best = F.max(F.struct("words", "doc_id", "doc_word")).alias("m")

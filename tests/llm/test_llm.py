@@ -301,3 +301,14 @@ def test_decontamination_wide_windows(spark):
         for d, t in enumerate(texts):
             want[d] = len({p for i in range(len(t) - size + 1) if tuple(t[i : i + size]) in spans for p in range(i, i + size)})
         assert {r.doc_id: r.n_hit for r in decontamination.annotate(df, bench, window=size).collect()} == want
+
+
+def test_item_ids_stay_as_they_are(spark):
+    """Ids that end in NUL, hold quotes or commas, or are very long."""
+    text = " ".join(f"w{i}" for i in range(14))
+    ids = ["x\0", "x", 'a "quoted" one', "a,b", "y" * 5000, "é", ""]
+    bench = spark.createDataFrame([(i, text) for i in ids], "item_id string, text string")
+    df = spark.createDataFrame([(1, text), (2, "nothing of it")], "doc_id long, text string")
+    got = {r.doc_id: r for r in decontamination.annotate(df, bench).collect()}
+    assert got[1]["items"] == sorted(ids) and got[1].n_items == len(ids) and got[2].n_items == 0
+    assert got[1].items_sha256 == hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
