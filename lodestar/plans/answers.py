@@ -54,7 +54,7 @@ def checked(answers: DataFrame, registry: Mapping[str, str], known: Collection[s
     flag = F.when(_is(F.col("value"), "BOOLEAN"), _get("value", "$", "boolean"))
     # a row per field of the registry, and a handful of rules
     met = read.join(F.broadcast(fields), "field", "left").join(F.broadcast(rules), ["kind", "operator"], "left")
-    low, high = pair.getItem(0), pair.getItem(1)
+    low, high = F.get(pair, F.lit(0)), F.get(pair, F.lit(1))
     ordered = (F.col("kind") == "circular") | (low <= high)
     fits = F.when(F.col("shape") == "number", finite(number)).when(F.col("shape") == "pair", (F.size(pair) == 2) & finite(low) & finite(high) & ordered).when(F.col("shape") == "text", text.isNotNull()).when(F.col("shape") == "flag", flag.isNotNull())
     name = F.coalesce(F.col("field"), F.lit("null"))

@@ -8,6 +8,7 @@ scans, and only a pass beyond the first takes a second one. The k hits come to t
 
 from __future__ import annotations
 
+import time
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 from typing import Any
@@ -113,6 +114,21 @@ def _constraints(request: Request, soft: list[Planned], registry: Mapping[str, s
     return out
 
 
+#: Seconds after which counts that a search did not tell are counted apart.
+PATIENCE_S = 5.0
+
+
+def _told(passed: Observation, patience: float) -> dict[str, int] | None:
+    """What was observed; None if nothing is: a plan that Spark found to be empty has lost
+    its observation, and waiting for it would never end."""
+    future, until = passed._jo.future(), time.monotonic() + patience
+    while not future.isCompleted():
+        if time.monotonic() > until:
+            return None
+        time.sleep(0.01)
+    return passed.get
+
+
 def run(spark: SparkSession, request: Request, store: Store, key_col: str | None = None, **options) -> tuple[DataFrame, dict[str, Any]]:
     """The hits in their order (all columns but the vector, dist and rank; or merged spans)
     and the diagnostics: run, plan, passes with their counts, the pass taken, candidates,
@@ -139,8 +155,12 @@ def run(spark: SparkSession, request: Request, store: Store, key_col: str | None
     # what no pass keeps is filtered at the scan, unless the filter comes after the search
     base = store.rows if request.strategy == "postfilter" else store.rows.where(planning.all_of(counted[max(counted)]))
     passed = Observation()
-    found = hits_of(base.observe(passed, *(F.count_if(planning.all_of(kept)).alias(f"p{n}") for n, kept in counted.items())), planning.all_of(steps[1]))
-    matching = {n: passed.get[f"p{n}"] for n in counted}
+    counts = [F.count_if(planning.all_of(kept)).alias(f"p{n}") for n, kept in counted.items()]
+    found = hits_of(base.observe(passed, *counts), planning.all_of(steps[1]))
+    seen = _told(passed, PATIENCE_S if found else 0.2)
+    if seen is None:
+        seen = base.agg(*counts).first().asDict()
+    matching = {n: seen[f"p{n}"] for n in counted}
     passes = [{"pass": n, "kept": len(kept), "matching": matching[n], "enough": matching[n] >= policy.least} for n, kept in counted.items()]
     best = next((p["pass"] for p in passes if p["enough"]), max(counted))
     taken = best if request.relaxation == "auto_soft" else 1

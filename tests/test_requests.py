@@ -75,6 +75,7 @@ def test_exact_filters(spark, store):
 
 def test_filters_of_merged_hits_are_checked(spark, store, monkeypatch):
     """A search that loses the filter is told of, merged or not."""
+    monkeypatch.setattr(request, "PATIENCE_S", 0.2)
     monkeypatch.setattr(search, "prefilter", lambda rows, query, k, where, **c: search.exact(store.rows, query, k, **c))
     for gap in (None, 25.0):
         assert not ask(spark, store, filters={"cars": 1}, merge_gap=gap, top_k=4)[1]["filter_correct"]
@@ -381,7 +382,7 @@ def test_long_series_in_cells(spark, monkeypatch):
     def all_of(df):
         return sorted(map(repr, df.collect()))
 
-    for cell in (1.0, 7.0, 1000.0):
+    for cell in (7.0, 1000.0):
         assert all_of(intervals.merged(spans, "k", 1.0, F.col("s").cast("double"), cell=cell)) == all_of(intervals.merged(spans, "k", 1.0, F.col("s").cast("double")))
         frames = spans.select("k", F.col("t_start").cast("int").alias("f"))
         assert all_of(intervals.flagged(frames, "k", "f", 1.0, 2.0, 0.0, cell)) == all_of(intervals.flagged(frames, "k", "f", 1.0, 2.0, 0.0))
