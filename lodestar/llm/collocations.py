@@ -33,7 +33,7 @@ from .textbytes import column, mix, release, segment_hashes
 
 DEPTH, LEAST, TOP = 5, 100, 2000
 #: Bytes of text in a shard; a single piece of more makes a shard of its own.
-SHARD_BYTES = 24 << 20
+SHARD_BYTES = 12 << 20
 #: The bitmap of a level has 2 ** BITS bits (32 MB).
 BITS = 28
 #: A language's best phrases are first chosen in so many parts.
@@ -223,6 +223,9 @@ def _counts(texts: DataFrame, size: int, frequent: str | None, rest: bool) -> Da
             if rest:
                 lang, words = shard.stretches(at, size)
                 yield pa.RecordBatch.from_arrays([_text(lang), _text(words), pa.array(np.zeros(len(lang), np.int64))], names=["lang", "phrase", "n"])
+            del shard, at, spot, n
+        # workers live on: what the last shard took goes back
+        release()
 
     return small_batches(texts).mapInArrow(count, "lang string, phrase string, n long")
 
@@ -248,6 +251,7 @@ def _merged(runs: DataFrame, least: int) -> DataFrame:
             held = pa.RecordBatch.from_arrays([lang.slice(first[-1], 1), phrase.slice(first[-1], 1), pa.array(total[-1:])], schema=batch.schema)
         if held is not None and held.column(2)[0].as_py() >= least:
             yield pa.RecordBatch.from_arrays(held.columns, names=names)
+        release()
 
     order = ["lang", "phrase"]
     placed = runs.where("n > 0").repartitionByRange(*order).sortWithinPartitions(*order)
