@@ -33,7 +33,7 @@ from .textbytes import column, mix, release, segment_hashes
 
 DEPTH, LEAST, TOP = 5, 100, 2000
 #: Bytes of text in a shard; a single piece of more makes a shard of its own.
-SHARD_BYTES = 12 << 20
+SHARD_BYTES = 16 << 20
 #: The bitmap of a level has 2 ** BITS bits (32 MB).
 BITS = 28
 #: A language's best phrases are first chosen in so many parts.
@@ -304,15 +304,21 @@ def mine(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, top: int | Non
         raise ValueError("phrases have two words at least and occur at least once")
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(text_col).cast("string").alias("text"))
     with Scratch(docs.sparkSession) as scratch:
-        source, frequent, totals = texts, None, None
+        source, frequent, langs, read = texts, None, None, None
         levels: list[DataFrame] = []
         for size in range(1, depth + 1):
-            runs = scratch.table(_counts(source, size, frequent, 3 <= size < depth), "runs")
+            counted = _counts(source, size, frequent, 3 <= size < depth)
+            path = scratch.path(counted, "runs")
+            runs = scratch.spark.read.schema(counted.schema).parquet(path)
             if size == 1:
-                totals = runs.groupBy("lang").agg(F.sum("n").alias("n"))
-            elif size >= 3:
-                source = runs.where("n = 0").select("lang", F.col("phrase").alias("text"))
+                langs = scratch.table(runs.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
             level = scratch.table(_merged(runs, least), "level")
+            # runs are the largest tables: each goes once it is merged and read
+            done = [p for p in (read, path if size < 3 else None) if p]
+            if size >= 3:
+                source, read = runs.where("n = 0").select("lang", F.col("phrase").alias("text")), path
+            for p in done:
+                scratch.remove(p)
             if level.isEmpty():
                 break
             levels.append(level)
@@ -330,7 +336,6 @@ def mine(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, top: int | Non
                 inside = longer.where(F.col("a") == F.element_at("ls", -1)).select("lang", F.col("_p").alias("phrase")).union(longer.where(F.col("a") == F.element_at("rs", 1)).select("lang", F.col("_s").alias("phrase")))
                 own = own.join(inside, ["lang", "phrase"], "left_anti")
             found = found.union(own)
-        langs = scratch.table(totals, "totals")
         scored = found.join(checked(langs, langs.count()), "lang").withColumn("_b", _score()).select("lang", "phrase", "a", F.col("_b.l").alias("l"), F.col("_b.r").alias("r"), "n", F.col("_b.score").alias("score"))
         order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
         rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(*order))

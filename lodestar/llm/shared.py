@@ -85,6 +85,11 @@ class Scratch:
         df.write.parquet(path)
         return path
 
+    def remove(self, path: str) -> None:
+        """Removes a table that nothing reads any more."""
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
     def table(self, df: DataFrame, label: str) -> DataFrame:
         return self.spark.read.schema(df.schema).parquet(self.path(df, label))
 
