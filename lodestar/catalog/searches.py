@@ -94,8 +94,8 @@ def halfopen_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @collect(QUERIES, ORACLES, "SELECT l_orderkey, l_linenumber, unnest([0, 1, 2, 3]) AS i, CAST(trunc((l_quantity + (l_extendedprice / 1000) / 3 * unnest([0, 1, 2, 3])) * 25) AS INTEGER) AS frame FROM lineitem WHERE l_linenumber = 1")
 def frame_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").where("l_linenumber = 1")
-    start, end = F.col("l_quantity"), F.col("l_quantity") + F.col("l_extendedprice") / 1000
-    return rows.select("l_orderkey", "l_linenumber", F.posexplode(timeline.frame_indices(start, end, 25.0, 4)).alias("i", "frame"))
+    length = F.col("l_extendedprice") / 1000
+    return rows.select("l_orderkey", "l_linenumber", F.posexplode(timeline.frame_indices(F.col("l_quantity"), length, 25.0, 4)).alias("i", "frame"))
 
 
 @collect(QUERIES, ORACLES, "SELECT event_id, round(epoch_us(ts) / 1e6 - 1704067200 - 2.5, 6) AS unix_ms, round(epoch_us(ts) / 1e6 - 1704067200 - 2.5, 6) AS iso, round(epoch_us(ts) / 1e6 - 1704067200 - 3600 - 2.5, 6) AS zoned FROM events")

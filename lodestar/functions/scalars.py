@@ -17,8 +17,10 @@ def _c(x) -> Column:
 
 def circular_interpolate(left, right, fraction) -> Column:
     """Between two angles in degrees along the shorter arc, in [0, 360)."""
-    turn = F.pmod(_c(right) - _c(left) + 180, F.lit(360.0)) - 180
-    return F.pmod(_c(left) + _c(fraction) * turn, F.lit(360.0))
+    turn = (_c(right) - _c(left) + 180) % F.lit(360.0)
+    # not pmod, which takes a remainder just below 0 for 0: half a turn the other way
+    turn = F.when(turn < 0, turn + 360).otherwise(turn) - 180
+    return F.pmod(_c(left) + _c(fraction) * turn + 360, F.lit(360.0))
 
 
 def circular_mean(angle) -> Column:

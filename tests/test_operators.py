@@ -142,3 +142,25 @@ def test_runs(spark, tmp_path):
     store.write_chunk(rows.limit(1), "d", "r2")
     with pytest.raises(ValueError):
         store.activate("d", "r2", expected)
+
+
+def test_frame_on_an_edge(spark):
+    """The length is not taken from the two ends, which would round it once more."""
+    spans = [(4.0, 31020.0), (23.0, 50040.0), (10.0, 45480.83)]
+    rows = spark.createDataFrame(spans, "s double, p double")
+    got = rows.select(timeline.frame_indices(F.col("s"), F.col("p") / 1000, 25.0, 4).alias("f")).collect()
+    assert [r.f for r in got] == [[int((s + p / 1000 / 3 * i) * 25) for i in range(4)] for s, p in spans]
+
+
+def test_half_turn_just_below(spark):
+    """A remainder just below 0 is half a turn to the right, as 360 is added to it."""
+    row = spark.range(1).select(scalars.circular_interpolate(F.lit(252.10000000000002), F.lit(72.1), F.lit(0.25)).alias("x")).first()
+    assert abs(row.x - 297.1) < 1e-6
+
+
+def test_direction_just_below_north(spark):
+    """A mean direction a little below 360 degrees stays there, as in SQL."""
+    samples = spark.createDataFrame([(1, 0.0, 360 - 5e-10), (1, 50.0, 360 - 5e-10)], "k int, time_s double, a double")
+    windows = spark.createDataFrame([(1, 0.0, 50.0)], "k int, t_start double, t_end double")
+    got = timeline.summarized(windows, samples, timeline.Measure("a", "circular"), "k", 100.0, 50.0).first()
+    assert 0 < 360 - got.a < 1e-9
