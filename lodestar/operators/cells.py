@@ -10,14 +10,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from . import search
+from . import blocks, search
 
-#: Parts of a cell's rows that meet queries apart.
-PARTS = 16
 #: Rows that the centroids are fitted on, about.
 SAMPLE = 100_000
 
@@ -69,26 +67,28 @@ def approximate(index: DataFrame, centres: np.ndarray, query: list[float], k: in
     return search.exact(index.where(F.col("cell").isin(nearest_cells(query, centres, probes))), query, k, **columns)
 
 
-def nearest(queries: DataFrame, centres: np.ndarray, probes: int) -> DataFrame:
-    """(query_id, query) with each of the ``probes`` cells nearest to the query."""
+def near_cells(queries: DataFrame, centres: np.ndarray, probes: int) -> DataFrame:
+    """(query_id, query) with ``near``, the ``probes`` cells nearest to the query."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat = batch.column(1).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            near = np.argsort(-(flat @ centres.T), axis=1, kind="stable")[:, :probes]
-            at = pa.array(np.repeat(np.arange(batch.num_rows), near.shape[1]))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(near.ravel().astype(np.int32))], names=["query_id", "query", "cell"])
+            near = np.argsort(-(flat @ centres.T), axis=1, kind="stable")[:, :probes].astype(np.int32)
+            bounds = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * near.shape[1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(bounds, pa.array(near.ravel()))], names=["query_id", "query", "near"])
 
-    schema = StructType([queries.schema["query_id"], queries.schema["query"], StructField("cell", IntegerType())])
+    schema = StructType([queries.schema["query_id"], queries.schema["query"], StructField("near", ArrayType(IntegerType()))])
     return queries.select("query_id", "query").mapInArrow(ask, schema)
 
 
+def nearest(queries: DataFrame, centres: np.ndarray, probes: int) -> DataFrame:
+    """(query_id, query) with each of the ``probes`` cells nearest to the query."""
+    return near_cells(queries, centres, probes).select("query_id", "query", F.explode("near").alias("cell"))
+
+
 def approximate_many(index: DataFrame, queries: DataFrame, centres: np.ndarray, k: int, probes: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """The same for each of (query_id, query): queries meet the rows of their cells by an
-    equi-join; a few of the cells per query, never all rows. A cell's rows are dealt to
-    ``PARTS`` parts, each of which meets its queries, so there are more tasks than cells."""
-    dealt = index.withColumn("_part", F.pmod(F.xxhash64(id_col), F.lit(PARTS)))
-    asked = nearest(usable(queries, "query"), centres, probes).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
-    pairs = dealt.join(asked, ["cell", "_part"]).drop("_part").withColumn("dist", search.cosine_distance(vector_col, "query")).drop("query")
-    order = Window.partitionBy("query_id").orderBy("dist", id_col)
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    """The same for each of (query_id, query): query_id, id, dist, rank. Blocks of a cell's
+    rows meet the queries that ask for it as matrices; only what may be among a query's best
+    leaves the task."""
+    asked = near_cells(usable(queries, "query"), centres, probes)
+    return blocks.nearest(index, asked, k, id_col=id_col, vector_col=vector_col, by="cell")

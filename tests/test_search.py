@@ -192,3 +192,21 @@ def test_inventory_reads_pieces(spark, tmp_path, monkeypatch):
     (tmp_path / "empty").write_bytes(b"")
     got = {r.name: (r.bytes, r.sha256) for r in inventory.inventory(spark, str(tmp_path)).collect()}
     assert got == {"big.bin": (len(data), hashlib.sha256(data).hexdigest()), "empty": (0, hashlib.sha256(b"").hexdigest())}
+
+
+def test_pairs_stay_in_tasks(vectors, monkeypatch):
+    """What leaves a task is bounded by k for each query and bundle, or falls with the rows
+    that the task has seen; queries that aren't broadcast meet the rows in many tasks."""
+    _, df = vectors
+    whole = df.where("size(embedding) = 24")
+    centres = cells.centroids(whole, 4)
+    index, queries = graph.build(df, centres, part_rows=50), asked(df)
+    n = queries.where("query is not null").count()
+    beams = graph._beams(index, queries, centres, 10, (1000,), 4, "vec_id", "embedding")
+    assert beams.count() <= n * 4 * 10
+    monkeypatch.setattr(blocks, "BROADCAST", 5)
+    monkeypatch.setattr(blocks, "ROWS", 50)
+    # they are dealt by more keys than the width
+    assert blocks._met(whole, queries, "vec_id", "embedding").select("rp", "rs").distinct().count() > 1
+    found = cells.approximate_many(cells.placed(df, centres), queries, centres, 10, 4)
+    assert {tuple(r) for r in found.select("query_id", "vec_id", "rank").collect()} == {tuple(r) for r in graph.search_many(index, queries, centres, 10, 1000, 4).select("query_id", "vec_id", "rank").collect()}
