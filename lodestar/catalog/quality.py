@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..operators import metadata, metrics, search
+from ..operators import blocks, metadata, metrics, search
 from .common import collect, r6, samples, table
 
 QUERIES: dict = {}
@@ -34,7 +34,10 @@ def eval_corpus_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @collect(QUERIES, ORACLES, f"WITH {_SCORES}, {_EACH} SELECT {_OUT} FROM e")
 def eval_from_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.from_ranks(metrics.rank_of(_scores(spark, sf_dir)))
+    rows = table(spark, sf_dir, "embeddings")
+    asked = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.col("label").alias("own"))
+    # queries without a relevant item don't count
+    return metrics.from_ranks(blocks.relevant_ranks(rows, asked, "label", 9).where("relevant"))
 
 
 @collect(QUERIES, ORACLES)

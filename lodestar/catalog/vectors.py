@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..operators import metrics, search
+from ..operators import blocks, search
 from .common import collect, r6, table
 
 QUERIES: dict = {}
@@ -117,9 +117,7 @@ def vec_agreement_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 @collect(QUERIES, ORACLES, f"WITH {_PAIRS}, s AS (SELECT * FROM pairs WHERE vec_id <> query_id), b AS (SELECT query_id, own, min(struct_pack(d := dist, i := vec_id)) AS m FROM s WHERE label = own GROUP BY 1, 2), n AS (SELECT query_id, count(*) AS n FROM s GROUP BY 1) SELECT n.query_id, CASE WHEN m IS NULL THEN n.n + 1 ELSE (SELECT count(*) + 1 FROM s WHERE s.query_id = n.query_id AND (dist < m.d OR (dist = m.d AND vec_id < m.i))) END AS rank FROM n LEFT JOIN b USING (query_id)")
 def vec_rank_of_relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _vectors(spark, sf_dir)
-    pairs = search.pairs(rows, _asked(rows)).where("vec_id != query_id")
-    scores = pairs.select("query_id", F.col("vec_id").alias("item_id"), (-F.col("dist")).alias("score"), (F.col("label") == F.col("own")).alias("relevant"))
-    return metrics.rank_of(scores)
+    return blocks.relevant_ranks(rows, _asked(rows), "label").select("query_id", "rank")
 
 
 @collect(QUERIES, ORACLES, "WITH u AS (SELECT label, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings), x AS (SELECT label, unnest(range(0, len(e))) AS pos, unnest(e) / n AS v FROM u), m AS (SELECT label, pos, avg(v) AS m FROM x GROUP BY 1, 2) SELECT label, pos, round(m / sqrt(sum(m * m) OVER (PARTITION BY label)), 5) + 0.0 AS x FROM m")

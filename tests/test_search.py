@@ -207,6 +207,23 @@ def test_pairs_stay_in_tasks(vectors, monkeypatch):
     monkeypatch.setattr(blocks, "BROADCAST", 5)
     monkeypatch.setattr(blocks, "ROWS", 50)
     # they are dealt by more keys than the width
-    assert blocks._met(whole, queries, "vec_id", "embedding").select("rp", "rs").distinct().count() > 1
+    assert blocks._met(whole, queries, "vec_id", "embedding").select("_part_r", "_slice_r").distinct().count() > 1
     found = cells.approximate_many(cells.placed(df, centres), queries, centres, 10, 4)
     assert {tuple(r) for r in found.select("query_id", "vec_id", "rank").collect()} == {tuple(r) for r in graph.search_many(index, queries, centres, 10, 1000, 4).select("query_id", "vec_id", "rank").collect()}
+
+
+def test_ranks_of_relevant(spark, monkeypatch):
+    """Ranks by blocks are those of all pairs; ties go to the smaller id."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((300, 8))
+    x[50:90] = x[20]
+    df = spark.createDataFrame([(i, v.tolist(), i % 7 if i else 99) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    queries = df.where("vec_id % 20 = 0").selectExpr("vec_id as query_id", "embedding as query", "label as own")
+    for bound in (65_536, 5):
+        monkeypatch.setattr(blocks, "BROADCAST", bound)
+        monkeypatch.setattr(blocks, "ROWS", 64)
+        got = {r.query_id: (r["rank"], r.relevant) for r in blocks.relevant_ranks(df, queries, "label").collect()}
+        for q in range(0, 300, 20):
+            order = [i for i in np.lexsort([np.arange(300), np.round(distances(x, x[q]), 12)]).tolist() if i != q]
+            want = next((at for at, i in enumerate(order, 1) if i and q and i % 7 == q % 7), None)
+            assert got[q] == ((want, True) if want else (300, False))
