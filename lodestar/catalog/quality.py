@@ -6,20 +6,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..operators import blocks, metadata, metrics, search
+from ..operators import blocks, metadata, metrics
 from .common import collect, r6, samples, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
-def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _asked(rows: DataFrame) -> DataFrame:
     """Stored vectors as queries, those whose id is divisible by 20; items of the same
     label are relevant."""
-    rows = table(spark, sf_dir, "embeddings")
-    asked = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.col("label").alias("own"))
-    pairs = search.pairs(rows, asked).where("vec_id != query_id")
-    return pairs.select("query_id", F.col("vec_id").alias("item_id"), F.round(1 - F.col("dist"), 9).alias("score"), (F.col("label") == F.col("own")).alias("relevant"))
+    return rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.col("label").alias("own"))
 
 
 _SCORES = "s AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id, round(list_cosine_similarity(b.embedding::DOUBLE[], a.embedding::DOUBLE[]), 9) AS score, a.label = b.label AS relevant FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0 AND b.vec_id <> a.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM s), h AS (SELECT *, sum(relevant::INT) OVER (PARTITION BY query_id ORDER BY rank) AS hits, sum(relevant::INT) OVER (PARTITION BY query_id) AS n_gt FROM r)"
@@ -29,15 +26,15 @@ _OUT = "count(*) AS n, round(avg((rank <= 1)::INT) * 100, 6) AS r_1, round(avg((
 
 @collect(QUERIES, ORACLES, f"WITH {_SCORES}, {_EACH} SELECT {_OUT}, round(avg(ndcg), 6) AS ndcg_10, round(avg(ap), 6) AS map FROM e")
 def eval_corpus_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.corpus_metrics(_scores(spark, sf_dir))
+    rows = table(spark, sf_dir, "embeddings")
+    return metrics.from_rankings(blocks.rankings(rows, _asked(rows), "label"))
 
 
 @collect(QUERIES, ORACLES, f"WITH {_SCORES}, {_EACH} SELECT {_OUT} FROM e")
 def eval_from_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
-    asked = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.col("label").alias("own"))
     # queries without a relevant item don't count
-    return metrics.from_ranks(blocks.relevant_ranks(rows, asked, "label", 9).where("relevant"))
+    return metrics.from_ranks(blocks.relevant_ranks(rows, _asked(rows), "label", 9).where("relevant"))
 
 
 @collect(QUERIES, ORACLES)

@@ -80,13 +80,17 @@ def rank_of(scores: DataFrame, by: str = "query_id", id_col: str = "item_id", sc
 
 def from_ranks(ranks: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
     """Corpus metrics of one rank per query: n, R@k in percent, mrr, mean and median rank."""
-    return ranks.agg(
+    return ranks.agg(*_of_ranks(ks))
+
+
+def _of_ranks(ks: tuple[int, ...]) -> list[Column]:
+    return [
         F.count("rank").alias("n"),
         *(F.round(F.avg((F.col("rank") <= k).cast("double")) * 100, 6).alias(f"r_{k}") for k in ks),
         F.round(F.avg(1 / F.col("rank")), 6).alias("mrr"),
         F.round(F.avg("rank"), 6).alias("mean_rank"),
         F.round(F.median("rank"), 6).alias("median_rank"),
-    )
+    ]
 
 
 def corpus_metrics(scores: DataFrame, ks: tuple[int, ...] = (1, 5, 10), by: str = "query_id", id_col: str = "item_id") -> DataFrame:
@@ -106,6 +110,14 @@ def corpus_metrics(scores: DataFrame, ks: tuple[int, ...] = (1, 5, 10), by: str
     )
 
 
+def from_rankings(ranked: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
+    """Corpus metrics of what ``blocks.rankings`` tells of each query."""
+    ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.lit(10), F.col("n_gt")).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + F.lit(1)))
+    each = ranked.select("rank", (F.col("dcg") / ideal).alias("ndcg_10"), (F.col("ap") / F.col("n_gt")).alias("map"))
+    means = [F.round(F.avg(c), 6).alias(c) for c in ("ndcg_10", "map")]
+    return each.agg(*_of_ranks(ks), *means)
+
+
 def paired_bootstrap(pairs: DataFrame, a: str, b: str, by: list[str] | None = None, unit: str | None = None, resamples: int = 2000, level: float = 0.95, seed: int = 0) -> DataFrame:
     """Mean difference a - b with a bootstrap interval and Cohen's d, per group. ``unit``
     resamples means of units (videos) instead of rows. Resampling is Poisson: blocks of

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.operators import blocks, cells, graph
+from lodestar.operators import blocks, cells, graph, metrics, search
 from lodestar.plans import benches
 from lodestar.sources import formats, inventory, manifests, profiles
 
@@ -227,3 +227,19 @@ def test_ranks_of_relevant(spark, monkeypatch):
             order = [i for i in np.lexsort([np.arange(300), np.round(distances(x, x[q]), 12)]).tolist() if i != q]
             want = next((at for at, i in enumerate(order, 1) if i and q and i % 7 == q % 7), None)
             assert got[q] == ((want, True) if want else (300, False))
+
+
+def test_rankings_hold_no_pairs(spark, monkeypatch):
+    """Ties across labels go by id, odd rows take no part, few queries fit at once; the
+    metrics are those of all pairs."""
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((40, 4)).round(1)
+    rows = [(i, [float(x) for x in base[i % 40]], int(i * 7 % 5)) for i in range(300)]
+    rows += [(1000, None, 1), (1001, [1.0, None, 0.0, 0.0], 1), (1002, [1.0, 2.0], 1), (1003, [0.0] * 4, 2), (1004, [float("nan"), 1.0, 0.0, 0.0], 2), (1005, [0.5, 0.1, 0.0, 1.0], None)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    asked = table.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.col("label").alias("own"))
+    pairs = search.pairs(table, asked).where("vec_id != query_id").select("query_id", F.col("vec_id").alias("item_id"), F.round(1 - F.col("dist"), 9).alias("score"), (F.col("label") == F.col("own")).alias("relevant"))
+    monkeypatch.setattr(blocks, "SCORES", 900)
+    made = blocks.rankings(table, asked, "label")
+    assert "Join" not in made._jdf.queryExecution().executedPlan().toString()
+    assert metrics.from_rankings(made).collect() == metrics.corpus_metrics(pairs).collect()
