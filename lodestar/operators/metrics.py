@@ -7,36 +7,99 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from .features import positions
 
 
+class _Spans:
+    """True spans of a group in their order, taken one by one."""
+
+    def __init__(self, begin: list[float], end: list[float], least: float):
+        self.begin, self.end, self.least = begin, end, least
+        self.free = [True] * len(begin)
+        self.large = None
+        if len(begin) > 16:
+            b, e = np.array(begin), np.array(end)
+            self.large = b, e, np.ones(len(b), bool), np.maximum.accumulate(np.where(np.isnan(e), -np.inf, e))
+
+    def take(self, s: float, e: float) -> bool:
+        """Whether a span was left for a row, which then has it."""
+        if self.large is None:
+            for i, free in enumerate(self.free):
+                if free:
+                    begin, end = self.begin[i], self.end[i]
+                    both = max(0.0, min(end, e) - max(begin, s))
+                    union = (e - s) + (end - begin) - both
+                    if union > 0 and both >= self.least * union - 1e-12 * union:
+                        self.free[i] = False
+                        return True
+            return False
+        begin, end, free, reach = self.large
+        lo, hi = 0, len(begin)
+        if self.least > 1e-12:
+            # only spans that overlap can fit
+            lo, hi = int(np.searchsorted(reach, s, side="right")), int(np.searchsorted(begin, e))
+        begin, end = begin[lo:hi], end[lo:hi]
+        both = np.maximum(0.0, np.minimum(end, e) - np.maximum(begin, s))
+        union = (e - s) + (end - begin) - both
+        fits = np.flatnonzero(free[lo:hi] & (union > 0) & (both >= self.least * union - 1e-12 * union))
+        if len(fits):
+            free[lo + fits[0]] = False
+        return bool(len(fits))
+
+
 def greedy_hits(found: DataFrame, truth: DataFrame, least: float = 0.5) -> DataFrame:
     """``found`` (query_id, rank, video, t_start, t_end) with ``hit`` and the query's
     number of true spans (n_gt): in the order of rank, a row takes the first true span of
     its video, by (t_start, t_end), that has an IoU of ``least`` and isn't taken.
 
-    Spans of other videos don't matter, so a task gets one video of a query, and true spans
-    once. Queries without rows in ``found`` don't appear here.
+    Spans of other videos don't matter, so a video of a query is a group; its rows pass
+    through a task in order, which holds the true spans of one group. Queries without rows in
+    ``found`` don't appear here.
     """
-
-    def one(rows: pd.DataFrame, spans: pd.DataFrame) -> pd.DataFrame:
-        rows, spans = rows.sort_values("rank", kind="stable"), spans.sort_values(["t_start", "t_end"], kind="stable")
-        begin, end, free = spans["t_start"].to_numpy(float), spans["t_end"].to_numpy(float), np.ones(len(spans), bool)
-        hits = np.zeros(len(rows), bool)
-        for i, (s, e) in enumerate(zip(rows["t_start"], rows["t_end"], strict=True)):
-            both = np.maximum(0.0, np.minimum(end, e) - np.maximum(begin, s))
-            union = (e - s) + (end - begin) - both
-            fits = np.flatnonzero(free & (union > 0) & (both >= least * union - 1e-12 * union))
-            if len(fits):
-                free[fits[0]], hits[i] = False, True
-        return rows.assign(hit=hits)
-
-    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema)
-    keys = ["query_id", "video"]
-    judged = found.groupBy(*keys).cogroup(truth.select(*keys, "t_start", "t_end").groupBy(*keys)).applyInPandas(one, f"{own}, hit boolean")
+    keys, columns = ["query_id", "video"], found.columns
+    names = [f"c{i}" for i in range(len(columns))]
+    edges = [F.col("t_start").cast("double").alias("_s"), F.col("t_end").cast("double").alias("_e")]
+    key = F.to_json(F.struct(*(F.col(k).cast(found.schema[k].dataType).alias(k) for k in keys))).alias("_k")
+    rows = found.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(columns, names, strict=True)), key, F.lit(1).alias("_side"), *edges)
+    spans = truth.select(*(F.lit(None).cast(found.schema[c].dataType).alias(n) for c, n in zip(columns, names, strict=True)), key, F.lit(0).alias("_side"), *edges)
+    rank = F.col(names[columns.index("rank")])
+    order = ["_h", "_k", "_side", *(c.asc_nulls_last() for c in (rank, F.col("_s"), F.col("_e")))]
+    dealt = rows.unionByName(spans).withColumn("_h", F.xxhash64("_k")).repartition("_h").sortWithinPartitions(*order)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # true spans of the group that a batch may cut
+        group, held = None, _Spans([], [], least)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            _k = batch.column(len(names))
+            side, s, e = (batch.column(len(names) + i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
+            first = np.append(0, np.flatnonzero(np.asarray(pc.not_equal(_k[1:], _k[:-1]))) + 1) if len(_k) > 1 else np.zeros(1, int)
+            last = np.append(first[1:], len(_k))
+            n_rows = np.add.reduceat(side, first)
+            hits = np.zeros(len(_k), bool)
+            some = (n_rows > 0) & (n_rows < last - first)
+            some[0] = some[-1] = True
+            for i in np.flatnonzero(some).tolist():
+                lo, hi, name = first[i], last[i], _k[int(first[i])].as_py()
+                cut = hi - n_rows[i]
+                if name != group:
+                    group, held = name, _Spans(s[lo:cut].tolist(), e[lo:cut].tolist(), least)
+                elif cut > lo:
+                    held = _Spans(held.begin + s[lo:cut].tolist(), held.end + e[lo:cut].tolist(), least)
+                for at in range(cut, hi):
+                    hits[at] = held.take(float(s[at]), float(e[at]))
+            own = batch.select(names).filter(pa.array(side == 1))
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(hits[side == 1])], names=[*names, "hit"])
+
+    out = StructType([*(StructField(n, found.schema[c].dataType) for c, n in zip(columns, names, strict=True)), StructField("hit", BooleanType())])
+    judged = dealt.mapInArrow(judge, out).toDF(*columns, "hit")
     known = truth.groupBy("query_id").agg(F.count("*").alias("n_gt"))
     return judged.join(known, "query_id", "left").withColumn("n_gt", F.coalesce("n_gt", F.lit(0)))
 

@@ -243,3 +243,33 @@ def test_rankings_hold_no_pairs(spark, monkeypatch):
     made = blocks.rankings(table, asked, "label")
     assert "Join" not in made._jdf.queryExecution().executedPlan().toString()
     assert metrics.from_rankings(made).collect() == metrics.corpus_metrics(pairs).collect()
+
+
+@pytest.mark.parametrize("rows", [7, 10_000])
+def test_greedy_match_of_many_and_long_groups(spark, rows):
+    """Groups pass through few tasks, whatever their number, cut by batches or not."""
+    rng = np.random.default_rng(3)
+    span = lambda: (lambda a, b: (float(a), float(a + b)))(rng.integers(0, 60), rng.integers(-1, 12))
+    groups = [(q, v, n) for q in range(60) for v, n in (("a", 3), ("b", 40 if q % 20 == 0 else 1), (None, 2))]
+    found = [(q, i, v, *span()) for q, v, n in groups for i in range(n + 1)]
+    truth = [(q, v, *span()) for q, v, n in groups for _ in range(n) if q % 7]
+    want = set()
+    for q, v, _ in groups:
+        spans = sorted((s, e) for a, b, s, e in truth if (a, b) == (q, v))
+        for _, i, _, s, e in sorted(r for r in found if (r[0], r[2]) == (q, v)):
+            for x in spans:
+                both = max(0.0, min(x[1], e) - max(x[0], s))
+                union = (e - s) + (x[1] - x[0]) - both
+                if union > 0 and both >= (0.3 - 1e-12) * union:
+                    spans.remove(x)
+                    want.add((q, i, v))
+                    break
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    try:
+        hits = metrics.greedy_hits(spark.createDataFrame(found, "query_id int, rank int, video string, t_start double, t_end double"), spark.createDataFrame(truth, "query_id int, video string, t_start double, t_end double"), 0.3)
+        assert "CoGroup" not in hits._jdf.queryExecution().executedPlan().toString()
+        got = hits.collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(got) == len(found) and {(r.query_id, r["rank"], r.video) for r in got if r.hit} == want
