@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.operators import blocks, cells, graph, metrics, search
+from lodestar.functions.vectors import cosine
+from lodestar.operators import blocks, cells, features, graph, metrics, search
 from lodestar.plans import benches
 from lodestar.sources import formats, inventory, manifests, profiles
 
@@ -273,3 +274,17 @@ def test_greedy_match_of_many_and_long_groups(spark, rows):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert len(got) == len(found) and {(r.query_id, r["rank"], r.video) for r in got if r.hit} == want
+
+
+def test_aligned_meets_in_blocks(spark):
+    """As all pairs would: ties, zero, null, short, empty and unbounded vectors."""
+    rng = np.random.default_rng(4)
+    v = [[[float(x) for x in rng.integers(-2, 3, 3)] for _ in range(50)] for _ in range(2)]
+    rows = [(i, v[0][i], v[1][i]) for i in range(50)] + [(50, None, [1.0, 0.0, 1.0]), (51, [1.0, None, 0.0], None), (52, [1.0, 2.0], [2.0, 1.0]), (53, [], [1.0]), (54, [7.0], [0.0, 0.0, 0.0])]
+    for more in ([], [(60, [float("nan"), 1.0, 0.0], [1.0, 1.0, 1.0]), (61, [1.0, 2.0, 0.5], [float("inf"), 0.0, 1.0])]):
+        pairs = spark.createDataFrame(rows + more, "i long, a array<double>, b array<double>")
+        a, b = pairs.select(F.col("i").alias("x"), "a"), pairs.select(F.col("i").alias("y"), "b")
+        met = a.crossJoin(b).select("x", "y", cosine("a", "b").alias("c")).groupBy("x").agg(F.max(F.struct(F.round("c", 12), -F.col("y"))).alias("m"), F.max(F.when(F.col("x") == F.col("y"), F.col("c"))).alias("own"))
+        want = met.select("x", (-F.col("m.col2")).alias("n"), F.round("own", 9)).orderBy("x").collect()
+        got = features.aligned(pairs, "i", "a", "b")
+        assert list(map(str, map(tuple, got.select("i", "nearest", F.round("own", 9)).orderBy("i").collect()))) == list(map(str, map(tuple, want)))
