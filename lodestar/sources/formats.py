@@ -27,8 +27,8 @@ from pyarrow import fs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-#: Bytes of a range.
-RANGE_BYTES = 32 << 20
+#: Bytes of a range, and of its lines that are laid out as objects at once.
+RANGE_BYTES, PIECE_BYTES = 32 << 20, 256 << 10
 
 
 def located(path: str) -> tuple[fs.FileSystem, str]:
@@ -127,13 +127,23 @@ class _Telemetry(_Reader):
 
 class _Tracks(_Reader):
     def _batches(self, p: Range) -> Iterator[pa.RecordBatch]:
-        rows = [line.strip().split(b",") for line in self._lines(p).splitlines()]
-        whole = [r for r in rows if len(r) >= 8]
-        values = np.array([[_number(x) for x in r[:8]] for r in whole], float).reshape(-1, 8)
-        # lines without readable numbers are no boxes, nor are those of score 0
-        values = values[np.isfinite(values).all(1) & (values[:, 6] != 0)]
-        whole_numbers = [values[:, i].astype(np.int64) for i in (0, 1, 7)]
-        yield pa.RecordBatch.from_arrays([pa.array([p.file] * len(values)), *map(pa.array, whole_numbers[:2]), pa.array(whole_numbers[2].astype(np.int32)), pa.array(values[:, 2] + values[:, 4] / 2), pa.array(values[:, 3] + values[:, 5] / 2)], names=["file", "frame", "track", "category", "cx", "cy"])
+        for piece in _pieces(self._lines(p)):
+            rows = [line.strip().split(b",") for line in piece.splitlines()]
+            values = np.array([[_number(x) for x in r[:8]] for r in rows if len(r) >= 8], float).reshape(-1, 8)
+            # lines without readable numbers are no boxes, nor are those of score 0
+            values = values[np.isfinite(values).all(1) & (values[:, 6] != 0)]
+            whole_numbers = [values[:, i].astype(np.int64) for i in (0, 1, 7)]
+            yield pa.RecordBatch.from_arrays([pa.array([p.file] * len(values)), *map(pa.array, whole_numbers[:2]), pa.array(whole_numbers[2].astype(np.int32)), pa.array(values[:, 2] + values[:, 4] / 2), pa.array(values[:, 3] + values[:, 5] / 2)], names=["file", "frame", "track", "category", "cx", "cy"])
+
+
+def _pieces(raw: bytes) -> Iterator[bytes]:
+    """Whole lines of about ``PIECE_BYTES``: lines as objects take many times their bytes."""
+    lo = 0
+    while lo < len(raw):
+        cut = raw.find(b"\n", lo + PIECE_BYTES)
+        hi = len(raw) if cut < 0 else cut + 1
+        yield raw[lo:hi]
+        lo = hi
 
 
 def _number(raw: bytes) -> float:

@@ -288,3 +288,15 @@ def test_aligned_meets_in_blocks(spark):
         want = met.select("x", (-F.col("m.col2")).alias("n"), F.round("own", 9)).orderBy("x").collect()
         got = features.aligned(pairs, "i", "a", "b")
         assert list(map(str, map(tuple, got.select("i", "nearest", F.round("own", 9)).orderBy("i").collect()))) == list(map(str, map(tuple, want)))
+
+
+def test_tracks_lay_out_few_lines_at_once(spark, tmp_path, monkeypatch):
+    """A range's lines come piece by piece, none twice and none lost."""
+    lines = [f"{i},{i % 7},1,2,4,6,{i % 3},{i % 5}" for i in range(5000)] + ["short", "1,2,x,4,5,6,7,8", "", "9,9,1,1,2,2,1,3"]
+    (tmp_path / "a.txt").write_text("\n".join(lines))
+    monkeypatch.setattr(formats, "PIECE_BYTES", 1000)
+    reader = formats._Tracks({"path": str(tmp_path), "rangeBytes": "30000"})
+    got = [list(reader.read(p)) for p in reader.partitions()]
+    assert max(b.num_rows for batches in got for b in batches) < 100
+    frames = [f for batches in got for b in batches for f in b.column("frame").to_pylist()]
+    assert sorted(frames) == sorted([i for i in range(5000) if i % 3] + [9])
