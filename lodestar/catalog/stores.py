@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import features
 from ..plans import benches, ledger, legacy, runs, snapshots
-from ..sources import files, formats, inventory, manifests, profiles, shards, tables
+from ..sources import files, formats, inventory, joined, manifests, profiles, shards, tables
 from ..sources.folders import new_folder
 from .common import SAMPLES, collect, r6, samples, table
 
@@ -107,7 +107,7 @@ def file_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file per status, with its size and hash, read piece by piece."""
     folder = new_folder(spark, "inventory")
     lines = table(spark, sf_dir, "orders").select("o_orderstatus", "o_orderkey", F.concat_ws(" ", "o_orderkey", "o_orderpriority").alias("value"))
-    lines.repartition(1).sortWithinPartitions("o_orderstatus", "o_orderkey").select("o_orderstatus", "value").write.partitionBy("o_orderstatus").text(folder)
+    joined.write_text(lines, folder, "o_orderstatus", "value", "o_orderkey")
     found = inventory.inventory(spark, folder)
     return found.where("name like '%.txt'").select(F.regexp_extract("name", "o_orderstatus=([^/]+)/", 1).alias("status"), "bytes", "sha256")
 
@@ -117,7 +117,7 @@ def files_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files below a root by a pattern that doesn't mind case, their identifiers and the
     counts of extensions."""
     folder = new_folder(spark, "found")
-    table(spark, sf_dir, "orders").select("o_orderstatus", F.col("o_orderkey").cast("string").alias("value")).repartition(1).write.partitionBy("o_orderstatus").text(folder)
+    joined.write_text(table(spark, sf_dir, "orders").select("o_orderstatus", F.col("o_orderkey").cast("string").alias("value")), folder, "o_orderstatus", "value")
     found = files.listing(spark, folder, "**/PART-*.TXT")
     own = found.select(files.identifier(F.col("name"), r"regex:o_orderstatus=(?P<video_id>\w+)/").alias("id"), "name", "bytes")
     return own.groupBy("id").agg(F.count("*").cast("int").alias("files"), F.min(F.regexp_extract("name", r"\.([^./]+)$", 1)).alias("extension")).withColumn("part", F.lit("o_orderstatus"))

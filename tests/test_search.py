@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestar.functions.vectors import cosine
 from lodestar.operators import blocks, cells, features, graph, metrics, search
 from lodestar.plans import benches
-from lodestar.sources import formats, inventory, manifests, profiles
+from lodestar.sources import formats, inventory, joined, manifests, profiles
 
 
 @pytest.fixture(scope="module")
@@ -300,3 +300,16 @@ def test_tracks_lay_out_few_lines_at_once(spark, tmp_path, monkeypatch):
     assert max(b.num_rows for batches in got for b in batches) < 100
     frames = [f for batches in got for b in batches for f in b.column("frame").to_pylist()]
     assert sorted(frames) == sorted([i for i in range(5000) if i % 3] + [9])
+
+
+def test_files_joined_from_parts(spark, tmp_path, monkeypatch):
+    """One file a value, in order across parts; no task sorts a whole file."""
+    monkeypatch.setattr(joined, "PART_ROWS", 50)
+    kinds = ["a", "b/c", None, "d=1"]
+    rows = spark.createDataFrame([(kinds[i % 4], (i * 37) % 1000, f"{(i * 37) % 1000} x" if i % 9 else None) for i in range(1000)], "kind string, n int, value string").repartition(5)
+    joined.write_text(rows, str(tmp_path / "own"), "kind", order="n")
+    rows.repartition(1).sortWithinPartitions("kind", "n").select("kind", "value").write.partitionBy("kind").text(str(tmp_path / "spark"))
+    read = lambda root: {p.parent.name: p.read_text() for p in (tmp_path / root).rglob("*.txt")}
+    assert read("own") == read("spark") and len(read("own")) == 4
+    joined.write_text(rows, str(tmp_path / "any"), "kind")
+    assert {k: sorted(v.split("\n")) for k, v in read("any").items()} == {k: sorted(v.split("\n")) for k, v in read("spark").items()}
