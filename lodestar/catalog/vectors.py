@@ -164,9 +164,9 @@ ORACLES["vec_arrow_topk"] = ORACLES["vec_exact_topk"]
 @collect(QUERIES, ORACLES)
 def synthetic_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten vectors around each stored one, with filter columns, by seeded noise."""
-    rows = _vectors(spark, sf_dir).select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("copy"))
-    made = rows.withColumn("key", F.concat_ws(":", "vec_id", "copy")).withColumn("noise", V.synthetic_unit("key", 64))
-    near = F.zip_with("embedding", "noise", lambda a, b: a.cast("double") + b * 0.4)
-    made = made.withColumn("vector", near).withColumn("vector", V.shorten("vector", 64))
+    stored = _vectors(spark, sf_dir).select("vec_id", "embedding")
+    # a small file would be one task: noise takes far longer than reading
+    rows = stored.repartition(max(1, -(-stored.count() // 2048))).select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("copy"))
+    made = rows.withColumn("key", F.concat_ws(":", "vec_id", "copy")).withColumn("vector", V.around("embedding", "key", 64, 0.4))
     count = F.pmod(F.xxhash64("key", F.lit(1)), F.lit(7)).cast("int")
     return made.select("vec_id", "copy", "vector", count.alias("person_count"), (F.pmod(F.xxhash64("key", F.lit(2)), F.lit(5)) == 0).alias("is_night"))

@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.functions.vectors import cosine
+from lodestar.catalog import load
+from lodestar.functions.vectors import around, cosine, shorten, synthetic_unit
 from lodestar.operators import blocks, cells, features, graph, metrics, search
 from lodestar.plans import benches
 from lodestar.sources import formats, inventory, joined, manifests, profiles
@@ -313,3 +314,21 @@ def test_files_joined_from_parts(spark, tmp_path, monkeypatch):
     assert read("own") == read("spark") and len(read("own")) == 4
     joined.write_text(rows, str(tmp_path / "any"), "kind")
     assert {k: sorted(v.split("\n")) for k, v in read("any").items()} == {k: sorted(v.split("\n")) for k, v in read("spark").items()}
+
+
+def test_around_is_what_expressions_give(spark):
+    """To the last bit, for null, short, long, zero and unbounded vectors too."""
+    rows = [("a", [0.1, 0.2, 0.3]), ("b", None), ("c", [1.0, 2.0]), (None, [1.0, 2.0, 3.0]), ("d", [1.0, None, 3.0]), ("e", [1.0, 2.0, 3.0, None]), ("f", [0.0] * 3), ("g", [float("nan"), 1.0, 1.0]), ("h", [float("inf"), 1.0, 1.0]), ("i", [])]
+    rows += [(f"k{i}", [float(x) for x in np.random.default_rng(i).standard_normal(3)]) for i in range(200)]
+    df = spark.createDataFrame(rows, "k string, v array<float>")
+    noisy = df.withColumn("n", synthetic_unit("k", 3))
+    plain = F.zip_with("v", "n", lambda a, b: a.cast("double") + b * 0.4)
+    made = noisy.withColumn("p", plain).select(around("v", "k", 3, 0.4).alias("x"), shorten("p", 3).alias("y"))
+    assert all(str(r.x) == str(r.y) for r in made.collect())
+
+
+def test_synthetic_rows_are_dealt_to_tasks(spark, tmp_path):
+    rows = spark.range(5000).select(F.col("id").alias("vec_id"), F.array(*(F.lit(float(i)) for i in range(64))).cast("array<float>").alias("embedding"), F.lit(1).alias("label"))
+    rows.coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    made = load()[0]["synthetic_scale"](spark, str(tmp_path))
+    assert made.rdd.getNumPartitions() == 3 and made.count() == 50_000
