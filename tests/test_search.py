@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestar.catalog import load
 from lodestar.functions.vectors import around, cosine, shorten, synthetic_unit
 from lodestar.operators import blocks, cells, features, graph, metrics, search
-from lodestar.plans import benches
+from lodestar.plans import benches, request
 from lodestar.sources import formats, inventory, joined, manifests, profiles
 
 
@@ -332,3 +332,16 @@ def test_synthetic_rows_are_dealt_to_tasks(spark, tmp_path):
     rows.coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
     made = load()[0]["synthetic_scale"](spark, str(tmp_path))
     assert made.rdd.getNumPartitions() == 3 and made.count() == 50_000
+
+
+def test_answers_join_their_rows_once(spark, monkeypatch):
+    plans = []
+    real = request.run
+
+    def seen(spark, asked, store, *args, **options):
+        plans.append(store.rows._jdf.queryExecution().optimizedPlan().toString())
+        return real(spark, asked, store, *args, **options)
+
+    monkeypatch.setattr(request, "run", seen)
+    assert load()[0]["answers_checked"](spark, "/root/testdata/sf0.001").count() == 8
+    assert len(plans) == 8 and not any("Join" in p for p in plans)
