@@ -1,5 +1,6 @@
 """Exactly-once ingest: snapshot log, chunk ledger, carried samples, migrations."""
 
+import random
 import threading
 
 import pytest
@@ -218,6 +219,41 @@ def test_window_edges(spark, tmp_path, cuts):
     assert sorted((tuple(r) for r in got.select("k", "t_start", "head", "tail", "n").collect()), key=str) == brute_windows(rows, 10.0, 5.0, 60.0)
 
 
+BIG = 2**53
+
+
+def long_series(seed):
+    """Samples of series whose keys are one number as floats, and of the null series."""
+    found, rng = [], random.Random(seed)
+    for k in (None, *range(BIG, BIG + 40)):
+        for t in sorted(rng.sample(range(100), rng.randint(1, 12))):
+            found.append((BIG + len(found), k, t / 1.0, float(rng.randint(0, 9))))
+    return found
+
+
+def in_two(spark, folder, rows, schema):
+    for part in ([r for r in rows if r[-2] <= 50], [r for r in rows if r[-2] > 50]):
+        spark.createDataFrame(part, schema).repartition(2).write.mode("append").parquet(folder)
+        yield spark.readStream.schema(schema).parquet(folder)
+
+
+def test_series_are_served_in_groups(spark, tmp_path):
+    """However many series, Python is called for a bounded number of groups a batch."""
+    many = spark.range(20000).selectExpr("nullif(id, 7) AS k", "double(id) AS t", "double(id) AS v")
+    groups = {r[0]: r[1] for r in carry._dealt(many, "k").groupBy(carry._GROUP).count().collect()}
+    assert len(groups) <= carry._GROUPS + 1 and groups[-1] == 1
+
+
+def test_window_edges_of_series_in_one_group(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(carry, "_GROUPS", 3)
+    rows = [r[1:] for r in long_series(2)]
+    for stream in in_two(spark, str(tmp_path / "in"), rows, "k long, t double, v double"):
+        got = carry.window_edges(stream, str(tmp_path / "out"), str(tmp_path / "seen"), "k", "t", "v", 10.0, 5.0)
+    assert got.schema["k"].dataType.simpleString() == "bigint"
+    expected = brute_windows(rows, 10.0, 5.0, max(t for _, t, _ in rows))
+    assert sorted((tuple(r) for r in got.select("k", "t_start", "head", "tail", "n").collect()), key=str) == expected
+
+
 def test_migration(spark, tmp_path):
     tables = {
         "videos": spark.createDataFrame([("d", "v1", "uri", 9.0), ("d", "v2", None, None), ("e", "v9", "x", 1.0)], "dataset_id string, video_id string, source_uri string, duration_s double"),
