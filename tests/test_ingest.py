@@ -244,6 +244,15 @@ def test_series_are_served_in_groups(spark, tmp_path):
     assert len(groups) <= carry._GROUPS + 1 and groups[-1] == 1
 
 
+def test_previous_of_series_in_one_group(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(carry, "_GROUPS", 3)
+    rows = [*long_series(1), (None, 5, 1.0, 1.0)]
+    for stream in in_two(spark, str(tmp_path / "in"), rows, "id long, k long, t double, v double"):
+        got = carry.with_previous(stream, str(tmp_path / "out"), str(tmp_path / "seen"), "k", "t", "v")
+    expected = [(*r, max(((o[2], o[3]) for o in rows if o[1] == r[1] and o[2] < r[2]), default=(0, None))[1]) for r in rows]
+    assert sorted((tuple(r) for r in got.collect()), key=str) == sorted(expected, key=str)
+
+
 def test_window_edges_of_series_in_one_group(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(carry, "_GROUPS", 3)
     rows = [r[1:] for r in long_series(2)]
