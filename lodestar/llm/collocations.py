@@ -2,7 +2,8 @@
 
 Texts are read in shards of bounded size. A shard's words are a dictionary in byte order;
 a phrase is a node of its trie, numbered by its parent and its last word, so counting the
-nodes of a depth is a sort of integers and their order is that of the trie. Shards are
+nodes of a depth is a sort of integers and their order is that of the trie; it is done in
+blocks, cut between first words, so a task holds little beside a shard's codes. Shards are
 serialised sorted; a range exchange on language and phrase merges their runs, and each
 merge task sums neighbours as they come.
 
@@ -20,6 +21,7 @@ above hands down; right parts are the suffix link and what it has for right part
 from __future__ import annotations
 
 import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,11 +31,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import Scratch, checked, materialize, small_batches
-from .textbytes import column, mix, release, segment_hashes
+from .textbytes import PASS_BYTES, column, mix, passes, release, segment_hashes
 
 DEPTH, LEAST, TOP = 5, 100, 2000
 #: Bytes of text in a shard; a single piece of more makes a shard of its own.
 SHARD_BYTES = 16 << 20
+#: Words of a shard; short ones reach this before the bytes.
+SHARD_WORDS = 4 << 20
+#: Phrases that are hashed, sorted or put together at once.
+BLOCK = 1 << 17
 #: The bitmap of a level has 2 ** BITS bits (32 MB).
 BITS = 28
 #: A language's best phrases are first chosen in so many parts.
@@ -63,14 +69,18 @@ def _hashes(values: pa.Array) -> np.ndarray:
     """Hash of each value of a large binary array without nulls."""
     at = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
     data = values.buffers()[2]
-    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None and len(values) else np.zeros(0, np.uint8)
-    return segment_hashes(raw, at[:-1] - at[0], at[1:] - at[0])
+    raw = np.frombuffer(data, np.uint8) if data is not None and len(values) else np.zeros(0, np.uint8)
+    out = np.empty(len(values), np.uint64)
+    for lo, hi in passes(at, BLOCK):
+        bounds = at[lo : hi + 1] - at[lo]
+        out[lo:hi] = segment_hashes(raw[at[lo] : at[hi]], bounds[:-1], bounds[1:])
+    return out
 
 
 class Words:
-    """The words of some texts: their bytes and sizes, and of each word its piece and the
-    place of its text. Small beside the arrays that find them, so a shard is put together
-    from these."""
+    """The words of some texts by a dictionary of their own: of each word its code and
+    whether it begins a piece, and of each text its number of words. Small beside the arrays
+    that find them, so a shard is put together from these."""
 
     def __init__(self, langs: pa.Array, buf: np.ndarray, offs: np.ndarray):
         low = _LOWER[buf]
@@ -80,119 +90,133 @@ class Words:
         inside = ~outside
         start = np.flatnonzero(inside & (np.append(True, outside[:-1]) | cut[:-1])[: len(low)])
         end = np.flatnonzero(inside & (np.append(outside[1:], True) | cut[1:])[: len(low)]) + 1
-        self.langs, self.bytes, self.size = langs, low[inside], (end - start).astype(np.int32)
-        self.piece = np.cumsum(separator | cut[:-1], dtype=np.int32)[start]
-        self.text = (np.searchsorted(offs, start, side="right") - 1).astype(np.int32)
+        coded = _binary(low[inside], np.append(0, np.cumsum(end - start))).dictionary_encode()
+        self.words, self.code = coded.dictionary, np.asarray(coded.indices)
+        piece = np.cumsum(separator | cut[:-1], dtype=np.int32)[start]
+        self.new = np.append(True, piece[1:] != piece[:-1])[: len(piece)]
+        self.langs, self.of_text = langs, np.diff(np.searchsorted(start, offs))
+        self.bytes = len(buf)
 
 
 class Shard:
     """A dictionary of words, ``words`` in byte order, and for each word of the texts its
-    rank there, its piece and its language."""
+    rank there, whether it begins a piece, and its language. Empties ``parts``."""
 
     def __init__(self, parts: list[Words]):
-        bounds = np.append(0, np.cumsum(np.concatenate([p.size for p in parts]), dtype=np.int64))
-        coded = _binary(np.concatenate([p.bytes for p in parts]), bounds).dictionary_encode()
-        order = np.asarray(pc.array_sort_indices(coded.dictionary))
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        self.words = coded.dictionary.take(pa.array(order))
-        self.rank = rank[np.asarray(coded.indices)] if len(bounds) > 1 else np.zeros(0, np.int64)
-        shift = np.cumsum([0, *(p.piece[-1] + 1 if len(p.piece) else 0 for p in parts[:-1])])
-        self.piece = np.concatenate([p.piece + n for p, n in zip(parts, shift, strict=True)])
+        known = pa.concat_arrays([p.words for p in parts]).dictionary_encode()
+        order = np.asarray(pc.array_sort_indices(known.dictionary))
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        self.words = known.dictionary.take(pa.array(order))
+        of_code = np.split(rank[np.asarray(known.indices)], np.cumsum([len(p.words) for p in parts])[:-1])
+        self.rank = np.concatenate([own[p.code] for own, p in zip(of_code, parts, strict=True)])
+        self.new = np.concatenate([p.new for p in parts])
         named = pa.concat_arrays([p.langs for p in parts]).fill_null(UNKNOWN).cast(pa.large_binary()).dictionary_encode()
         self.langs = named.dictionary
-        of_text = np.asarray(named.indices).astype(np.int64)
-        shift = np.cumsum([0, *(len(p.langs) for p in parts[:-1])])
-        at = np.concatenate([p.text + n for p, n in zip(parts, shift, strict=True)])
-        self.lang = of_text[at] if len(at) else np.zeros(0, np.int64)
-
-    def chained(self, size: int) -> np.ndarray:
-        """Hash of language and phrase for the phrases of ``size`` words that begin at each
-        word, whether in one piece or not."""
-        word, root = _hashes(self.words), mix(_hashes(self.langs))
-        n = len(self.rank) - size + 1
-        if n <= 0:
-            return np.zeros(0, np.uint64)
-        own = word[self.rank]
+        self.lang = np.repeat(np.asarray(named.indices), np.concatenate([p.of_text for p in parts]))
+        parts.clear()
+
+    @functools.cached_property
+    def hashes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of the words and of the languages."""
+        return _hashes(self.words), mix(_hashes(self.langs))
+
+    def chained(self, size: int, lo: int, hi: int) -> np.ndarray:
+        """Hash of language and phrase for the phrases of ``size`` words that begin at words
+        ``lo`` to ``hi``, whether in one piece or not."""
+        word, root = self.hashes
+        n, own = hi - lo, word[self.rank[lo : hi + size - 1]]
         with np.errstate(over="ignore"):
-            out = mix(own[:n] ^ root[self.lang[:n]])
+            out = mix(own[:n] ^ root[self.lang[lo:hi]])
             for d in range(1, size):
                 out = mix(out * _STEP + own[d : d + n])
         return out
 
     def starts(self, size: int, frequent: np.ndarray | None) -> np.ndarray:
-        """Where phrases of ``size`` words begin that may be frequent."""
+        """Whether a phrase of ``size`` words that may be frequent begins at each word."""
         n = max(0, len(self.rank) - size + 1)
-        whole = self.piece[:n] == self.piece[size - 1 : size - 1 + n]
-        if frequent is not None:
-            at = self.chained(size - 1) >> np.uint64(64 - BITS)
-            known = (frequent[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
-            whole &= known[:n] & known[1 : n + 1]
-        return np.flatnonzero(whole)
-
-    def counted(self, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """A place of each node among the phrases that begin ``at``, and its count, in the
-        order of the trie."""
-        wide = max(1, len(self.words))
-        node, top = self.lang[at], max(1, len(self.langs))
-        for d in range(size):
-            if top * wide >= 1 << 62:
-                known, node = np.unique(node, return_inverse=True)
-                top = len(known)
-            node, top = node * wide + self.rank[at + d], top * wide
-        _, first, count = np.unique(node, return_index=True, return_counts=True)
-        return at[first], count
+        begins = np.ones(n, bool)
+        for d in range(1, size):
+            begins &= ~self.new[d : d + n]
+        if frequent is not None and n:
+            known = np.empty(n + 1, bool)
+            for lo in range(0, n + 1, BLOCK):
+                at = self.chained(size - 1, lo, min(n + 1, lo + BLOCK)) >> np.uint64(64 - BITS)
+                known[lo : lo + BLOCK] = (frequent[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+            begins &= known[:n] & known[1:]
+        return begins
+
+    def counted(self, begins: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """A place of each node among the phrases that begin so, and its count, in the order
+        of the trie. They come in blocks, cut between first words."""
+        n, wide = len(begins), max(1, len(self.words))
+        first = self.lang[:n].astype(np.int64)
+        first *= wide
+        first += self.rank[:n]
+        # a sample tells where blocks are cut, nothing else
+        some = np.random.default_rng(0).integers(0, max(1, n), n >> 6)
+        cuts = np.unique(np.sort(first[some[begins[some]]])[BLOCK >> 6 :: max(1, BLOCK >> 6)])
+        for lo, hi in itertools.pairwise([0, *cuts.tolist(), np.iinfo(np.int64).max]):
+            at = np.flatnonzero(begins & (first >= lo) & (first < hi))
+            node, top = self.lang[at].astype(np.int64), max(1, len(self.langs))
+            for d in range(size):
+                if top * wide >= 1 << 62:
+                    known, node = np.unique(node, return_inverse=True)
+                    top = len(known)
+                node, top = node * wide + self.rank[at + d], top * wide
+            _, place, count = np.unique(node, return_index=True, return_counts=True)
+            yield at[place], count
 
     def phrases(self, at: np.ndarray, size: int) -> pa.Array:
         parts = [self.words.take(pa.array(self.rank[at + d])) for d in range(size)]
         return parts[0] if size == 1 else pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.large_binary()))
 
-    def stretches(self, at: np.ndarray, size: int) -> tuple[pa.Array, pa.Array]:
+    def stretches(self, begins: np.ndarray, size: int) -> Iterator[tuple[pa.Array, pa.Array]]:
         """Language and words of the stretches that hold longer phrases, each of which has
-        its phrases of ``size`` words among those that begin ``at``."""
-        if not len(at):
-            return self.langs.slice(0, 0), pa.array([], pa.large_binary())
-        new = np.append(True, np.diff(at) > 1)
-        first = np.flatnonzero(new)
-        length = np.diff(np.append(first, len(at)))
+        its phrases of ``size`` words among those that begin so."""
+        edge = np.flatnonzero(np.diff(begins, prepend=False, append=False))
+        first, length = edge[::2], edge[1::2] - edge[::2]
         first, length = first[length > 1], length[length > 1] + size - 1
         bounds = np.append(0, np.cumsum(length))
-        spot = np.repeat(at[first] - bounds[:-1], length) + np.arange(bounds[-1])
-        words = pa.LargeListArray.from_arrays(pa.array(bounds, pa.int64()), self.words.take(pa.array(self.rank[spot])))
-        return self.langs.take(pa.array(self.lang[at[first]])), pc.binary_join(words, pa.scalar(b" ", pa.large_binary()))
+        for lo, hi in passes(bounds, BLOCK):
+            spot = np.repeat(first[lo:hi] - bounds[lo:hi], length[lo:hi]) + np.arange(bounds[lo], bounds[hi])
+            words = pa.LargeListArray.from_arrays(pa.array(bounds[lo : hi + 1] - bounds[lo]), self.words.take(pa.array(self.rank[spot])))
+            yield self.langs.take(pa.array(self.lang[first[lo:hi]])), pc.binary_join(words, pa.scalar(b" ", pa.large_binary()))
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[Shard]:
-    """Rows (lang, text) as shards of at most ``SHARD_BYTES``, cut between pieces where a
-    text is longer."""
-    parts: list[Words] = []
-    held = 0
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
+    """Words of rows (lang, text), a few texts at a time; a text that is longer is cut
+    between pieces."""
+    most = min(PASS_BYTES, SHARD_BYTES)
     for batch in batches:
         buf, offs = column(batch, "text")
         lang = batch.column(0).cast(pa.large_string())
-        lo, n = 0, batch.num_rows
-        while lo < n:
-            hi = min(n, int(np.searchsorted(offs, offs[lo] + SHARD_BYTES - held, side="right")) - 1)
-            if hi > lo:
-                parts.append(Words(lang.slice(lo, hi - lo), buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]))
-                held += int(offs[hi] - offs[lo])
-                lo = hi
-            elif not held:
-                # one text is more than a shard: pieces stay whole
-                ends = np.flatnonzero(_SEPARATOR[buf[offs[lo] : offs[lo + 1]]]) + 1
-                at, size = 0, int(offs[lo + 1] - offs[lo])
-                while at < size:
-                    k = int(np.searchsorted(ends, at + SHARD_BYTES, side="right"))
-                    stop = size if size - at <= SHARD_BYTES or not len(ends) else int(ends[max(k - 1, 0)])
-                    if stop <= at:
-                        stop = int(ends[k]) if k < len(ends) else size
-                    yield Shard([Words(lang.slice(lo, 1), buf[offs[lo] + at : offs[lo] + stop], np.array([0, stop - at]))])
-                    at = stop
-                lo += 1
-            if held and (lo < n or held >= SHARD_BYTES):
-                yield Shard(parts)
-                parts, held = [], 0
-                release()
+        for lo, hi in passes(offs, most):
+            text, size = buf[offs[lo] : offs[hi]], int(offs[hi] - offs[lo])
+            if size <= most:
+                yield Words(lang.slice(lo, hi - lo), text, offs[lo : hi + 1] - offs[lo])
+                continue
+            # pieces stay whole
+            ends, at = np.append(np.flatnonzero(_SEPARATOR[text]) + 1, size), 0
+            while at < size:
+                k = int(np.searchsorted(ends, at + most, side="right"))
+                stop = int(ends[k - 1] if k and ends[k - 1] > at else ends[k])
+                yield Words(lang.slice(lo, 1), text[at:stop], np.array([0, stop - at]))
+                at = stop
+
+
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[Shard]:
+    """Rows (lang, text) as shards of at most ``SHARD_BYTES`` and ``SHARD_WORDS``; a piece
+    of more makes a shard of its own."""
+    parts: list[Words] = []
+    size = words = 0
+    for part in _parts(batches):
+        if parts and (size + part.bytes > SHARD_BYTES or words + len(part.code) > SHARD_WORDS):
+            yield Shard(parts)
+            size = words = 0
+            release()
+        parts.append(part)
+        size, words = size + part.bytes, words + len(part.code)
     if parts:
         yield Shard(parts)
 
@@ -204,7 +228,7 @@ def _bitmap(path: str) -> np.ndarray:
 
     store, inner = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
     out = np.zeros(1 << (BITS - 6), np.uint64)
-    for batch in dataset.dataset(inner, filesystem=store, format="parquet").to_batches(columns=["at", "bits"]):
+    for batch in dataset.dataset(inner, filesystem=store, format="parquet").to_batches(columns=["at", "bits"], batch_readahead=1, fragment_readahead=1, use_threads=False):
         out[batch.column(0).to_numpy()] = batch.column(1).to_numpy().view(np.uint64)
     return out
 
@@ -215,15 +239,16 @@ def _counts(texts: DataFrame, size: int, frequent: str | None, rest: bool) -> Da
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in _shards(batches):
-            at = shard.starts(size, _bitmap(frequent) if frequent else None)
-            spot, n = shard.counted(at, size)
-            for lo in range(0, len(spot), 1 << 17):
-                part = spot[lo : lo + (1 << 17)]
-                yield pa.RecordBatch.from_arrays([_text(shard.langs.take(pa.array(shard.lang[part]))), _text(shard.phrases(part, size)), pa.array(n[lo : lo + (1 << 17)])], names=["lang", "phrase", "n"])
-            if rest:
-                lang, words = shard.stretches(at, size)
+            release()
+            begins = shard.starts(size, _bitmap(frequent) if frequent else None)
+            release()
+            for spot, n in shard.counted(begins, size):
+                for lo in range(0, len(spot), BLOCK):
+                    part = spot[lo : lo + BLOCK]
+                    yield pa.RecordBatch.from_arrays([_text(shard.langs.take(pa.array(shard.lang[part]))), _text(shard.phrases(part, size)), pa.array(n[lo : lo + BLOCK])], names=["lang", "phrase", "n"])
+            for lang, words in shard.stretches(begins, size) if rest else ():
                 yield pa.RecordBatch.from_arrays([_text(lang), _text(words), pa.array(np.zeros(len(lang), np.int64))], names=["lang", "phrase", "n"])
-            del shard, at, spot, n
+            del shard, begins
         # workers live on: what the last shard took goes back
         release()
 
@@ -263,8 +288,10 @@ def _bits(level: DataFrame, size: int) -> DataFrame:
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in _shards(batches):
-            at = shard.chained(size)[::size] >> np.uint64(64 - BITS)
-            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], names=["at", "bits"])
+            # each text is a phrase
+            for lo in range(0, len(shard.rank), BLOCK * size):
+                at = shard.chained(size, lo, min(len(shard.rank), lo + BLOCK * size) - size + 1)[::size] >> np.uint64(64 - BITS)
+                yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], names=["at", "bits"])
 
     one = small_batches(level.select("lang", F.col("phrase").alias("text"))).mapInArrow(places, "at long, bits long")
     return one.groupBy("at").agg(F.bit_or("bits").alias("bits"))

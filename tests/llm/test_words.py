@@ -74,6 +74,61 @@ def test_collocations_shards_are_cut_between_pieces(monkeypatch):
     assert max(len(s.rank) for s in shards) == 120 and len(shards) > 4
 
 
+def counting(monkeypatch, batches, size, rest):
+    """The batches that a task of ``_counts`` gives, run here."""
+
+    class Frame:
+        mapInArrow = staticmethod(lambda count, schema: count)  # noqa: N815
+
+    monkeypatch.setattr(collocations, "small_batches", lambda df: Frame)
+    return collocations._counts(None, size, None, rest)(iter(batches))
+
+
+def test_collocations_blocks_of_a_shard(monkeypatch):
+    """Blocks cut between first words, and shards bounded by words, count the same phrases."""
+    import pyarrow as pa
+
+    rows = [(i, prose(i, 300, 40), "en" if i % 3 else "de") for i in range(12)] + [(20, "same same same same " * 50, "en")]
+    batch = pa.RecordBatch.from_pydict({"lang": [g for *_, g in rows], "text": [t for _, t, _ in rows]})
+    for block, words in ((64, 1 << 20), (128, 500), (1 << 17, 1 << 20)):
+        monkeypatch.setattr(collocations, "BLOCK", block, raising=False)
+        monkeypatch.setattr(collocations, "SHARD_WORDS", words, raising=False)
+        found, longer = Counter(), Counter()
+        for out in counting(monkeypatch, [batch], 3, True):
+            assert out.num_rows <= block
+            for lang, phrase, n in zip(*(c.to_pylist() for c in out.columns), strict=True):
+                w = phrase.split(" ")
+                if n:
+                    found[lang, phrase] += n
+                else:
+                    longer.update((lang, " ".join(w[i : i + 4])) for i in range(len(w) - 3))
+        want = {3: Counter(), 4: Counter()}
+        for _, text, lang in rows:
+            for piece in re.split(r"[.,;:!?\n-\r]", text.translate(LOWER)):
+                w = re.findall(r"[^ \t]+", piece)
+                for m in want:
+                    want[m].update((lang, " ".join(w[i : i + m])) for i in range(len(w) - m + 1))
+        assert found == want[3] and longer == want[4]
+
+
+def test_collocations_memory_of_a_shard(monkeypatch):
+    """Arrays of a counting task stay below 40 bytes a word, and its batches are small."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    text, words = prose(1, 20_000, 5000), 800_000
+    batches = [pa.RecordBatch.from_pydict({"lang": ["en"], "text": [text]})] * (words // 20_000)
+    tracemalloc.start()
+    try:
+        rows = [out.num_rows for out in counting(monkeypatch, batches, 3, True)]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sum(rows) and max(rows) <= 1 << 17
+    assert peak < 40 * words
+
+
 def test_collocations_scores_are_exact(spark):
     """Products beyond 64 bits, where doubles would round."""
     a, n, left, right = 3_000_000_007, 900_000_000_000_001, 3_000_000_019, 4_000_000_007
